@@ -21,6 +21,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def pinned(value: Column) -> Column:
+    """The value as a column of its own that the planner leaves where it is.
+
+    Needed for arguments of Python UDFs, which cannot hold nested lambdas that use an outer lambda's variable.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def text(c: Column | str) -> Column:
     """NULL and '' both count as absent; yields NULL for either."""
     c = col(c)

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import col, let
+from .base import col, let, pinned
 
 # Fixed value: regions beyond this number count as background.
 MAX_REGIONS = 64
@@ -67,12 +67,18 @@ def _labels8(values: pd.Series, width: pd.Series) -> pd.Series:
     return _label_batch(values, width, ((1, 0), (0, 1), (1, 1), (-1, 1)))
 
 
-def component_labels(values: Column | str, width: Column | str, diagonal: bool = False) -> Column:
-    """Label of every cell: raster position of its component's first cell; -1 where the value is negative.
+# Declared nondeterministic so that the planner never copies a call into several expressions.
+_LABELS4 = _labels4.asNondeterministic()
+_LABELS8 = _labels8.asNondeterministic()
+
+
+def with_component_labels(df: DataFrame, values: Column | str, width: Column | str = "width", out: str = "labels", diagonal: bool = False) -> DataFrame:
+    """Add the label of every cell: raster position of its component's first cell; -1 where the value is negative.
 
     Neighbours belong together when their values are equal. ``diagonal`` also joins corner neighbours.
     """
-    return (_labels8 if diagonal else _labels4)(col(values), col(width))
+    given = df.withColumn("_values", pinned(col(values)))
+    return given.withColumn(out, (_LABELS8 if diagonal else _LABELS4)("_values", col(width))).drop("_values")
 
 
 def region_input(indices: Column | str, palette: Column | str, valid: Column | None = None) -> Column:

@@ -60,7 +60,7 @@ def collate(batches: DataFrame, batch: str = "batch_id", slot: str = "slot") ->
     w, h, bw, bh = F.col("width"), F.col("height"), F.col("batch_width"), F.col("batch_height")
     ones = F.transform("indices", lambda i: F.lit(True))
     extra = F.col("batch_colors") - F.size("palette")
-    df = df.withColumn("_labels", components.component_labels(components.region_input("indices", "palette"), "width"))
+    df = components.with_component_labels(df, components.region_input("indices", "palette"), out="_labels")
     regions = components.regions_from_labels("_labels")
     df = df.withColumn("structure", grids.pad_grid(regions, w, h, bw, bh, F.lit(0)))
     df = df.withColumn("valid_mask", grids.pad_grid(ones, w, h, bw, bh, F.lit(False)))

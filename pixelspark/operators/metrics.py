@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import components
 from ..functions import pixels as px
-from ..functions.base import col, let
+from ..functions.base import col, let, pinned
 
 
 def count_true(mask: Column) -> Column:
@@ -57,14 +57,14 @@ def pair_metrics(pairs: DataFrame, key: str) -> DataFrame:
     The predicted shape wins: the target is cropped or padded to it. All of it stays inside the row.
     """
     w, h = F.col("pred_width"), F.col("pred_height")
-    df = pairs.withColumn("_t", px.fit_to_shape("target_pixels", F.col("target_width"), F.col("target_height"), w, h))
+    df = pairs.withColumn("_t", pinned(px.fit_to_shape("target_pixels", F.col("target_width"), F.col("target_height"), w, h)))
     df = df.withColumn("_pm", px.opaque_mask("pred_pixels")).withColumn("_tm", px.opaque_mask("_t"))
 
     def shown(mask: str) -> Column:
         return F.transform(mask, lambda b: F.when(b, 1).otherwise(-1))
 
-    df = df.withColumn("_pl", components.component_labels(shown("_pm"), "pred_width"))
-    df = df.withColumn("_tl", components.component_labels(shown("_tm"), "pred_width"))
+    df = components.with_component_labels(df, shown("_pm"), "pred_width", "_pl")
+    df = components.with_component_labels(df, shown("_tm"), "pred_width", "_tl")
     df = df.withColumn("_pc", components.component_count("_pl")).withColumn("_tc", components.component_count("_tl"))
 
     def largest(labels: str) -> Column:

@@ -18,7 +18,7 @@ def with_regions(df: DataFrame, connected: bool = True, max_regions: int = 64, o
     shown = components.region_input("indices", "palette")
     if not connected:
         return df.withColumn(out, components.value_regions(shown, max_regions))
-    labelled = df.withColumn("_labels", components.component_labels(shown, "width"))
+    labelled = components.with_component_labels(df, shown, out="_labels")
     return labelled.withColumn(out, components.regions_from_labels("_labels", max_regions)).drop("_labels")
 
 

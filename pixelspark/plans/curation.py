@@ -22,9 +22,8 @@ SPLITS = "_splits"
 
 def sheet_pieces(sheets: DataFrame, max_size: int = 128) -> DataFrame:
     """Add ``boxes`` (array, empty unless the image is a sheet of at least two pieces)."""
-    masked = sheets.withColumn("_mask", components.sheet_mask("pixels"))
-    labelled = masked.withColumn("_labels", components.component_labels("_mask", "width", diagonal=True))
-    return labelled.withColumn("boxes", components.sheet_boxes("_labels", "width", max_size)).drop("_mask", "_labels")
+    labelled = components.with_component_labels(sheets, components.sheet_mask("pixels"), out="_labels", diagonal=True)
+    return labelled.withColumn("boxes", components.sheet_boxes("_labels", "width", max_size)).drop("_labels")
 
 
 def piece_path(rel_path: Column, index: Column, box: Column) -> Column:

@@ -153,7 +153,7 @@ def decode(data: bytes) -> tuple[int, int, np.ndarray, dict[str, str]]:
 
 
 @F.pandas_udf(DECODED)
-def decode_png(content: pd.Series) -> pd.DataFrame:
+def _decode_png(content: pd.Series) -> pd.DataFrame:
     """Decoded image as a struct; all its fields are NULL for a corrupt or missing payload."""
     rows = []
     for data in content:
@@ -163,3 +163,11 @@ def decode_png(content: pd.Series) -> pd.DataFrame:
             rows.append((None, None, None, None))
     out = pd.DataFrame(rows, columns=["width", "height", "pixels", "png_text"], dtype=object)
     return out.astype({"width": "Int32", "height": "Int32"})
+
+
+# Nondeterministic only for the planner: a call is never copied into several expressions and decoded twice.
+_DECODE = _decode_png.asNondeterministic()
+
+
+def decode_png(content: Column | str) -> Column:
+    return _DECODE(col(content))
