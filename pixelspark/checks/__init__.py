@@ -1,6 +1,6 @@
 """Checks of every operator on the given tables."""
 
-from . import aggregates, joins, scalars  # noqa: F401
+from . import aggregates, joins, plans, scalars, sources, windows  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

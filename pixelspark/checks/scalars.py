@@ -190,14 +190,14 @@ def _(spark, sf):
     return p.select("p_partkey", names.asset_caption(F.expr(_CAPTION), F.expr(_CATEGORY), names.stem(_part_path(p))).alias("caption"))
 
 
-def _sql_stage(side: str, stage: int) -> str:
+def sql_stage(side: str, stage: int | str) -> str:
     scaled = f"greatest(1, round_even({side} * least(1.0, CAST({stage} AS DOUBLE) / greatest(width, height)), 0))"
     return f"CAST(least({stage}, greatest(1, ceil({scaled} / 4)) * 4) AS BIGINT)"
 
 
 @check(
     "p18_stage_shape",
-    f"WITH {v.ASSET} SELECT asset_id, {', '.join(f'{_sql_stage(s, n)} AS {s[0]}{n}' for n in (32, 64, 128) for s in ('width', 'height'))} FROM asset",
+    f"WITH {v.ASSET} SELECT asset_id, {', '.join(f'{sql_stage(s, n)} AS {s[0]}{n}' for n in (32, 64, 128) for s in ('width', 'height'))} FROM asset",
 )
 def _(spark, sf):
     a = v.assets(spark, sf)

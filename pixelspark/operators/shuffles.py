@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.base import seeded_hex
+from ..session import cut_lineage
 
 HEAVY_KEYS = 512  # rows of the broadcast side below: a bound that does not grow with the data
 SPREAD = 256
@@ -127,3 +128,18 @@ def seeded_split(df: DataFrame, key: Sequence[str], seed: int, parts: Sequence[t
     edge = edge.withColumn(out, label(F.col("_at")))
     columns = [*df.columns, out]
     return sure.select(*columns).unionByName(edge.select(*columns))
+
+
+def ordered_rank(df: DataFrame, order: Column, out: str = "rank") -> DataFrame:
+    """Exact 1-based position of every row in one overall order, without bringing the rows to one task.
+
+    A range-partitioned sort numbers rows inside their partition; the partition sizes, one row per partition,
+    turn that into overall positions. The sorted rows are stored first so that both passes see the same cut.
+    """
+    placed = cut_lineage(df.orderBy(order).withColumn("_id", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_id", 33)).withColumn("_local", F.col("_id").bitwiseAND((1 << 33) - 1))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    ranked = placed.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_offset") + F.col("_local") + 1)
+    return ranked.select(*df.columns, out)

@@ -74,20 +74,12 @@ def classify_candidates(
     return passed.unionByName(refused)
 
 
-def scan_candidates(spark: SparkSession, root: str, max_size: int, max_colors: int) -> DataFrame:
-    """All files below ``root`` but sidecars, decoded, sheets cut, with features and metadata."""
-    files = scan_files(spark, root).where(F.col("suffix") != ".json").withColumn("sha256", content_digest("content"))
-    is_image = F.col("suffix") == ".png"
-    images = decode_files(files.where(is_image), max_side=max_size, max_area=components.MAX_SHEET_AREA)
-    others = files.where(~is_image).select(
-        *files.columns,
-        F.lit(None).cast("int").alias("width"),
-        F.lit(None).cast("int").alias("height"),
-        F.lit(None).cast("array<bigint>").alias("pixels"),
-        F.lit(None).cast("map<string,string>").alias("png_text"),
-    )
-    scanned = images.unionByName(others).drop("content", "png_text")
-    described = join_sidecars(scanned, read_sidecars(spark, root))
+def candidates_from_files(files: DataFrame, sidecars: DataFrame, max_size: int = 128, max_colors: int = 64) -> DataFrame:
+    """Candidates of a table of files (path, rel_path, suffix, content): decoded, sheets cut, with features."""
+    files = files.where(F.col("suffix") != ".json").withColumn("sha256", content_digest("content"))
+    payload = files.withColumn("content", F.when(F.col("suffix") == ".png", F.col("content")))
+    scanned = decode_files(payload, max_side=max_size, max_area=components.MAX_SHEET_AREA).drop("content", "png_text")
+    described = join_sidecars(scanned, sidecars)
     cut = split_sheets(described, max_size)
     facts = with_image_features(cut, max_colors, max_size)
     first = F.when(F.col("suffix") != ".png", "unsupported_format").when(F.col("width").isNull(), "corrupt")
@@ -152,17 +144,20 @@ def curate_folder(
     Writes ``training_pool`` and ``holdout`` (by reason) with the pieces cut from sheets, the holdout and accepted
     manifests' rows being the same tables, and ``report``. Input files are only read.
     """
-    candidates = scan_candidates(spark, root, max_size, max_colors)
-    classified = classify_candidates(candidates, max_size, max_colors, max_pixel_art_colors, hamming)
-    rows = _with_stamp(with_size_class(classified))
-    pool = F.concat(F.lit("training_pool/"), names.safe_output_path("rel_path"))
-    rows = rows.withColumn("source_rel_path", F.col("rel_path")).withColumn("rel_path", pool)
-    extra = rows.select("*", F.col("pixels").alias("piece_pixels"))
-    kept = hash_text(extra)
-    manifest = conform(kept, HOLDOUT + ", status string, piece int, parent string, piece_pixels array<bigint>")
+    candidates = candidates_from_files(scan_files(spark, root), read_sidecars(spark, root), max_size, max_colors)
+    manifest = cut_lineage(curated_rows(candidates, max_size, max_colors, max_pixel_art_colors, hamming))
     folder = output.rstrip("/")
-    manifest = cut_lineage(manifest)
     write_accepted_and_held(manifest, f"{folder}/training_pool", f"{folder}/holdout")
     report = cut_lineage(curation_counts(manifest))
     write_report(report_json(report), f"{folder}/report")
     return manifest, report
+
+
+def curated_rows(candidates: DataFrame, max_size: int = 128, max_colors: int = 64, max_pixel_art_colors: int = 256, hamming: int = 4) -> DataFrame:
+    """Classified candidates as manifest and holdout rows; pieces of sheets keep their pixels."""
+    classified = classify_candidates(candidates, max_size, max_colors, max_pixel_art_colors, hamming)
+    rows = _with_stamp(with_size_class(classified))
+    pool = F.concat(F.lit("training_pool/"), names.safe_output_path("rel_path"))
+    rows = rows.withColumn("source_rel_path", F.col("rel_path")).withColumn("rel_path", pool)
+    kept = hash_text(rows.withColumn("piece_pixels", F.col("pixels")))
+    return conform(kept, HOLDOUT + ", status string, piece int, parent string, piece_pixels array<bigint>")
