@@ -210,6 +210,7 @@ def usable_assets(spark, sf):
     """Usable, permitted, non-duplicate assets per category and bucket, with at most five per group selected."""
     rows = dup_assets(spark, sf).where(curate.is_eligible())
     rows = rows.withColumn("group", curate.group_key(F.col("category"), F.col("bucket"))).select("rel_path", "category", "bucket", "group")
+    rows = cut_lineage(rows)
     chosen = curate.balanced_sample(rows, 1_000_000_000, 5).select("category", "bucket")
     usable = rows.groupBy("category", "bucket").agg(F.count(F.lit(1)).alias("usable"))
     selected = chosen.groupBy("category", "bucket").agg(F.count(F.lit(1)).alias("selected"))

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 # Fixed values of the views.
 LICENSES = ("CC0-1.0", "Creative  Commons CC0", "CC_BY 4.0", "CC-BY-NC", " mit ", "", "All Rights Reserved", "cc-by-sa-4.0")
 SUFFIXES = (".png", ".PNG", ".jpg", ".json", ".png", ".txt", ".png")
@@ -32,7 +34,8 @@ PALETTE = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "embeddings" else df
 
 
 def pick(values: tuple, by: Column) -> Column:

@@ -288,16 +288,23 @@ def composite_over(below: Column, above: Column) -> Column:
 
 
 def composite_layers(layers: Column, width: int, height: int) -> Column:
-    """Draw ``layers`` (array of struct<x,y,w,h,pixels> in order) on a transparent canvas."""
+    """Draw ``layers`` (array of struct<x,y,w,h,pixels> in order) on a transparent canvas.
 
-    def cell(i: Column) -> Column:
-        cx, cy = i % width, F.floor(i / width).cast("int")
+    Each layer only blends the cells it covers; the rest of the canvas is passed on in whole slices.
+    """
+
+    def draw(canvas: Column, layer: Column) -> Column:
+        x, y = layer["x"], layer["y"]
+        w, h = F.least(layer["w"], F.lit(width) - x), F.least(layer["h"], F.lit(height) - y)
 
-        def draw(acc: Column, layer: Column) -> Column:
-            x, y = cx - layer["x"], cy - layer["y"]
-            inside = (x >= 0) & (y >= 0) & (x < layer["w"]) & (y < layer["h"])
-            return F.when(inside, let(F.get(layer["pixels"], y * layer["w"] + x), lambda px: composite_over(acc, px))).otherwise(acc)
+        def row(r: Column) -> Column:
+            at = (y + r) * width + 1
+            covered = F.zip_with(F.slice(canvas, at + x, w), F.slice(layer["pixels"], r * layer["w"] + 1, w), composite_over)
+            return F.concat(F.slice(canvas, at, x), covered, F.slice(canvas, at + x + w, F.lit(width) - x - w))
 
-        return F.aggregate(layers, F.lit(0).cast("bigint"), draw)
+        band = F.flatten(F.transform(F.sequence(F.lit(0), h - 1), row))
+        below = F.slice(canvas, (y + h) * width + 1, (F.lit(height) - y - h) * width)
+        return F.concat(F.slice(canvas, F.lit(1), y * width), band, below)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), cell)
+    empty = F.array_repeat(F.lit(0).cast("bigint"), width * height)
+    return F.aggregate(layers, empty, draw)

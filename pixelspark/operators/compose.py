@@ -26,16 +26,13 @@ def draw_positions(scene: Column, pool: int, layers: int, seed: int) -> Column:
 
     Draw j picks among the ``pool - j`` positions left and steps over those taken before.
     """
-    out = F.array().cast("array<bigint>")
-    for j in range(layers):
-        pick = F.pmod(seeded_int(seed, scene, F.lit(j)), F.lit(pool - j))
-        out = _append(out, pick)
-    return out
 
+    def draw(taken: Column, j: Column) -> Column:
+        pick = F.pmod(seeded_int(seed, scene, j), F.lit(pool) - j)
+        stepped = F.aggregate(F.sort_array(taken), pick, lambda p, t: F.when(p >= t, p + 1).otherwise(p))
+        return F.concat(taken, F.array(stepped))
 
-def _append(taken: Column, pick: Column) -> Column:
-    stepped = F.aggregate(F.sort_array(taken), pick, lambda p, t: F.when(p >= t, p + 1).otherwise(p))
-    return F.concat(taken, F.array(stepped))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(layers - 1)), F.array().cast("array<bigint>"), draw)
 
 
 def merge_licenses(licenses: Column) -> Column:
@@ -80,7 +77,9 @@ def compose_scenes(
         F.col(key).alias("parent"),
         F.coalesce("license", F.lit("")).alias("license"),
     )
-    stacked = joined.groupBy(scene).agg(F.array_sort(F.collect_list(layer)).alias("layers"))  # at most ``layers`` of them
+    # A canvas is far larger than the layers shuffled for it, so the number of tasks is set here and not by bytes.
+    tasks = int(assets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stacked = joined.repartition(tasks, scene).groupBy(scene).agg(F.array_sort(F.collect_list(layer)).alias("layers"))  # at most ``layers`` of them
     licenses = F.transform("layers", lambda e: e["license"])
     return stacked.select(
         scene,

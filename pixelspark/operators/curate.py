@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.base import text
 from ..functions.licenses import is_allowed_license
 from ..functions.names import path_order
+from ..session import cut_lineage
 from .shuffles import seeded_take
 
 
@@ -27,10 +28,11 @@ def balanced_sample(
 ) -> DataFrame:
     """At most ``cap`` rows per group and ``target_count`` overall, both by a seeded shuffle.
 
+    ``rows`` are read several times, so they should be a stored table.
     Without a cap it is the target shared out over the groups; what small groups leave over is not passed on.
     """
     cap = sample_cap(rows, target_count, per_bucket_cap, group)
-    capped = seeded_take(rows, [key], seed, F.lit(cap), [group])
+    capped = cut_lineage(seeded_take(rows, [key], seed, F.lit(cap), [group]))
     return seeded_take(capped, [key], seed + 1, F.lit(target_count))
 
 

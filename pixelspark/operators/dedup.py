@@ -185,7 +185,8 @@ def greedy_dedup(df: DataFrame, digest: str, h: str, order: str, key: str, k: in
     """First-come deduplication: only accepted rows reject later ones.
 
     Adds ``status`` (accepted, duplicate, near_duplicate), ``duplicate_of`` and ``near_duplicate_of``. A copy is a
-    ``duplicate`` only of an accepted row; a copy of a rejected row is a ``near_duplicate`` like that row.
+    ``duplicate`` only of an accepted row; a copy of a rejected row is a ``near_duplicate`` like that row. Rows of
+    one hash all name the accepted row nearest to it among those before its first row.
     """
     firsts = df.groupBy(F.col(h).alias("h")).agg(
         F.min(F.struct(F.col(order).alias("o"), F.col(key).alias("k"), F.col(digest).alias("d"))).alias("f"), F.count(F.lit(1)).alias("copies")

@@ -56,3 +56,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder for a written table."""
     return f"{checkpoint_dir(spark).rstrip('/')}/pixelspark-{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for work that is heavy per row although its input is one small file.
+
+    A no-op, without any job, once the input has as many splits as the session has cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
