@@ -20,7 +20,7 @@ from ..plans.features import with_size_class
 from ..plans.manifest import open_dataset
 from ..sources import catalogue, embedded, files, manifest
 from ..sources.png import decode_png, png_header
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..streaming import ingest
 from . import views as v
 from .aggregates import A5, tagged
@@ -208,7 +208,14 @@ def _(spark, sf):
 @check("s15_report_sink", f"WITH {A5} SELECT * FROM report")
 def _(spark, sf):
     path = scratch_path(spark, "report")
-    manifest.write_report(reports.report_json(reports.manifest_report(tagged(spark, sf))), path)
+    manifest.write_report(reports.manifest_report(tagged(spark, sf)), path)
+    return spark.read.schema("section string, key string, count bigint").json(path)
+
+
+@check("s15_report_document", f"WITH {A5} SELECT * FROM report")
+def _(spark, sf):
+    path = scratch_path(spark, "document")
+    manifest.write_report_document(reports.report_json(cut_lineage(reports.manifest_report(tagged(spark, sf)))), path)
     parsed = spark.read.text(path).select(F.from_json("value", "map<string,map<string,bigint>>").alias("m"))
     sections = parsed.select(F.explode("m").alias("section", "counts"))
     return sections.select("section", F.explode("counts").alias("key", "count"))

@@ -139,19 +139,27 @@ def _(spark, sf):
 _UNIT = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
 
 
-@check(
-    "w9_masked_tokens",
-    f"""WITH {v.CELL}, t AS (SELECT image_id, pos, idx AS token, pos % 5 <> 2 AS valid FROM cell),
+W9 = f"""WITH {v.CELL}, t AS (SELECT image_id, pos, idx AS token, pos % 5 <> 2 AS valid FROM cell),
     r AS (SELECT *, count(*) FILTER (valid) OVER (PARTITION BY image_id) AS n, row_number() OVER (PARTITION BY image_id, valid ORDER BY md5(concat('12:', image_id, ':', pos)), pos) AS rn,
       0.1::DOUBLE + {_UNIT.format("concat('11:', image_id)")} * (1.0::DOUBLE - 0.1::DOUBLE) AS ratio FROM t),
     c AS (SELECT *, valid AND rn <= greatest(1, round_even(n * ratio, 0)) AS chosen FROM r)
-    SELECT image_id, pos, CAST(CASE WHEN chosen THEN 128 ELSE token END AS BIGINT) AS masked, CAST(CASE WHEN chosen THEN token ELSE -100 END AS BIGINT) AS label FROM c""",
-)
+    SELECT image_id, pos, CAST(CASE WHEN chosen THEN 128 ELSE token END AS BIGINT) AS masked, CAST(CASE WHEN chosen THEN token ELSE -100 END AS BIGINT) AS label FROM c"""
+
+
+@check("w9_masked_tokens", W9)
 def _(spark, sf):
     cells = v.sprites(spark, sf).select("image_id", F.posexplode("indices").alias("pos", "token")).withColumn("valid", F.col("pos") % 5 != 2)
     return targets.masked_cells(cells, 128, 11).select("image_id", "pos", "masked", "label")
 
 
+@check("w9_masked_grids", W9)
+def _(spark, sf):
+    s = v.sprites(spark, sf).withColumn("valid", F.transform("indices", lambda t, i: i % 5 != 2))
+    grid = targets.masked_grid("indices", "valid", F.col("image_id"), 128, 11)
+    cells = s.select("image_id", grid.alias("g")).select("image_id", F.posexplode(F.arrays_zip("g.masked", "g.label")).alias("pos", "c"))
+    return cells.select("image_id", "pos", "c.masked", "c.label")
+
+
 @check(
     "w10_token_noise",
     f"""WITH {v.CELL} SELECT image_id, pos, CAST(CASE WHEN pos % 5 <> 2 AND {_UNIT.format("concat('4:', image_id, ':', pos)")} < 0.3

@@ -35,15 +35,16 @@ def batch_counts(df: DataFrame, batch_size: int, drop_last: bool = False, bucket
 def bucket_batches(df: DataFrame, key: str, batch_size: int, seed: int = 0, drop_last: bool = False, bucket: str = "bucket") -> DataFrame:
     """Add ``chunk`` (batch within its bucket), ``slot`` (place in the batch) and ``batch_id`` (place of the batch).
 
-    Rows are shuffled inside their bucket, cut into batches and the batches shuffled. The batch order is ranked on
-    the list of batches, which follows from the bucket counts alone.
+    Rows are shuffled inside their bucket, cut into batches and the batches shuffled. The batches are listed by
+    their first rows, so that list is as distributed as the rows are.
     """
-    placed = seeded_rank(df, [key], seed, [bucket], "_rank")
+    placed = seeded_rank(df, [key], seed, [bucket], "_rank", "_total")
     placed = placed.withColumn("chunk", F.floor((F.col("_rank") - 1) / batch_size).cast("bigint"))
-    placed = placed.withColumn("slot", ((F.col("_rank") - 1) % batch_size).cast("bigint")).drop("_rank")
-    batches = batch_counts(df, batch_size, drop_last, bucket).where("batches > 0")
-    batches = batches.select(F.col("bucket").alias(bucket), F.explode(F.expr("sequence(0L, batches - 1)")).alias("chunk"))
-    order = seeded_rank(batches, [bucket, "chunk"], seed + 1, out="batch_id")
+    placed = placed.withColumn("slot", ((F.col("_rank") - 1) % batch_size).cast("bigint"))
+    if drop_last:
+        placed = placed.where((F.col("chunk") + 1) * batch_size <= F.col("_total"))
+    placed = placed.drop("_rank", "_total")
+    order = seeded_rank(placed.where(F.col("slot") == 0).select(bucket, "chunk"), [bucket, "chunk"], seed + 1, out="batch_id")
     return placed.join(order.withColumn("batch_id", F.col("batch_id") - 1), [bucket, "chunk"])
 
 

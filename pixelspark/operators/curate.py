@@ -9,7 +9,9 @@ from ..functions.base import text
 from ..functions.licenses import is_allowed_license
 from ..functions.names import path_order
 from ..session import cut_lineage
-from .shuffles import seeded_take
+from .shuffles import ordered_rank, seeded_take
+
+TOP_ROWS = 100_000  # a top-n larger than this is not kept in one task
 
 
 def is_eligible(lossy: str = "lossy", duplicate_of: str = "duplicate_of", near: str = "near_duplicate_of", license_: str = "license") -> Column:
@@ -33,7 +35,7 @@ def balanced_sample(
     """
     cap = sample_cap(rows, target_count, per_bucket_cap, group)
     capped = cut_lineage(seeded_take(rows, [key], seed, F.lit(cap), [group]))
-    return seeded_take(capped, [key], seed + 1, F.lit(target_count))
+    return capped if capped.count() <= target_count else seeded_take(capped, [key], seed + 1, F.lit(target_count))
 
 
 def sample_cap(rows: DataFrame, target_count: int, per_bucket_cap: int | None, group: str = "group") -> int:
@@ -64,6 +66,9 @@ def max_size_filter(rows: DataFrame, size: int, limit: int | None = None, order:
 
 
 def first_rows(rows: DataFrame, limit: int | None, order: str = "rel_path") -> DataFrame:
+    """The first ``limit`` rows in path order. A limit too large for one task is taken from overall positions."""
     if not limit:
         return rows
-    return rows.orderBy(path_order(order)).limit(limit)
+    if limit <= TOP_ROWS:
+        return rows.orderBy(path_order(order)).limit(limit)
+    return ordered_rank(rows, path_order(order), "_place").where(F.col("_place") <= limit).drop("_place")

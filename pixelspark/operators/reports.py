@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.base import text
 
+MAX_DOCUMENT_KEYS = 100_000
+
 
 def _flag(c: Column) -> Column:
     return F.count_if(F.coalesce(c, F.lit(False)))
@@ -127,7 +129,10 @@ def throughput_report(counts: DataFrame, seconds: float) -> DataFrame:
 
 
 def report_json(report: DataFrame) -> DataFrame:
-    """One row ``value``: {section: {key: count}} with sorted keys. For reports, whose keys are few."""
+    """One row ``value``: {section: {key: count}} with sorted keys. One document has to fit in one row, so the
+    number of keys is checked first; the long table has no such limit."""
+    if report.limit(MAX_DOCUMENT_KEYS + 1).count() > MAX_DOCUMENT_KEYS:
+        raise ValueError(f"a report of more than {MAX_DOCUMENT_KEYS} keys stays a table")
     by_section = report.groupBy("section").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "count")))).alias("counts"))
     folded = by_section.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("section", F.to_json("counts").alias("json"))))).alias("m"))
     parts = F.transform(F.map_entries("m"), lambda e: F.concat(F.to_json(F.array(e["key"])), F.lit(":"), e["value"]))

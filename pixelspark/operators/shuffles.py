@@ -58,19 +58,22 @@ def _keyed(df: DataFrame, key: Sequence[str], seed: int) -> DataFrame:
     return hashed.withColumn("_range", F.substring("_hash", 1, RANGE_DIGITS))
 
 
-def seeded_rank(df: DataFrame, key: Sequence[str], seed: int, groups: Sequence[str] = (), out: str = "rank") -> DataFrame:
+def seeded_rank(
+    df: DataFrame, key: Sequence[str], seed: int, groups: Sequence[str] = (), out: str = "rank", total: str | None = None
+) -> DataFrame:
     """Exact 1-based position of every row in a seeded shuffle, per group or overall.
 
     Equal to ``row_number() over (partition by groups order by md5(seed:key), key)``, but each group is cut into
     4,096 hash ranges that are ranked apart and offset by a small histogram, so no task holds a whole group.
+    ``total`` names a column for the size of the group.
     """
     groups = list(groups)
     hashed = _keyed(df, key, seed)
-    offsets = _histogram(hashed, groups).select(*groups, "_range", "_before")
+    offsets = _histogram(hashed, groups).select(*groups, "_range", "_before", *([F.col("_total").alias(total)] if total else []))
     joined = hashed.join(offsets, [*groups, "_range"])
     inside = Window.partitionBy(*groups, "_range").orderBy("_hash", *key)
     ranked = joined.withColumn(out, (F.col("_before") + F.row_number().over(inside)).cast("bigint"))
-    return ranked.select(*df.columns, out)
+    return ranked.select(*df.columns, out, *([total] if total else []))
 
 
 def seeded_take(df: DataFrame, key: Sequence[str], seed: int, limit: Column, groups: Sequence[str] = ()) -> DataFrame:

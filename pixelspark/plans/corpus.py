@@ -94,9 +94,9 @@ def land_sources(
 
 
 def with_source_metadata(landed: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Accepted images with provenance fields; the catalogue is a configuration file and is broadcast."""
+    """Accepted images with provenance fields; Spark broadcasts the catalogue if it finds it small enough."""
     sources = catalogue.select(F.col("name").alias("source_name"), F.struct(*catalogue.columns).alias("_source"))
-    joined = landed.join(F.broadcast(sources), "source_name")
+    joined = landed.join(sources, "source_name")
     described = joined.withColumn("_p", names.provenance(F.col("_source"), "rel_path"))
     fields = ("source", "source_url", "license", "author", "category", "tags", "provenance", "corpus_rel_path")
     out = described.select(*landed.columns, *[F.col(f"_p.{f}").alias(f) for f in fields])
@@ -193,5 +193,5 @@ def prepare_corpus(
     for section in sections:
         report = report.unionByName(section)
     report = cut_lineage(report)
-    write_report(reports.report_json(report), f"{folder}/report")
+    write_report(report, f"{folder}/report")
     return {"manifest": chosen, "raw_manifest": raw, "sources": sources, "report": report, "status": status}

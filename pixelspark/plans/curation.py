@@ -10,7 +10,7 @@ from ..functions import pixels as px
 from ..functions.buckets import candidate_rejection
 from ..functions.hashing import content_digest, crop_digest
 from ..operators.dedup import greedy_dedup
-from ..operators.reports import histogram, report_json, totals
+from ..operators.reports import histogram, totals
 from ..session import cut_lineage
 from ..sources.files import decode_files, join_sidecars, read_sidecars, scan_files
 from ..sources.manifest import conform, write_accepted_and_held, write_report
@@ -149,7 +149,7 @@ def curate_folder(
     folder = output.rstrip("/")
     write_accepted_and_held(manifest, f"{folder}/training_pool", f"{folder}/holdout")
     report = cut_lineage(curation_counts(manifest))
-    write_report(report_json(report), f"{folder}/report")
+    write_report(report, f"{folder}/report")
     return manifest, report
 
 

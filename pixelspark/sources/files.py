@@ -16,6 +16,10 @@ from ..schemas import SIDECAR
 from .png import decode_png, png_header
 
 
+MEMBER_COLUMNS = ["archive", "member", "content"]
+MEMBER_BATCH_BYTES = 16 << 20
+
+
 def relative_path(path: Column, root: str) -> Column:
     """Path below ``root``; scheme prefixes of either side are ignored."""
     bare = root.split(":", 1)[1] if "://" in root or root.startswith("file:") else root
@@ -123,10 +127,18 @@ def is_unsafe_member(member: Column) -> Column:
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for archive, content in zip(batch["archive"], batch["content"]):
+            rows, size = [], 0
             with zipfile.ZipFile(io.BytesIO(content)) as opened:
                 for info in opened.infolist():
-                    if not info.is_dir():
-                        yield pd.DataFrame({"archive": [archive], "member": [info.filename], "content": [opened.read(info)]})
+                    if info.is_dir():
+                        continue
+                    rows.append((archive, info.filename, opened.read(info)))
+                    size += info.file_size
+                    if size > MEMBER_BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=MEMBER_COLUMNS)
+                        rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=MEMBER_COLUMNS)
 
 
 def expand_archives(archives: DataFrame, archive: str = "rel_path", content: str = "content") -> DataFrame:

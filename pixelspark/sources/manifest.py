@@ -69,8 +69,13 @@ def write_accepted_and_held(rows: DataFrame, accepted_path: str, holdout_path: s
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """A one-row table with a JSON ``value``."""
-    report.select("value").coalesce(1).write.mode("overwrite").text(path)
+    """A report (section, key, count) as JSON lines."""
+    report.select("section", "key", "count").write.mode("overwrite").json(path)
+
+
+def write_report_document(document: DataFrame, path: str) -> None:
+    """A one-row table with a JSON ``value`` as a text file."""
+    document.select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
 def append_log(rows: DataFrame, path: str) -> None:

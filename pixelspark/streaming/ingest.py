@@ -16,8 +16,13 @@ from ..sources.manifest import path_exists
 
 
 def new_only(batch: DataFrame, landed: DataFrame, key: str) -> DataFrame:
-    """Rows whose key has not landed yet."""
-    return batch.join(landed.select(key).distinct(), key, "left_anti")
+    """Rows whose key has not landed yet.
+
+    The history is first cut down to the keys of the batch: while a batch is small enough for Spark to broadcast,
+    the key column of the history is scanned but never shuffled.
+    """
+    seen = landed.select(key).join(batch.select(key).distinct(), key, "left_semi").distinct()
+    return batch.join(seen, key, "left_anti")
 
 
 def first_of_each(batch: DataFrame, key: str, order: str) -> DataFrame:
