@@ -9,6 +9,7 @@ from ..functions import pixels as px
 from ..operators import batches, curate, shuffles, targets
 from ..plans.curation import piece_path
 from ..plans.features import with_size_class
+from ..session import cut_lineage
 from . import views as v
 from .aggregates import A14_SPARSE, _sql_edges, sheets
 from .joins import joined
@@ -268,7 +269,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = v.assets(spark, sf).select("rel_path")
-    labelled = batches.train_val_test_split(rows, "rel_path", 0.1, 0.2, 3)
+    labelled = cut_lineage(batches.train_val_test_split(rows, "rel_path", 0.1, 0.2, 3))
     parts = {name: labelled.where(F.col("split") == name).select("rel_path") for name in ("train", "validation", "test")}
     shared = parts["train"].intersect(parts["validation"]).union(parts["train"].intersect(parts["test"])).union(parts["validation"].intersect(parts["test"]))
     missing = rows.exceptAll(labelled.select("rel_path"))

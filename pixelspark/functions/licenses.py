@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,11 +42,12 @@ def normalize_license(license_text: Column | str) -> Column:
 
 def is_allowed_license(license_text: Column | str) -> Column:
     """True only for a known permissive licence; NULL and blank text are not allowed."""
-    norm = normalize_license(F.coalesce(col(license_text), F.lit("")))
-    denied = F.lit(False)
-    for part in DENIED_PARTS:
-        denied = denied | norm.contains(part)
-    named = norm.isin(*ALLOWED)
-    for prefix in ALLOWED_PREFIXES:
-        named = named | norm.startswith(prefix)
-    return (norm != "") & ~denied & named
+    return normalize_license(F.coalesce(col(license_text), F.lit(""))).rlike(_allowed_pattern())
+
+
+def _allowed_pattern() -> str:
+    """The whole rule as one pattern, so that the text is normalised and searched once per row."""
+    denied = "|".join(re.escape(part) for part in DENIED_PARTS)
+    exact = "|".join(re.escape(name) for name in ALLOWED)
+    prefixes = "|".join(re.escape(prefix) for prefix in ALLOWED_PREFIXES)
+    return f"^(?!.*(?:{denied}))(?:(?:{exact})$|(?:{prefixes}))"

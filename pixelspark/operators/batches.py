@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import components, grids
 from ..functions import pixels as px
+from ..session import cut_lineage
 from .shuffles import seeded_rank, seeded_split
 
 
@@ -35,29 +36,30 @@ def batch_counts(df: DataFrame, batch_size: int, drop_last: bool = False, bucket
 def bucket_batches(df: DataFrame, key: str, batch_size: int, seed: int = 0, drop_last: bool = False, bucket: str = "bucket") -> DataFrame:
     """Add ``chunk`` (batch within its bucket), ``slot`` (place in the batch) and ``batch_id`` (place of the batch).
 
-    Rows are shuffled inside their bucket, cut into batches and the batches shuffled. The batches are listed by
-    their first rows, so that list is as distributed as the rows are.
+    Rows are shuffled inside their bucket, cut into batches and the batches shuffled. All of that happens on
+    (key, bucket) alone, stored once; the rows themselves only move in the join that gives them their batch. The
+    batches are listed by their first rows, so that list is as distributed as the rows are. ``key`` is unique.
     """
-    placed = seeded_rank(df, [key], seed, [bucket], "_rank", "_total")
+    placed = seeded_rank(df.select(key, bucket), [key], seed, [bucket], "_rank", "_total")
     placed = placed.withColumn("chunk", F.floor((F.col("_rank") - 1) / batch_size).cast("bigint"))
     placed = placed.withColumn("slot", ((F.col("_rank") - 1) % batch_size).cast("bigint"))
     if drop_last:
         placed = placed.where((F.col("chunk") + 1) * batch_size <= F.col("_total"))
-    placed = placed.drop("_rank", "_total")
+    placed = cut_lineage(placed.drop("_rank", "_total"))
     order = seeded_rank(placed.where(F.col("slot") == 0).select(bucket, "chunk"), [bucket, "chunk"], seed + 1, out="batch_id")
-    return placed.join(order.withColumn("batch_id", F.col("batch_id") - 1), [bucket, "chunk"])
+    numbered = placed.join(order.withColumn("batch_id", F.col("batch_id") - 1), [bucket, "chunk"])
+    return df.join(numbered.select(key, "chunk", "slot", "batch_id"), key)
 
 
 def collate(batches: DataFrame, batch: str = "batch_id", slot: str = "slot") -> DataFrame:
     """Pad samples (width, height, indices, palette) to the largest of their batch and add their regions.
 
     One row per sample: padded ``indices`` (-1 outside), ``valid_mask``, ``palette``, ``palette_mask`` and
-    ``structure``. Only the batch maxima are shuffled against the samples; a batch is bounded by its size.
+    ``structure``. The samples move once, to their batch, which is bounded by its size.
     """
-    frame = batches.groupBy(batch).agg(
-        F.max("width").alias("batch_width"), F.max("height").alias("batch_height"), F.max(F.size("palette")).alias("batch_colors")
-    )
-    df = batches.join(frame, batch)
+    together = Window.partitionBy(batch)
+    df = batches.withColumn("batch_width", F.max("width").over(together)).withColumn("batch_height", F.max("height").over(together))
+    df = df.withColumn("batch_colors", F.max(F.size("palette")).over(together))
     w, h, bw, bh = F.col("width"), F.col("height"), F.col("batch_width"), F.col("batch_height")
     ones = F.transform("indices", lambda i: F.lit(True))
     extra = F.col("batch_colors") - F.size("palette")

@@ -76,61 +76,66 @@ def seeded_rank(
     return ranked.select(*df.columns, out, *([total] if total else []))
 
 
+def _last_rows(narrow: DataFrame, key: Sequence[str], cuts: DataFrame, on: Sequence[str], give: Sequence[str]) -> DataFrame:
+    """(give..., _last): order value of the ``_need``-th row of each hash range that ``cuts`` names.
+
+    Only the ranges with a cut are sorted; ``narrow`` holds no more than keys, groups and hashes.
+    """
+    inside = Window.partitionBy(*on, *[g for g in give if g not in on]).orderBy("_hash", *key)
+    edge = narrow.join(cuts, list(on)).withColumn("_rn", F.row_number().over(inside))
+    return edge.where(F.col("_rn") == F.col("_need")).select(*give, F.struct("_hash", *key).alias("_last"))
+
+
 def seeded_take(df: DataFrame, key: Sequence[str], seed: int, limit: Column, groups: Sequence[str] = ()) -> DataFrame:
     """The first ``limit`` rows of every group in a seeded shuffle.
 
-    Whole hash ranges below the cut are kept and those above it dropped without sorting; only the one range per
-    group that holds the cut is ranked.
+    The order value of each group's last row is found on keys alone: a histogram of hash ranges names the range
+    with the cut, and only that range is sorted. Rows are then kept by comparing with that value, so the rows
+    themselves are read once and need no sort.
     """
     groups = list(groups)
+    narrow = _keyed(df.select(*groups, *[k for k in key if k not in groups]), key, seed)
+    histogram = _histogram(narrow, groups).withColumn("_limit", limit.cast("bigint"))
+    inside = (F.col("_before") < F.col("_limit")) & (F.col("_before") + F.col("_n") >= F.col("_limit"))
+    cuts = histogram.where(inside).select(*groups, "_range", (F.col("_limit") - F.col("_before")).alias("_need"))
+    last = _last_rows(narrow, key, cuts, [*groups, "_range"], groups)
+    mine = F.struct("_hash", *key)
     hashed = _keyed(df, key, seed)
-    histogram = _histogram(hashed, groups)
-    cuts = histogram.withColumn("_limit", limit.cast("bigint"))
-    cuts = cuts.where((F.col("_before") < F.col("_limit")) & (F.col("_before") + F.col("_n") >= F.col("_limit")))
-    cuts = cuts.select(*groups, F.col("_range").alias("_cut"), (F.col("_limit") - F.col("_before")).alias("_need"))
-    totals = histogram.groupBy(*groups).agg(F.sum("_n").alias("_weight"))
-    if groups:
-        table = totals.join(cuts, groups, "left")
-        placed = lookup_join(hashed, table, groups, "_weight", [*key])
-    else:
-        placed = hashed.join(F.broadcast(cuts), F.lit(True), "left")  # at most one row
-    whole = placed.where(F.col("_cut").isNull() | (F.col("_range") < F.col("_cut")))
-    inside = Window.partitionBy(*groups, "_range").orderBy("_hash", *key)
-    edge = placed.where(F.col("_range") == F.col("_cut")).withColumn("_rn", F.row_number().over(inside))
-    edge = edge.where(F.col("_rn") <= F.col("_need"))
-    return whole.select(*df.columns).unionByName(edge.select(*df.columns))
+    if not groups:
+        one = last.agg(F.first("_last").alias("_last"))  # one row; NULL when the limit exceeds the rows
+        kept = hashed.join(F.broadcast(one), F.lit(True)).where(F.col("_last").isNull() | (mine <= F.col("_last")))
+        return kept.select(*df.columns)
+    totals = histogram.groupBy(*groups).agg(F.sum("_n").alias("_weight"), F.max("_limit").alias("_limit"))
+    table = totals.join(last, groups, "left")
+    placed = lookup_join(hashed, table, groups, "_weight", key)
+    return placed.where((F.col("_limit") > 0) & (F.col("_last").isNull() | (mine <= F.col("_last")))).select(*df.columns)
 
 
 def seeded_split(df: DataFrame, key: Sequence[str], seed: int, parts: Sequence[tuple[str, float | None]], out: str = "split") -> DataFrame:
     """Label rows with exact-count parts of a seeded shuffle.
 
     ``parts`` lists (label, fraction) in shuffle order; a part has ``max(1, round_half_even(n * fraction))``
-    rows and the last one, with fraction None, the rest. Ranges that lie inside one part are labelled by a
-    broadcast of at most 4,096 rows without any shuffle; only the ranges holding a cut are ranked.
+    rows and the last one, with fraction None, the rest. The order values of the parts' last rows are found on
+    keys alone (see ``seeded_take``); labelling compares with them, so the rows are read once and not shuffled.
     """
-    hashed = _keyed(df, key, seed)
-    histogram = _histogram(hashed, [])
-    low, first, last = F.lit(0).cast("bigint"), None, None
-    label_at = []
-    for name, fraction in parts:
-        high = F.col("_total") if fraction is None else low + F.greatest(F.lit(1), F.bround(F.col("_total") * F.lit(fraction)).cast("bigint"))
-        label_at.append((name, high))
-        low = high
-    def label(position: Column) -> Column:
-        value = F.when(F.lit(False), F.lit(""))
-        for name, high in label_at:
-            value = value.when(position < high, name)
-        return value
-
-    first, last = label(F.col("_before")), label(F.col("_before") + F.col("_n") - 1)
-    table = histogram.select("_range", "_before", "_total", F.when(first == last, first).alias("_sure"))
-    placed = hashed.join(F.broadcast(table), "_range")
-    sure = placed.where(F.col("_sure").isNotNull()).withColumn(out, F.col("_sure"))
-    inside = Window.partitionBy("_range").orderBy("_hash", *key)
-    edge = placed.where(F.col("_sure").isNull()).withColumn("_at", F.col("_before") + F.row_number().over(inside) - 1)
-    edge = edge.withColumn(out, label(F.col("_at")))
-    columns = [*df.columns, out]
-    return sure.select(*columns).unionByName(edge.select(*columns))
+    narrow = _keyed(df.select(*key), key, seed)
+    ends, end = [], F.lit(0).cast("bigint")
+    for i, (_, fraction) in enumerate(parts[:-1]):
+        end = end + F.greatest(F.lit(1), F.bround(F.col("_total") * F.lit(fraction)).cast("bigint"))
+        ends.append(F.struct(F.lit(i).alias("i"), end.alias("at")))
+    inside = F.filter(F.array(*ends), lambda e: (e["at"] > F.col("_before")) & (e["at"] <= F.col("_before") + F.col("_n")))
+    cuts = _histogram(narrow, []).select("_range", "_before", F.explode(inside).alias("e"))
+    cuts = cuts.select("_range", F.col("e.i").alias("_part"), (F.col("e.at") - F.col("_before")).alias("_need"))
+    last = _last_rows(narrow, key, F.broadcast(cuts), ["_range"], ["_part"])  # one row per part
+    bounds = last.agg(F.map_from_entries(F.collect_list(F.struct("_part", "_last"))).alias("_bounds"))
+    hashed = _keyed(df, key, seed).join(F.broadcast(bounds), F.lit(True))
+    mine = F.struct("_hash", *key)
+    label = F.when(F.lit(False), F.lit(""))
+    for i, (name, _) in enumerate(parts[:-1]):
+        bound = F.col("_bounds")[i]
+        # a part that would end after the last row has no bound and takes all that is left
+        label = label.when(bound.isNull() | (mine <= bound), name)
+    return hashed.select(*df.columns, label.otherwise(parts[-1][0]).alias(out))
 
 
 def ordered_rank(df: DataFrame, order: Column, out: str = "rank") -> DataFrame:
