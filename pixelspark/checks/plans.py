@@ -22,8 +22,8 @@ from . import views as v
 from .aggregates import CORPUS_AVERAGES, CORPUS_METRICS, _KEYED, _sql_reach
 from .joins import joined
 from .registry import check
-from .scalars import DUP, P13, SQL_ELIGIBLE, dup_assets, sql_stage
-from .windows import W5
+from .scalars import DUP, P13, P19, SQL_ELIGIBLE, dup_assets, sql_projection, sql_stage
+from .windows import W5, sql_batches
 
 # The licences of the three example sources.
 SOURCES = (("Pack Zero", "CC0-1.0"), ("Pack One", "mit"), ("Pack Two", "CC-BY-NC"))
@@ -155,7 +155,20 @@ def _(spark, sf):
     return training_rows(rows, max_bucket_size=64, validation_fraction=0.1, test_fraction=0.2, seed=3).select("rel_path", "split", "conditioning")
 
 
-@check("q5_training_batches")
+@check(
+    "q5_training_batches",
+    f"""WITH RECURSIVE {_KEYED}, {_sql_reach('idx <> 0', False, 'keyed')},
+    region AS (SELECT image_id, pos, dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS region FROM comp),
+    asset AS (SELECT image_id AS asset_id, image_id, 's/' || lpad(CAST(image_id AS VARCHAR), 8, '0') AS rel_path, {v.SQL_BUCKET} AS bucket, width, height FROM sprite),
+    {W5.replace("'3:'", "'0:'").replace("n * 0.1::DOUBLE", "n * 0.2::DOUBLE")},
+    b AS (SELECT asset.* FROM asset JOIN s USING (rel_path) WHERE split = 'train'), {sql_batches(8, False, seed=0).replace("r AS (", "rk AS (", 1).replace("FROM r)", "FROM rk)", 1)},
+    frame AS (SELECT batch_id, max(width) AS bw, max(height) AS bh FROM batched GROUP BY batch_id),
+    grid AS (SELECT image_id, rel_path, batch_id, slot, bw, bh, o, o % bw AS x, o // bw AS y FROM (SELECT *, unnest(range(bw * bh)) AS o FROM batched JOIN frame USING (batch_id)))
+    SELECT g.rel_path, batch_id, slot, CAST(any_value(bw) AS BIGINT) AS batch_width, CAST(any_value(bh) AS BIGINT) AS batch_height, 'sprite ' || any_value(sp.label) AS conditioning,
+      string_agg(CAST(CASE WHEN coalesce(region, 0) > 64 THEN 0 ELSE coalesce(region, 0) END AS VARCHAR), ',' ORDER BY o) AS structure
+    FROM grid g JOIN sprite sp USING (image_id) LEFT JOIN cell c ON c.image_id = g.image_id AND c.x = g.x AND c.y = g.y LEFT JOIN region n ON n.image_id = c.image_id AND n.pos = c.pos
+    GROUP BY g.rel_path, batch_id, slot""",
+)
 def _(spark, sf):
     s = v.sprites(spark, sf).withColumn("rel_path", F.concat(F.lit("s/"), F.lpad(F.col("image_id").cast("string"), 8, "0")))
     s = with_size_class(s.withColumn("lossy", F.lit(False)).withColumn("caption", F.lit("sprite")).withColumn("category", F.col("label").cast("string")))
@@ -177,9 +190,25 @@ def _(spark, sf):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-@check("q6_prompt_alignment")
+_PROMPTS = ("red potion icon", "stone house", "grass tile")
+_TEXT = P19.split("texts AS (")[0]
+
+
+@check(
+    "q6_prompt_alignment",
+    f"""{_TEXT} {v.CELL}, {sql_projection(3, 64, False).strip().replace("proj", "iproj")},
+    prompt AS (SELECT i - 1 AS k, unnest(string_split(p, ' ')) AS w FROM (SELECT unnest([1, 2, 3]) AS i, unnest({list(_PROMPTS)}) AS p)),
+    hit AS (SELECT k, r, count(*) AS n FROM prompt JOIN word USING (w) JOIN feature USING (f) GROUP BY ALL),
+    tv AS (SELECT k, c, sum(n * w) AS e FROM hit JOIN proj USING (r) GROUP BY ALL), tu AS (SELECT k, c, e / sqrt(sum(e * e) OVER (PARTITION BY k)) AS e FROM tv),
+    chan AS (SELECT image_id, unnest([(px >> 16) & 255, (px >> 8) & 255, px & 255]) AS ch FROM cell),
+    stat AS (SELECT image_id, 1 AS r, avg(ch) AS s FROM chan GROUP BY 1 UNION ALL SELECT image_id, 2, stddev_pop(ch) FROM chan GROUP BY 1
+             UNION ALL SELECT image_id, 3, avg(px >> 24) FROM cell GROUP BY 1),
+    iv AS (SELECT image_id, c, sum(s * w) AS e FROM stat JOIN iproj USING (r) GROUP BY ALL), iu AS (SELECT image_id, c, e / sqrt(sum(e * e) OVER (PARTITION BY image_id)) AS e FROM iv)
+    SELECT image_id AS pair_id, round(sum(iu.e * tu.e), 6) AS alignment FROM iu JOIN tu ON tu.k = image_id % 3 AND tu.c = iu.c
+    WHERE image_id + 1 IN (SELECT image_id FROM sprite) GROUP BY image_id""",
+)
 def _(spark, sf):
-    pairs = v.sprite_pairs(spark, sf).withColumn("prompt", v.pick(("red potion icon", "stone house", "grass tile"), F.col("pair_id")))
+    pairs = v.sprite_pairs(spark, sf).withColumn("prompt", v.pick(_PROMPTS, F.col("pair_id")))
     return evaluate_pairs(pairs).select("pair_id", F.round("text_image_alignment", 6).alias("alignment"))
 
 

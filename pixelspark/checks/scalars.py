@@ -205,7 +205,7 @@ def _(spark, sf):
     return a.select("asset_id", *out)
 
 
-def _sql_projection(rows: int, dim: int, unit_rows: bool) -> str:
+def sql_projection(rows: int, dim: int, unit_rows: bool) -> str:
     return f"""
 proj0 AS (SELECT r, c, sin(r * c * 0.37::DOUBLE) + cos(r * c * 0.11::DOUBLE) AS w FROM (SELECT unnest(range(1, {rows + 1})) AS r), (SELECT unnest(range(1, {dim + 1})) AS c)),
 proj1 AS (SELECT r, c, w / sqrt(sum(w * w) OVER (PARTITION BY c)) AS w FROM proj0),
@@ -217,7 +217,7 @@ _WORDS_SQL = ", ".join(
 )
 _FEATURES_SQL = ", ".join(f"({i + 1}, '{f}')" for i, f in enumerate(embed.FEATURES))
 P19 = f"""WITH word(w, f) AS (VALUES {_WORDS_SQL}), feature(r, f) AS (VALUES {_FEATURES_SQL}),
-{_sql_projection(len(embed.FEATURES), 64, True)},
+{sql_projection(len(embed.FEATURES), 64, True)},
 texts AS (SELECT p_partkey AS k, p_name || '_' || p_type || ' Stone' || (CASE WHEN p_partkey % 3 = 0 THEN ' sword' ELSE '' END) AS t FROM part
           UNION ALL SELECT -1 - doc_id, text FROM documents),
 hit AS (SELECT k, r, count(*) AS n FROM (SELECT k, unnest(regexp_split_to_array(replace(lower(t), '_', ' '), '\\s+')) AS w FROM texts) JOIN word USING (w) JOIN feature USING (f) GROUP BY ALL),
@@ -244,7 +244,7 @@ def _(spark, sf):
 
 @check(
     "p20_image_embedding",
-    f"""WITH {v.CELL}, {_sql_projection(3, 64, False).strip()},
+    f"""WITH {v.CELL}, {sql_projection(3, 64, False).strip()},
 chan AS (SELECT image_id, unnest([(px >> 16) & 255, (px >> 8) & 255, px & 255]) AS c FROM cell),
 stat AS (SELECT image_id, 1 AS r, avg(c) AS s FROM chan GROUP BY 1 UNION ALL SELECT image_id, 2, stddev_pop(c) FROM chan GROUP BY 1
          UNION ALL SELECT image_id, 3, avg(px >> 24) FROM cell GROUP BY 1),

@@ -77,18 +77,18 @@ def _(spark, sf):
     return batches.train_val_test_split(v.assets(spark, sf).select("asset_id", "rel_path"), "rel_path", 0.1, 0.2, 3).select("asset_id", "split")
 
 
-def _sql_batches(size: int, drop_last: bool, source: str = "b", key: str = "rel_path") -> str:
+def sql_batches(size: int, drop_last: bool, source: str = "b", key: str = "rel_path", seed: int = 2) -> str:
     keep = f"WHERE n >= (chunk + 1) * {size}" if drop_last else ""
-    return f"""r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5('2:' || {key}), {key}) - 1 AS i, count(*) OVER (PARTITION BY bucket) AS n FROM {source}),
+    return f"""r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5('{seed}:' || {key}), {key}) - 1 AS i, count(*) OVER (PARTITION BY bucket) AS n FROM {source}),
     k AS (SELECT *, i // {size} AS chunk, i % {size} AS slot FROM r),
-    o AS (SELECT bucket, chunk, row_number() OVER (ORDER BY md5('3:' || bucket || ':' || chunk), bucket, chunk) - 1 AS batch_id FROM (SELECT DISTINCT bucket, chunk FROM k {keep})),
+    o AS (SELECT bucket, chunk, row_number() OVER (ORDER BY md5('{seed + 1}:' || bucket || ':' || chunk), bucket, chunk) - 1 AS batch_id FROM (SELECT DISTINCT bucket, chunk FROM k {keep})),
     batched AS (SELECT * FROM k JOIN o USING (bucket, chunk))"""
 
 
 _BUCKETED = f"{v.ASSET}, b AS (SELECT asset_id, rel_path, {v.SQL_BUCKET} AS bucket FROM asset WHERE {v.SQL_BUCKET} IS NOT NULL)"
 
 
-@check("w6_bucket_batches", f"WITH {_BUCKETED}, {_sql_batches(8, True)} SELECT asset_id, bucket, chunk, slot, batch_id FROM batched")
+@check("w6_bucket_batches", f"WITH {_BUCKETED}, {sql_batches(8, True)} SELECT asset_id, bucket, chunk, slot, batch_id FROM batched")
 def _(spark, sf):
     rows = grouped(spark, sf).where("bucket is not null")
     return batches.bucket_batches(rows, "rel_path", 8, 2, drop_last=True).select("asset_id", "bucket", "chunk", "slot", "batch_id")
@@ -113,7 +113,7 @@ def sprite_batches(spark, sf):
 
 @check(
     "w8_padded_batches",
-    f"""WITH {v.CELL}, b AS (SELECT image_id, CAST(image_id AS VARCHAR) AS rel_path, CAST(label % 3 AS VARCHAR) AS bucket FROM sprite), {_sql_batches(6, False)},
+    f"""WITH {v.CELL}, b AS (SELECT image_id, CAST(image_id AS VARCHAR) AS rel_path, CAST(label % 3 AS VARCHAR) AS bucket FROM sprite), {sql_batches(6, False)},
     used AS (SELECT image_id, px, row_number() OVER (PARTITION BY image_id ORDER BY px) - 1 AS i FROM (SELECT DISTINCT image_id, px FROM cell)),
     frame AS (SELECT batch_id, max(width) AS bw, max(height) AS bh, max(k) AS colors FROM batched JOIN sprite USING (image_id) JOIN (SELECT image_id, count(*) AS k FROM used GROUP BY image_id) USING (image_id) GROUP BY batch_id),
     grid AS (SELECT image_id, batch_id, slot, bw, bh, colors, o, o % bw AS x, o // bw AS y FROM (SELECT *, unnest(range(bw * bh)) AS o FROM batched JOIN frame USING (batch_id)))
@@ -129,7 +129,7 @@ def _(spark, sf):
 
 @check(
     "w8_batch_rows",
-    f"""WITH {v.SPRITE}, b AS (SELECT image_id, CAST(image_id AS VARCHAR) AS rel_path, CAST(label % 3 AS VARCHAR) AS bucket FROM sprite), {_sql_batches(6, False)}
+    f"""WITH {v.SPRITE}, b AS (SELECT image_id, CAST(image_id AS VARCHAR) AS rel_path, CAST(label % 3 AS VARCHAR) AS bucket FROM sprite), {sql_batches(6, False)}
     SELECT batch_id, string_agg(CAST(image_id AS VARCHAR), ',' ORDER BY slot) AS images FROM batched GROUP BY batch_id""",
 )
 def _(spark, sf):

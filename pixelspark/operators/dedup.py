@@ -1,12 +1,14 @@
 """Exact and near duplicates.
 
 Near duplicates are 64-bit hashes at most ``k`` bits apart. Equal hashes are collapsed first, so a group of
-copies is one row from then on. What remains is matched in one of two exact ways, chosen per block key:
+copies is one row from then on. What remains is matched in one of three exact ways, the next one only
+for hashes that the one before finds crowded:
 
 * Block keys: cut the bits into blocks; two hashes within ``k`` bits agree on all but ``k`` of them, so they meet
   under one of the keys made of ``blocks - k`` agreeing blocks. Used for keys shared by few hashes.
-* Midpoints: two hashes within ``k`` bits have a common value within ``k/2`` bits of both. Hashes under a crowded
-  block key send every such value to an aggregation that keeps only the earliest hash of each value. No pair is
+* Finer blocks: hashes under a crowded key are keyed once more, with more and finer blocks.
+* Midpoints: two hashes within ``k`` bits have a common value within ``k/2`` bits of both. Hashes that are still
+  crowded send every such value to an aggregation that keeps only the earliest hash of each value. No pair is
   ever built, so a crowd costs a fixed number of rows per member, and the aggregation combines before the shuffle.
 """
 
@@ -21,7 +23,8 @@ from ..functions.hashing import hamming
 from ..session import cut_lineage
 from .shuffles import lookup_join
 
-CROWD = 256  # hashes under one block key before its members are matched by midpoints
+CROWD = 256  # hashes under one block key before its members are matched in the next way
+FINER_BLOCKS = 3  # blocks added when crowded hashes are keyed again
 MAX_HAMMING = 8
 
 
@@ -43,14 +46,17 @@ def distinct_hashes(df: DataFrame, h: str, order: str, key: str) -> DataFrame:
     return grouped.select("h", F.col("f.o").alias("ord"), F.col("f.k").alias("key"), "copies")
 
 
-def block_masks(k: int, n_codes: int) -> list[int]:
-    """Masks of all block combinations that two hashes within ``k`` bits must agree on in one case.
-
-    More, finer blocks make each key longer; the number is the smallest that leaves few random hashes per key.
-    """
+def block_count(k: int, n_codes: int) -> int:
+    """Blocks to cut 64 bits into: more, finer blocks make each key longer, so the smallest number is taken that
+    leaves few random hashes per key."""
     blocks = k + 1
     while blocks < k + 6 and n_codes / 2 ** (64 * (blocks - k) / blocks) > 16:
         blocks += 1
+    return blocks
+
+
+def block_masks(k: int, blocks: int) -> list[int]:
+    """Masks of all block combinations of which two hashes within ``k`` bits agree on at least one."""
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
     block_bits = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edges, edges[1:])]
     masks = [sum(chosen) for chosen in combinations(block_bits, blocks - k)]
@@ -83,18 +89,33 @@ class HashNeighbours:
             raise ValueError(f"the Hamming limit must be between 0 and {MAX_HAMMING}")
         self.k = k
         self.codes = cut_lineage(codes)
-        keys = _block_keys(self.codes, block_masks(k, self.codes.count()))
+        blocks = block_count(k, self.codes.count())
+        self._sparse: list[DataFrame] = []
+        self.crowded = self._match_by_blocks(self.codes.select("h", "ord"), blocks, crowd)
+        if self.crowded is not None:
+            self.crowded = self._match_by_blocks(self.crowded, blocks + FINER_BLOCKS, crowd)
+
+    def _match_by_blocks(self, codes: DataFrame, blocks: int, crowd: int) -> DataFrame | None:
+        """Note the members of uncrowded keys and return the hashes under crowded ones, if any.
+
+        A near pair is either found under an uncrowded key or has both its hashes among those returned.
+        """
+        keys = _block_keys(codes, block_masks(self.k, blocks))
         sizes = keys.groupBy("band", "v").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
         placed = cut_lineage(lookup_join(keys, sizes, ["band", "v"], "members", ["h"]).where("members is not null"))
-        self._sparse = placed.where(F.col("members") <= crowd).select("h", "ord", "band", "v")
-        crowded = placed.where(F.col("members") > crowd).select("h").distinct()
-        self.crowded = None if crowded.isEmpty() else self.codes.join(crowded, "h", "left_semi")
+        self._sparse.append(placed.where(F.col("members") <= crowd).select("h", "ord", "band", "v"))
+        crowded = cut_lineage(placed.where(F.col("members") > crowd).select("h", "ord").distinct())
+        return None if crowded.isEmpty() else crowded
 
     def sparse_pairs(self) -> DataFrame:
         """(h, ord, other, other_ord): each neighbour pair under an uncrowded key, the earlier hash as ``other``."""
-        a = self._sparse.select("band", "v", F.col("h").alias("other"), F.col("ord").alias("other_ord"))
-        pairs = self._sparse.join(a, ["band", "v"]).where(F.col("other_ord") < F.col("ord"))
-        return pairs.where(hamming("h", "other") <= self.k).select("h", "ord", "other", "other_ord")
+        found = None
+        for members in self._sparse:
+            earlier = members.select("band", "v", F.col("h").alias("other"), F.col("ord").alias("other_ord"))
+            pairs = members.join(earlier, ["band", "v"]).where(F.col("other_ord") < F.col("ord"))
+            pairs = pairs.where(hamming("h", "other") <= self.k).select("h", "ord", "other", "other_ord")
+            found = pairs if found is None else found.unionByName(pairs)
+        return found
 
     def earliest_match(self, among: DataFrame | None = None) -> DataFrame:
         """(h, distance, match): for each hash the nearest earlier one, the earliest on a tie.

@@ -19,46 +19,70 @@ from ..sources.manifest import path_exists, write_manifest, write_report
 from .features import with_image_features
 from .manifest import manifest_rows
 
+MAX_LISTED = 10_000  # new files that are read by path on a resumed run
 ASSET_COLUMNS = ("source_name", "rel_path", "sha256", "width", "height", "pixels", "caption")
 
 
-def _files_of(spark: SparkSession, source: Row) -> DataFrame:
-    """(rel_path, content) of a source's PNG files, looking into archives where the source says so."""
+def _folder_files(spark: SparkSession, path: str, done: DataFrame | None) -> DataFrame:
+    """(rel_path, content) of a folder's PNG files that are not done.
+
+    A few new files are read by their paths; only when many are new is the folder scanned with contents again.
+    """
+    files = scan_png(spark, path)
+    if done is None:
+        return files.select("rel_path", "content")
+    todo = cut_lineage(files.select("path", "rel_path").join(done, "rel_path", "left_anti"))
+    if todo.limit(MAX_LISTED + 1).count() <= MAX_LISTED:
+        new = [r["path"] for r in todo.select("path").collect()]
+        if not new:
+            return files.select("rel_path", "content").limit(0)
+        named = todo.select("path", "rel_path")
+        return spark.read.format("binaryFile").load(new).select("path", "content").join(named, "path").select("rel_path", "content")
+    return files.join(todo.select("rel_path"), "rel_path", "left_semi").select("rel_path", "content")
+
+
+def _files_of(spark: SparkSession, source: Row, done: DataFrame | None = None) -> DataFrame:
+    """(rel_path, content) of a source's PNG files that are not done, looking into archives where the source says so."""
     path = source["path"]
     if path.lower().endswith((".zip", ".png")):
         one = spark.read.format("binaryFile").load(path).select(names.file_name("path").alias("rel_path"), "content")
-        if path.lower().endswith(".png"):
-            return one
-        members = expand_archives(one)
-        found = members.select(F.col("member").alias("rel_path"), "content")
+        found = one if path.lower().endswith(".png") else expand_archives(one).select(F.col("member").alias("rel_path"), "content")
     elif source["extract_archives"]:
         archives = scan_files(spark, path, "*.zip").select("rel_path", "content")
         if archives.select("rel_path").isEmpty():
-            return scan_png(spark, path).select("rel_path", "content")
+            return _folder_files(spark, path, done)
         members = expand_archives(archives)
         found = members.select(F.concat_ws("/", names.stem("archive"), F.col("member")).alias("rel_path"), "content")
     else:
-        return scan_png(spark, path).select("rel_path", "content")
-    return found.where((names.suffix("rel_path") == ".png") & ~names.is_hidden("rel_path"))
+        return _folder_files(spark, path, done)
+    found = found.where((names.suffix("rel_path") == ".png") & ~names.is_hidden("rel_path"))
+    return found if done is None else found.join(done, "rel_path", "left_anti")
+
 
+def source_images(spark: SparkSession, source: Row, max_size: int, done: DataFrame | None = None) -> DataFrame:
+    """The images of one source as ``ASSET_COLUMNS``; images above ``max_size`` stay undecoded.
 
-def source_images(spark: SparkSession, source: Row, max_size: int) -> DataFrame:
-    """The images of one source as ``ASSET_COLUMNS``; images above ``max_size`` stay undecoded."""
+    Images whose ``rel_path`` is in ``done`` are left out before anything is decoded.
+    """
     if source["path"] is None:
         raise ValueError(f"source {source['name']!r} has no path; download it to a folder first")
     label = F.lit(source["name"]).alias("source_name")
     if source["extract_parquet"]:
         tree = embedded.read_parquet_tree(spark, source["path"], bool(source["extract_grid"]))
-        tree = tree.withColumn("_file", names.stem(F.col("_metadata.file_name"))).withColumn("_row", F.col("_metadata.row_index"))
+        row = F.concat(F.lpad(F.col("_metadata.row_index").cast("string"), 8, "0"), F.lit(".png"))
+        tree = tree.withColumn("rel_path", F.concat_ws("/", names.stem(F.col("_metadata.file_name")), row))
+        if done is not None:
+            tree = tree.join(done, "rel_path", "left_anti")
         palette = None
         if source["extract_grid"] and path_exists(spark, f"{source['path']}/palette.json"):
             palette = spark.read.schema("idx int, r int, g int, b int, a int").json(f"{source['path']}/palette.json")
             palette = palette.withColumn("a", F.coalesce("a", F.lit(255)))
-        images = embedded.require_images(embedded.extract_images(tree, palette), source["path"])
-        rel = F.concat_ws("/", "_file", F.concat(F.lpad(F.col("_row").cast("string"), 8, "0"), F.lit(".png")))
+        images = embedded.extract_images(tree, palette)
+        if done is None:
+            images = embedded.require_images(images, source["path"])
         digest = F.coalesce(content_digest("payload"), crop_digest("width", "height", "pixels"))
-        return images.select(label, rel.alias("rel_path"), digest.alias("sha256"), "width", "height", "pixels", "caption")
-    files = decode_files(_files_of(spark, source).withColumn("sha256", content_digest("content")), max_side=max_size)
+        return images.select(label, "rel_path", digest.alias("sha256"), "width", "height", "pixels", "caption")
+    files = decode_files(_files_of(spark, source, done).withColumn("sha256", content_digest("content")), max_side=max_size)
     return files.select(label, "rel_path", "sha256", "width", "height", "pixels", F.lit(None).cast("string").alias("caption"))
 
 
@@ -70,14 +94,18 @@ def land_sources(
     Every scanned image is one row with its features and a ``reason`` (NULL when accepted, and only then with
     pixels). Images already accepted in the table are neither validated nor written again.
     """
-    parts = [source_images(spark, s, max_size) for s in open_sources(gated)]
+    done = None
+    if path_exists(spark, table):
+        done = spark.read.parquet(table).where(F.col("reason").isNull()).select("source_name", "rel_path")
+
+    def landed(name: str) -> DataFrame | None:
+        return None if done is None else done.where(F.col("source_name") == name).select("rel_path")
+
+    parts = [source_images(spark, s, max_size, landed(s["name"])) for s in open_sources(gated)]
     if parts:
         images = parts[0]
         for part in parts[1:]:
             images = images.unionByName(part)
-        if path_exists(spark, table):
-            done = spark.read.parquet(table).where(F.col("reason").isNull()).select("source_name", "rel_path")
-            images = images.join(done, ["source_name", "rel_path"], "left_anti")
         facts = with_image_features(images, max_colors, max_size)
         reason = image_rejection_raw("width", "height", "unique_color_count", max_size, max_pixel_art_colors)
         facts = facts.withColumn("reason", reason)
