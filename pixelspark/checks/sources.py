@@ -141,7 +141,7 @@ def _(spark, sf):
     return d.select("doc_id", names.row_caption(text, prompt, F.col("lang")).alias("caption"))
 
 
-def _pack(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
         for i, text in zip(rows["doc_id"], rows["text"]):

@@ -38,7 +38,8 @@ def _merge(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _label_batch(values: pd.Series, widths: pd.Series, steps: tuple[tuple[int, int], ...]) -> pd.Series:
-    sizes = np.array([len(v) for v in values])
+    values = values.map(lambda v: () if v is None else v)
+    sizes = np.array([len(v) for v in values], dtype=np.int64)
     flat = np.concatenate([np.asarray(v) for v in values]) if sizes.sum() else np.empty(0, dtype=np.int64)
     starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
     ends = starts + np.repeat(sizes, sizes)
@@ -74,6 +75,7 @@ _LABELS8 = _labels8.asNondeterministic()
 
 def with_component_labels(df: DataFrame, values: Column | str, width: Column | str = "width", out: str = "labels", diagonal: bool = False) -> DataFrame:
     """Add the label of every cell: raster position of its component's first cell; -1 where the value is negative.
+    A NULL grid gives an empty one.
 
     Neighbours belong together when their values are equal. ``diagonal`` also joins corner neighbours.
     """

@@ -52,16 +52,18 @@ def compose_scenes(
 ) -> DataFrame:
     """Compose one scene per row of ``scenes`` from images (key, width, height, pixels, license).
 
-    Assets get a dense position in a seeded order, each scene draws positions from its id, and one equi-join
-    brings the pixels: no scene ever meets all assets. Fewer than two transparent assets give no scenes.
+    Assets get a dense position in a seeded order, worked out on keys alone; each scene draws positions from its
+    id. Only then are pixels looked up, by key, so no scene ever meets all assets and the pixels of assets that no
+    scene drew are not shuffled while the drawn keys fit a broadcast. A stored ``transparency`` column is used if
+    there is one. Fewer than two transparent assets give no scenes.
     """
-    usable = assets.where(px.has_transparency("pixels")).select(key, "width", "height", "pixels", "license")
-    placed = cut_lineage(seeded_rank(usable, [key], seed, out="position").withColumn("position", F.col("position") - 1))
+    clear = F.col("transparency") if "transparency" in assets.columns else px.has_transparency("pixels")
+    placed = cut_lineage(seeded_rank(assets.where(clear).select(key), [key], seed, out="position").withColumn("position", F.col("position") - 1))
     pool = placed.count()
     if pool < 2:
         placed, pool = placed.limit(0), 2
-    wanted = layer_draws(scenes, pool, seed, scene, layers)
-    joined = wanted.join(placed, "position")
+    wanted = layer_draws(scenes, pool, seed, scene, layers).join(placed, "position")
+    joined = assets.select(key, "width", "height", "pixels", "license").join(wanted, key)
 
     def offset(axis: int, side: str) -> Column:
         room = F.greatest(F.lit(1), F.lit(canvas + 1) - F.col(side))

@@ -104,8 +104,8 @@ class HashNeighbours:
         sizes = keys.groupBy("band", "v").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
         placed = cut_lineage(lookup_join(keys, sizes, ["band", "v"], "members", ["h"]).where("members is not null"))
         self._sparse.append(placed.where(F.col("members") <= crowd).select("h", "ord", "band", "v"))
-        crowded = cut_lineage(placed.where(F.col("members") > crowd).select("h", "ord").distinct())
-        return None if crowded.isEmpty() else crowded
+        crowded = placed.where(F.col("members") > crowd).select("h", "ord")
+        return None if crowded.isEmpty() else cut_lineage(crowded.distinct())
 
     def sparse_pairs(self) -> DataFrame:
         """(h, ord, other, other_ord): each neighbour pair under an uncrowded key, the earlier hash as ``other``."""

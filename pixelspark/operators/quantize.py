@@ -61,6 +61,7 @@ def encode_images(df: DataFrame, key: str, max_colors: int = 64) -> DataFrame:
     """Add ``indices``, ``palette``, ``unique_color_count``, ``palette_size`` and ``lossy`` to images.
 
     Images within the budget keep their exact colours and need no shuffle; only the others visit the box split.
+    ``df`` is read once for each of the two ways, so it should be stored if decoding it is expensive.
     """
     check_max_colors(max_colors)
     counted = df.withColumn("unique_color_count", px.color_count("pixels"))

@@ -14,15 +14,17 @@ from ..operators.reports import histogram, totals
 from ..session import cut_lineage
 from ..sources.files import decode_files, join_sidecars, read_sidecars, scan_files
 from ..sources.manifest import conform, write_accepted_and_held, write_report
-from ..schemas import HOLDOUT
+from ..schemas import BOX, HOLDOUT
 from .features import hash_text, with_image_features, with_size_class
 
 SPLITS = "_splits"
 
 
-def sheet_pieces(sheets: DataFrame, max_size: int = 128) -> DataFrame:
-    """Add ``boxes`` (array, empty unless the image is a sheet of at least two pieces)."""
-    labelled = components.with_component_labels(sheets, components.sheet_mask("pixels"), out="_labels", diagonal=True)
+def sheet_pieces(images: DataFrame, max_size: int = 128, searched: Column | None = None) -> DataFrame:
+    """Add ``boxes`` (array, empty unless the image is ``searched`` and a sheet of at least two pieces)."""
+    mask = components.sheet_mask("pixels")
+    mask = mask if searched is None else F.when(searched, mask)
+    labelled = components.with_component_labels(images, mask, out="_labels", diagonal=True)
     return labelled.withColumn("boxes", components.sheet_boxes("_labels", "width", max_size)).drop("_labels")
 
 
@@ -34,29 +36,34 @@ def piece_path(rel_path: Column, index: Column, box: Column) -> Column:
 
 
 def split_sheets(images: DataFrame, max_size: int = 128) -> DataFrame:
-    """Replace every sheet by its pieces.
+    """Replace every sheet by its pieces, in one pass over the images.
 
     Adds ``piece`` (number within the sheet, NULL for a whole image), ``parent`` and ``box``. Only images above
-    the size limit, and small enough to have been decoded, are searched.
+    the size limit, and small enough to have been decoded, are searched. Pieces are cut before the rows multiply,
+    so a sheet's pixels are never copied along.
     """
     large = (F.col("width") > max_size) | (F.col("height") > max_size)
-    searched = large & F.col("pixels").isNotNull()
-    boxed = sheet_pieces(images.where(searched), max_size)
-    children = boxed.where(F.size("boxes") > 0).select("*", F.posexplode("boxes").alias("piece", "box")).drop("boxes")
-    children = children.withColumn("parent", F.col("rel_path")).withColumn("pixels", px.crop("pixels", F.col("width"), F.col("box")))
-    children = children.withColumn("rel_path", piece_path(F.col("parent"), F.col("piece"), F.col("box")))
-    children = children.withColumn("width", F.col("box.x1") - F.col("box.x0")).withColumn("height", F.col("box.y1") - F.col("box.y0"))
-    children = children.withColumn("sha256", crop_digest("width", "height", "pixels"))
-
-    def whole(df: DataFrame) -> DataFrame:
-        return (
-            df.withColumn("piece", F.lit(None).cast("int"))
-            .withColumn("box", F.lit(None).cast(boxed.schema["boxes"].dataType.elementType))
-            .withColumn("parent", F.lit(None).cast("string"))
-        )
-
-    kept = images.where(~F.coalesce(searched, F.lit(False))).unionByName(boxed.where(F.size("boxes") == 0).drop("boxes"))
-    return whole(kept).unionByName(children)
+    boxed = sheet_pieces(images, max_size, large & F.col("pixels").isNotNull())
+    cut = F.transform(
+        "boxes", lambda b, i: F.struct(i.alias("piece"), b.alias("box"), px.crop("pixels", F.col("width"), b).alias("pixels"))
+    )
+    whole = F.array(F.struct(F.lit(None).cast("int").alias("piece"), F.lit(None).cast(BOX).alias("box"), F.col("pixels").alias("pixels")))
+    parts = F.explode(F.when(F.size("boxes") > 0, cut).otherwise(whole))
+    rest = [c for c in images.columns if c != "pixels"]
+    rows = boxed.select(*rest, parts.alias("_p")).select(*rest, "_p.piece", "_p.box", "_p.pixels")
+    is_piece = F.col("piece").isNotNull()
+
+    def of_piece(name: str, value: Column) -> Column:
+        return F.when(is_piece, value).otherwise(F.col(name)).alias(name)
+
+    placed = rows.withColumn("parent", F.when(is_piece, F.col("rel_path"))).select(
+        *[c for c in rows.columns if c not in ("rel_path", "width", "height")],
+        "parent",
+        of_piece("rel_path", piece_path(F.col("parent"), F.col("piece"), F.col("box"))),
+        of_piece("width", F.col("box.x1") - F.col("box.x0")),
+        of_piece("height", F.col("box.y1") - F.col("box.y0")),
+    )
+    return placed.withColumn("sha256", of_piece("sha256", crop_digest("width", "height", "pixels")))
 
 
 def classify_candidates(
@@ -79,12 +86,13 @@ def candidates_from_files(files: DataFrame, sidecars: DataFrame, max_size: int =
     files = files.where(F.col("suffix") != ".json").withColumn("sha256", content_digest("content"))
     payload = files.withColumn("content", F.when(F.col("suffix") == ".png", F.col("content")))
     scanned = decode_files(payload, max_side=max_size, max_area=components.MAX_SHEET_AREA).drop("content", "png_text")
-    described = join_sidecars(scanned, sidecars)
-    cut = split_sheets(described, max_size)
-    facts = with_image_features(cut, max_colors, max_size)
+    facts = with_image_features(split_sheets(scanned, max_size), max_colors, max_size)
+    # metadata joins last, when only the pieces of sheets still carry pixels
+    facts = facts.withColumn("pixels", F.when(F.col("piece").isNotNull(), F.col("pixels")))
+    facts = join_sidecars(facts, sidecars, F.coalesce("parent", "rel_path"))
     first = F.when(F.col("suffix") != ".png", "unsupported_format").when(F.col("width").isNull(), "corrupt")
     order = F.struct(names.path_order(F.coalesce("parent", "rel_path")).alias("p"), F.coalesce("piece", F.lit(-1)).alias("i"))
-    return facts.withColumn("reason", first).withColumn("_order", order).withColumn("pixels", F.when(F.col("piece").isNotNull(), F.col("pixels")))
+    return facts.withColumn("reason", first).withColumn("_order", order)
 
 
 def _with_stamp(rows: DataFrame) -> DataFrame:

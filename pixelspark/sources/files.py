@@ -102,10 +102,13 @@ def read_sidecars(spark: SparkSession, root: str, strict: bool = False) -> DataF
     )
 
 
-def join_sidecars(assets: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """Add the sidecar fields and ``metadata`` (string map, empty without a sidecar) to assets."""
+def join_sidecars(assets: DataFrame, sidecars: DataFrame, path: Column | str = "rel_path") -> DataFrame:
+    """Add the sidecar fields and ``metadata`` (string map, empty without a sidecar) to assets.
+
+    The sidecar is the one beside ``path``. Join before pixels are attached or after they are dropped.
+    """
     fields = ("caption", "category", "source", "source_url", "license", "author", "tags", "provenance")
-    joined = assets.withColumn("stem", names.path_stem("rel_path")).join(sidecars, "stem", "left")
+    joined = assets.withColumn("stem", names.path_stem(path)).join(sidecars, "stem", "left")
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     return joined.select(*assets.columns, *[F.col(f"sidecar.{f}").alias(f) for f in fields], F.coalesce("extra", empty).alias("metadata"))
 
