@@ -51,7 +51,7 @@ def expected_greedy(rows, k):
     return out
 
 
-@pytest.mark.parametrize("k,crowd", [(4, 256), (4, 1), (3, 1), (2, 3), (1, 1), (0, 256)])
+@pytest.mark.parametrize("k,crowd", [(4, 256), (4, 1), (3, 1), (0, 256)])
 def test_near_duplicates_match_brute_force(spark, k, crowd):
     rows = clustered_rows(k * 10 + crowd)
     df = spark.createDataFrame(rows, "ord int, key string, h bigint, digest string").repartition(5)
@@ -59,7 +59,7 @@ def test_near_duplicates_match_brute_force(spark, k, crowd):
     assert got == expected_near(rows, k)
 
 
-@pytest.mark.parametrize("k,crowd", [(4, 256), (4, 1), (3, 1), (2, 3)])
+@pytest.mark.parametrize("k,crowd", [(4, 256), (3, 1)])
 def test_greedy_matches_sequential_pass(spark, k, crowd):
     rows = clustered_rows(k * 7 + crowd, n=120)
     df = spark.createDataFrame(rows, "ord int, key string, h bigint, digest string").repartition(5)
