@@ -43,7 +43,7 @@ def _label_batch(values: pd.Series, widths: pd.Series, steps: tuple[tuple[int, i
     flat = np.concatenate([np.asarray(v) for v in values]) if sizes.sum() else np.empty(0, dtype=np.int64)
     starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
     ends = starts + np.repeat(sizes, sizes)
-    width = np.repeat(widths.to_numpy(dtype=np.int64), sizes)
+    width = np.repeat(widths.fillna(1).to_numpy(dtype=np.int64), sizes)
     at = np.arange(len(flat))
     x = (at - starts) % np.maximum(width, 1)
     heads, tails = [], []
