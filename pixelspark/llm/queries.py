@@ -59,3 +59,25 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "tokens")
     write_token_files(_documents(spark, sf_dir), folder, _vocabulary(WORD_FILE), end_id=2, space="drop")
     return read_token_files(spark, folder)
+
+
+@query("op4_quality_rules")
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import verdicts
+
+    return verdicts(_documents(spark, sf_dir))
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(_documents(spark, sf_dir))
+
+
+@query("op10_compression_quality")
+def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .compression import fit, score
+
+    docs = _documents(spark, sf_dir)
+    return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
