@@ -15,7 +15,7 @@ BYTE_FILE = "byte_bpe_50k.json"
 WORD_FILE = "word_bpe_49k.json"
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     """Place of a public tokenizer's file; operators take any path."""
     import public_tokenizers
 
@@ -42,14 +42,14 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .bpe import round_trip
 
-    return round_trip(_documents(spark, sf_dir), _vocabulary(BYTE_FILE), public_tokenizers.PATTERN)
+    return round_trip(_documents(spark, sf_dir), vocabulary(BYTE_FILE), public_tokenizers.PATTERN)
 
 
 @query("op3_packing")
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    return pack_documents(_documents(spark, sf_dir), _vocabulary(BYTE_FILE), end_id=1)
+    return pack_documents(_documents(spark, sf_dir), vocabulary(BYTE_FILE), end_id=1)
 
 
 @query("op7_token_files")
@@ -57,7 +57,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bitplanes import read_token_files, write_token_files
 
     folder = scratch_path(spark, "tokens")
-    write_token_files(_documents(spark, sf_dir), folder, _vocabulary(WORD_FILE), end_id=2, space="drop")
+    write_token_files(_documents(spark, sf_dir), folder, vocabulary(WORD_FILE), end_id=2, space="drop")
     return read_token_files(spark, folder)
 
 
@@ -81,3 +81,28 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _documents(spark, sf_dir)
     return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+OP2_SQL = """
+WITH normal AS (
+    SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), hashed AS (
+    SELECT doc_id, t, sha256(t) AS text_sha256 FROM normal
+)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
+FROM hashed WINDOW w AS (PARTITION BY t)
+"""
+
+
+@query("op2_exact_dedup", OP2_SQL)
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .recipes import exact_groups
+
+    return exact_groups(_documents(spark, sf_dir)).drop("row_id", "row_hash")
+
+
+@query("op9_simhash_near_dedup")
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_groups
+
+    return near_groups(_documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
