@@ -106,3 +106,18 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_groups
 
     return near_groups(_documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op6_license_scan")
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import classify
+
+    return classify(_documents(spark, sf_dir))
+
+
+@query("op8_pii_surrogates")
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .surrogates import replace
+
+    # a key for runs on the given tables; users bring their own secret
+    return replace(_documents(spark, sf_dir), key=b"surrogates of the given tables")
