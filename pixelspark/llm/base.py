@@ -11,7 +11,7 @@ Conventions of every operator here:
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import count
+from itertools import chain, count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,7 +58,7 @@ def map_texts(df: DataFrame, start: Callable[[], Callable[[list, list], dict]],
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a variant of it that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}
-    return next(n for n in (name, *(f"{name}_{i}" for i in count())) if n.lower() not in taken) if name in taken else name
+    return next(n for n in chain([name], (f"{name}_{i}" for i in count())) if n.lower() not in taken)
 
 
 def row_key(doc_id="doc_id", text="text") -> list:
