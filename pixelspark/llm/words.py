@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import re
 from array import array
-from bisect import bisect_right
 from collections.abc import Callable, Iterable
 
+import numpy as np
+
 RUN = re.compile(r"\s{2,}")
-BLANK = re.compile(r"\s")
+MARKED = re.compile(r"([^\W\d_]+)[^\w\s]+")
 JOINED = 500  # new words encoded in one call of the library
 WORDS_KEPT = 400_000  # distinct words remembered at once by a task; beyond it the memory is emptied, results stay
 
@@ -100,37 +101,62 @@ class LibraryEncoder:
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.space = space
+        names = self.library.get_vocab(with_added_tokens=True)
+        self.starts = np.zeros(max(names.values()) + 1, bool)  # tokens that begin with a space
+        self.ends = np.zeros(len(self.starts), bool)  # tokens that end a word
+        for name, i in names.items():
+            self.starts[i], self.ends[i] = name.startswith("\u0120"), name.endswith("</w>")
+        self.line = names.get("\u010a", -1)
         self.memory = WordMemory(self._ids)
 
     def _one(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        """Many words in one call, as calls cost more than short words: joined where the pre-tokenizer cuts anyway, and told
-        apart by the tokens' places. Words with white space inside or at the end are encoded alone."""
+        """Many words in one call, as calls cost more than short words: joined where the pre-tokenizer cuts anyway. Words are
+        told apart by ids: with the space before them each has one token that begins with a space; as they are, a line break
+        stands between them; where white space is dropped, the tokens that end a word are counted. Words that do not keep to
+        this are encoded alone."""
         out: list = [None] * len(words)
         if self.space == "drop":
-            groups, glue = [[i for i, w in enumerate(words) if w and not BLANK.search(w)]], " "
+            for n, group in self._by_ends(words):
+                self._joined(words, group, " ", out, lambda ids, n=n: np.flatnonzero(self.ends[ids])[n - 1 :: n] + 1, n)
         else:
-            spaced = [i for i, w in enumerate(words) if w[0] == " " and not BLANK.search(w, 1) and len(w) > 1]
-            groups, glue = [spaced, [i for i, w in enumerate(words) if not BLANK.search(w)]], "\n"
-        for group in groups:
-            join = "" if group and words[group[0]][0] == " " else glue
-            for at in range(0, len(group), JOINED):
-                some = group[at : at + JOINED]
-                found = self.library.encode(join.join([words[i] for i in some]), add_special_tokens=False)
-                ends, ids = [e for _, e in found.offsets], array("I", found.ids)
-                end = low = 0
-                for i in some:
-                    end += len(words[i])
-                    high = bisect_right(ends, end, low)
-                    out[i] = ids[low:high].tobytes()
-                    end += len(join)
-                    low = high + (join == "\n")  # the line break's own token
-        for i, x in enumerate(out):
-            if x is None:
-                out[i] = self._one(words[i])
-        return out
+            spaced = [i for i, w in enumerate(words) if w[0] == " " and len(w) > 1]
+            plain = [i for i, w in enumerate(words) if not w[0].isspace()]
+            self._joined(words, spaced, "", out, lambda ids: np.append(np.flatnonzero(self.starts[ids])[1:], len(ids)))
+            self._joined(words, plain, "\n", out, lambda ids: np.append(np.flatnonzero(ids == self.line) + 1, len(ids)), skip=1)
+        return [self._one(w) if x is None else x for w, x in zip(words, out)]
+
+    def _by_ends(self, words: list[str]) -> list[tuple[int, list[int]]]:
+        """Words of letters, which are one piece each, and such words with marks behind, which are two."""
+        whole, marked = [], []
+        for i, w in enumerate(words):
+            if w.isalpha():
+                whole.append(i)
+            elif (m := MARKED.fullmatch(w)) and m[1].isalpha():
+                marked.append(i)
+        return [(1, whole), (2, marked)]
+
+    def _joined(self, words: list[str], group: list[int], glue: str, out: list, borders: Callable, per_word: int = 1, skip: int = 0) -> None:
+        run = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
+        todo = [group[at : at + JOINED] for at in range(0, len(group), JOINED)]
+        while todo:
+            some = todo.pop()
+            text = glue.join([words[i] for i in some])
+            highs: list[int] = []
+            if len(text.split()) == len(some):  # else there is white space inside or at the end of a word
+                ids = np.array(run([text], add_special_tokens=False)[0].ids, "<u4")
+                if self.space != "drop" or np.count_nonzero(self.ends[ids]) == per_word * len(some):
+                    highs = borders(ids).tolist()
+            if len(highs) != len(some):
+                if len(some) > 8:
+                    todo += [some[: len(some) // 2], some[len(some) // 2 :]]
+                continue
+            packed, low = ids.tobytes(), 0
+            for i, high in zip(some, highs):
+                out[i] = packed[low : 4 * (high - skip)] if high < len(ids) else packed[low:]
+                low = 4 * high
 
     def _cut(self, text: str) -> list:
         if self.space == "drop":
