@@ -62,12 +62,12 @@ class Vocabulary:
             raise ValueError("ids of single bytes have to come before those of merged tokens")
         self.id_of = {raw[token]: i for token, i in ids.items() if len(raw[token]) == 1 or self._reached(i)}
         self.length = list(map(len, self.bytes_of))
-        self.endings: dict = {}  # tokens by their bytes from the last to the first; key -1 holds the token
-        for token, i in self.id_of.items():
+        self.endings: dict = {}  # by a token's bytes from the last to the first: (token that is complete there or -1, what follows)
+        for token, i in sorted(self.id_of.items(), key=lambda x: len(x[0])):
             node = self.endings
-            for byte in reversed(token):
-                node = node.setdefault(byte, {})
-            node[-1] = i
+            for byte in token[:0:-1]:
+                node = node.setdefault(byte, (-1, {}))[1]
+            node[token[0]] = (i, node[token[0]][1] if token[0] in node else {})
         self._apart: dict[int, bool] = {}
 
     def _reached(self, token: int) -> bool:
@@ -120,11 +120,11 @@ class Vocabulary:
                 node, start, chosen = endings, d, -1
                 while start:
                     start -= 1
-                    node = node.get(word[start])
-                    if node is None:
+                    step = node.get(word[start])
+                    if step is None:
                         break
-                    token = node.get(-1)
-                    if token is None:
+                    token, node = step
+                    if token < 0:
                         continue
                     if start:
                         pair = last[start] << 32 | token
