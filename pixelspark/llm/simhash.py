@@ -5,8 +5,9 @@ into ``blocks`` pieces: fingerprints within ``bits`` agree on at least ``blocks
 some combination of so many pieces. Each distinct fingerprint is dealt to all combinations, and under each shared value the
 members are compared by Hamming distance.
 
-Equal fingerprints are one row from the start, so a group of copies costs nothing. Under a value, each member is linked to a
-first near one only as far as it joins parts that were apart: a group gives as many links as members, never its pairs.
+Equal fingerprints are one row from the start, so a group of copies costs nothing. Values with up to ``PAIRED`` members give
+their near pairs, so at most a fixed number a member; those with more give only links that join parts that were apart, fewer
+than they have members.
 Values with more than ``CROWD`` members are not compared in pairs: their members go to midpoints. Two fingerprints within
 4 bits have a value within 2 bits of both, so sending each crowded fingerprint to all values within half the distance, and joining
 those that meet, is the same relation at a fixed cost per fingerprint, by aggregation alone.
@@ -34,6 +35,7 @@ BITS = 4
 BLOCKS = 7
 SEED = 42
 CROWD = 2048
+PAIRED = 32
 
 
 def _hashes(text: str) -> np.ndarray:
@@ -116,7 +118,7 @@ def _compare(values: np.ndarray, h: np.ndarray, bits: int) -> tuple[np.ndarray,
     starts = np.concatenate([[0], cuts])
     sizes = np.diff(np.concatenate([starts, [len(values)]]))
     a, b = [], []
-    small = sizes <= 32
+    small = sizes <= PAIRED
     for step in range(1, int(sizes[small].max(initial=1))):  # members of all small groups at once, by distance in the group
         i = np.flatnonzero(values[:-step] == values[step:])
         i = i[small[np.searchsorted(starts, i, "right") - 1]]
