@@ -260,9 +260,9 @@ def _(spark, sf):
     e = v.table(spark, sf, "events").select("event_id", "event_type", F.sha2(F.col("event_id").cast("string"), 256).alias("digest"))
     schema = "event_id bigint, event_type string, digest string"
     for part in range(2):
-        # the second delivery repeats a part of the first
+        # the second delivery repeats a part of the first, and comes by a stream of its own
         e.where(F.col("event_id") % 3 >= part).write.mode("append").parquet(f"{root}/in")
-        ingest.ingest_unseen(ingest.stream_parquet(spark, f"{root}/in", schema), f"{root}/out", f"{root}/state", "digest", "event_id")
+        ingest.ingest_unseen(ingest.stream_parquet(spark, f"{root}/in", schema), f"{root}/out", f"{root}/state{part}", "digest", "event_id")
     return spark.read.parquet(f"{root}/out").select("event_id", "event_type")
 
 
@@ -282,9 +282,9 @@ def _(spark, sf):
     schema = "doc_id bigint, text string, digest string"
     half = d.agg(F.avg("doc_id").alias("m"))
     marked = d.join(F.broadcast(half), F.lit(True))
-    for part in (marked.where("doc_id <= m"), marked.where("doc_id > m")):
+    for n, part in enumerate((marked.where("doc_id <= m"), marked.where("doc_id > m"))):
         part.drop("m").write.mode("append").parquet(f"{root}/in")
-        ingest.ingest_unseen(ingest.stream_parquet(spark, f"{root}/in", schema), f"{root}/out", f"{root}/state", "digest", "doc_id")
+        ingest.ingest_unseen(ingest.stream_parquet(spark, f"{root}/in", schema), f"{root}/out", f"{root}/state{n}", "digest", "doc_id")
     return spark.read.parquet(f"{root}/out").select("text", "doc_id")
 
 

@@ -11,8 +11,6 @@ from ..functions.names import path_order
 from ..session import cut_lineage
 from .shuffles import ordered_rank, seeded_take
 
-TOP_ROWS = 100_000  # a top-n larger than this is not kept in one task
-
 
 def is_eligible(lossy: str = "lossy", duplicate_of: str = "duplicate_of", near: str = "near_duplicate_of", license_: str = "license") -> Column:
     def absent(c: str) -> Column:
@@ -66,9 +64,7 @@ def max_size_filter(rows: DataFrame, size: int, limit: int | None = None, order:
 
 
 def first_rows(rows: DataFrame, limit: int | None, order: str = "rel_path") -> DataFrame:
-    """The first ``limit`` rows in path order. A limit too large for one task is taken from overall positions."""
+    """The first ``limit`` rows by path, taken from overall positions, so that no task holds them all."""
     if not limit:
         return rows
-    if limit <= TOP_ROWS:
-        return rows.orderBy(path_order(order)).limit(limit)
     return ordered_rank(rows, path_order(order), "_place").where(F.col("_place") <= limit).drop("_place")

@@ -181,7 +181,7 @@ def with_near_duplicate_of(
     return joined.select(*df.columns, F.when(is_first, F.col("match")).otherwise(F.col("_first.k")).alias(out))
 
 
-def greedy_representatives(neighbours: HashNeighbours, max_rounds: int = 10_000) -> DataFrame:
+def greedy_representatives(neighbours: HashNeighbours) -> DataFrame:
     """Hashes (column h) that a first-come pass keeps when it rejects every hash near one already kept.
 
     Each round keeps the hashes that are the earliest of all their open cliques and closes those cliques; that is
@@ -189,9 +189,7 @@ def greedy_representatives(neighbours: HashNeighbours, max_rounds: int = 10_000)
     """
     members = cut_lineage(neighbours.cliques())
     kept = neighbours.codes.select("h").join(members.select("h").distinct(), "h", "left_anti")
-    for _ in range(max_rounds):
-        if members.isEmpty():
-            return kept
+    while not members.isEmpty():  # every round closes the clique of the earliest hash, so this ends
         first = members.groupBy("clique").agg(F.min(F.struct("ord", "h")).alias("f"))
         leads = members.join(first, "clique").groupBy("h").agg(F.min((F.col("f.h") == F.col("h")).cast("int")).alias("lead"))
         winners = cut_lineage(leads.where("lead = 1").select("h"))
@@ -199,7 +197,7 @@ def greedy_representatives(neighbours: HashNeighbours, max_rounds: int = 10_000)
         closed = first.join(winners, F.col("f.h") == winners["h"], "left_semi").select("clique")
         out = members.join(closed, "clique", "left_semi").select("h").distinct()
         members = cut_lineage(members.join(out, "h", "left_anti"))
-    raise RuntimeError(f"near-duplicate selection did not settle in {max_rounds} rounds")
+    return kept
 
 
 def greedy_dedup(df: DataFrame, digest: str, h: str, order: str, key: str, k: int = 4, crowd: int = CROWD) -> DataFrame:
@@ -236,6 +234,3 @@ def greedy_dedup(df: DataFrame, digest: str, h: str, order: str, key: str, k: in
         F.when(status == "near_duplicate", near).alias("near_duplicate_of"),
     )
 
-
-def is_near(a: Column | str, b: Column | str, k: int = 4) -> Column:
-    return hamming(a, b) <= k

@@ -14,33 +14,14 @@ from ..operators.curate import balanced_sample, group_key, is_eligible, sample_c
 from ..session import cut_lineage
 from ..sources import embedded
 from ..sources.catalogue import gate_report, gate_sources, open_sources, read_catalogue
-from ..sources.files import decode_files, expand_archives, scan_files, scan_png
+from ..sources.files import decode_files, expand_archives, relative_path, scan_files, scan_png
 from ..sources.manifest import path_exists, write_manifest, write_report
 from .features import with_image_features
 from .manifest import manifest_rows
 
-MAX_LISTED = 10_000  # new files that are read by path on a resumed run
 ASSET_COLUMNS = ("source_name", "rel_path", "sha256", "width", "height", "pixels", "caption")
 
 
-def _folder_files(spark: SparkSession, path: str, done: DataFrame | None) -> DataFrame:
-    """(rel_path, content) of a folder's PNG files that are not done.
-
-    A few new files are read by their paths; only when many are new is the folder scanned with contents again.
-    """
-    files = scan_png(spark, path)
-    if done is None:
-        return files.select("rel_path", "content")
-    todo = cut_lineage(files.select("path", "rel_path").join(done, "rel_path", "left_anti"))
-    if todo.limit(MAX_LISTED + 1).count() <= MAX_LISTED:
-        new = [r["path"] for r in todo.select("path").collect()]
-        if not new:
-            return files.select("rel_path", "content").limit(0)
-        named = todo.select("path", "rel_path")
-        return spark.read.format("binaryFile").load(new).select("path", "content").join(named, "path").select("rel_path", "content")
-    return files.join(todo.select("rel_path"), "rel_path", "left_semi").select("rel_path", "content")
-
-
 def _files_of(spark: SparkSession, source: Row, done: DataFrame | None = None) -> DataFrame:
     """(rel_path, content) of a source's PNG files that are not done, looking into archives where the source says so."""
     path = source["path"]
@@ -50,12 +31,13 @@ def _files_of(spark: SparkSession, source: Row, done: DataFrame | None = None) -
     elif source["extract_archives"]:
         archives = scan_files(spark, path, "*.zip").select("rel_path", "content")
         if archives.select("rel_path").isEmpty():
-            return _folder_files(spark, path, done)
-        members = expand_archives(archives)
-        found = members.select(F.concat_ws("/", names.stem("archive"), F.col("member")).alias("rel_path"), "content")
+            found = scan_png(spark, path).select("rel_path", "content")
+        else:
+            members = expand_archives(archives)
+            found = members.select(F.concat_ws("/", names.stem("archive"), F.col("member")).alias("rel_path"), "content")
     else:
-        return _folder_files(spark, path, done)
-    found = found.where((names.suffix("rel_path") == ".png") & ~names.is_hidden("rel_path"))
+        found = scan_png(spark, path).select("rel_path", "content")
+    found = found.where(F.col("rel_path").endswith(".png") & ~names.is_hidden("rel_path"))
     return found if done is None else found.join(done, "rel_path", "left_anti")
 
 
@@ -70,7 +52,7 @@ def source_images(spark: SparkSession, source: Row, max_size: int, done: DataFra
     if source["extract_parquet"]:
         tree = embedded.read_parquet_tree(spark, source["path"], bool(source["extract_grid"]))
         row = F.concat(F.lpad(F.col("_metadata.row_index").cast("string"), 8, "0"), F.lit(".png"))
-        tree = tree.withColumn("rel_path", F.concat_ws("/", names.stem(F.col("_metadata.file_name")), row))
+        tree = tree.withColumn("rel_path", F.concat_ws("/", names.path_stem(relative_path(spark, F.col("_metadata.file_path"), source["path"])), row))
         if done is not None:
             tree = tree.join(done, "rel_path", "left_anti")
         palette = None
@@ -94,8 +76,9 @@ def land_sources(
     Every scanned image is one row with its features and a ``reason`` (NULL when accepted, and only then with
     pixels). Images already accepted in the table are neither validated nor written again.
     """
-    done = None
+    done, run = None, 1
     if path_exists(spark, table):
+        run = 1 + (spark.read.parquet(table).agg(F.max("run")).first()[0] or 0)
         done = spark.read.parquet(table).where(F.col("reason").isNull()).select("source_name", "rel_path")
 
     def landed(name: str) -> DataFrame | None:
@@ -110,15 +93,18 @@ def land_sources(
         reason = image_rejection_raw("width", "height", "unique_color_count", max_size, max_pixel_art_colors)
         facts = facts.withColumn("reason", reason)
         facts = facts.withColumn("pixels", F.when(F.col("reason").isNull(), F.col("pixels")))
-        facts.write.mode("append").parquet(table)
+        facts.withColumn("run", F.lit(run)).write.mode("append").parquet(table)
     if not path_exists(spark, table):
         return with_image_features(
             spark.createDataFrame([], "source_name string, rel_path string, sha256 string, width int, height int, pixels array<bigint>, caption string")
         ).withColumn("reason", F.lit(None).cast("string"))
-    # a rejected image is scanned again by every run, so only its latest verdict counts once
+    # a rejected image is scanned again by every run: only its latest verdict counts, and none once it is accepted
     stored = spark.read.parquet(table)
-    accepted = stored.where(F.col("reason").isNull())
-    return accepted.unionByName(stored.where(F.col("reason").isNotNull()).dropDuplicates(["source_name", "rel_path"]))
+    keys = ["source_name", "rel_path"]
+    accepted, rejected = stored.where(F.col("reason").isNull()), stored.where(F.col("reason").isNotNull())
+    latest = rejected.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stored.columns if c not in keys]), "run").alias("r"))
+    latest = latest.select(*keys, "r.*").join(accepted.select(*keys), keys, "left_anti")
+    return accepted.unionByName(latest.select(*stored.columns)).drop("run")
 
 
 def with_source_metadata(landed: DataFrame, catalogue: DataFrame) -> DataFrame:

@@ -16,8 +16,12 @@ GRID_COLUMN = "grid"
 
 
 def read_parquet_tree(spark: SparkSession, root: str, grid: bool = False) -> DataFrame:
-    """Rows of all Parquet files below ``root`` with only the columns that can matter."""
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(root)
+    """Rows of all Parquet files below ``root`` with only the columns that can matter.
+
+    Files may have different columns: those a file lacks are NULL in its rows. One name with two types is an error.
+    """
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").option("mergeSchema", True)
+    df = reader.parquet(root)
     wanted = [c for c in IMAGE_COLUMNS if c in df.columns] + ([GRID_COLUMN] if grid and GRID_COLUMN in df.columns else [])
     return df.select(*wanted) if wanted else df
 
@@ -43,25 +47,31 @@ def caption(df: DataFrame) -> Column:
 
 
 def grid_pixels(grid: Column, colors: Column) -> Column:
-    """struct<width,height,pixels> of a square grid of palette numbers, NULL when its length is no square."""
+    """struct<width,height,pixels> of a square grid of palette numbers, NULL when its length is no square; a number that the
+    palette lacks is an error."""
+    unknown = F.raise_error(F.lit("a grid has a number that its palette lacks")).cast("bigint")
     side = F.floor(F.sqrt(F.size(grid).cast("double"))).cast("int")
 
     def build(n: Column) -> Column:
         return F.when(
             (F.size(grid) > 0) & (n * n == F.size(grid)),
-            F.struct(n.alias("width"), n.alias("height"), F.transform(grid, lambda i: F.get(colors, i)).alias("pixels")),
+            F.struct(n.alias("width"), n.alias("height"), F.transform(grid, lambda i: F.coalesce(F.get(colors, i), unknown)).alias("pixels")),
         )
 
     return let(side, build)
 
 
 def palette_row(palette: DataFrame) -> DataFrame:
-    """A palette table (idx, r, g, b[, a]) as one row; indices are single bytes, so it has at most 256 entries."""
+    """A palette table (idx, r, g, b[, a]) as one row of colours by ``idx``, NULL where the table has a gap. An ``idx`` given
+    twice or below zero is an error."""
     a = F.col("a") if "a" in palette.columns else F.lit(255)
     packed = a.cast("bigint") * 16777216 + F.col("r").cast("bigint") * 65536 + F.col("g").cast("bigint") * 256 + F.col("b").cast("bigint")
-    kept = palette.where((F.col("idx") >= 0) & (F.col("idx") < 256)).dropDuplicates(["idx"])
-    entries = kept.agg(F.sort_array(F.collect_list(F.struct("idx", packed.alias("c")))).alias("e"))
-    return entries.select(F.transform("e", lambda x: x["c"]).alias("_colors"))
+    entries = palette.agg(F.collect_list(F.struct("idx", packed.alias("c"))).alias("e"), F.min("idx").alias("low"), F.max("idx").alias("high"))
+    numbers = F.transform("e", lambda x: x["idx"])
+    bad = (F.size(F.array_distinct(numbers)) < F.size(numbers)) | (F.col("low") < 0)
+    colors = F.transform(F.sequence(F.lit(0), F.col("high")), lambda i: F.get(F.transform("e", lambda x: x["c"]), (F.array_position(numbers, i) - 1).cast("int")))
+    error = F.raise_error(F.lit("a palette gives a number twice or below zero")).cast("array<bigint>")
+    return entries.select(F.when(bad, error).otherwise(F.coalesce(colors, F.array().cast("array<bigint>"))).alias("_colors"))
 
 
 def extract_images(df: DataFrame, palette: DataFrame | None = None) -> DataFrame:

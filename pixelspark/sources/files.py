@@ -20,12 +20,17 @@ MEMBER_COLUMNS = ["archive", "member", "content"]
 MEMBER_BATCH_BYTES = 16 << 20
 
 
-def relative_path(path: Column, root: str) -> Column:
-    """Path below ``root``; scheme prefixes of either side are ignored."""
-    bare = root.split(":", 1)[1] if "://" in root or root.startswith("file:") else root
-    bare = "/" + bare.strip("/") + "/"
+def relative_path(spark: SparkSession, path: Column, root: str) -> Column:
+    """Path below ``root``, which the file system makes absolute first; scheme and host are left out on both sides. A root
+    that is a file itself, or a pattern, leaves the path from the pattern's fixed folder on, or the file's name."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
+    bare = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toUri().getPath()
+    fixed = bare.rstrip("/")
+    while any(c in fixed for c in "*?[{"):
+        fixed = fixed.rsplit("/", 1)[0]
     plain = F.regexp_replace(path, r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
-    return F.substring(plain, F.locate(bare, plain) + len(bare), F.length(plain))
+    below = F.substring(plain, len(fixed) + 2, 1 << 30)
+    return F.when(plain == fixed, F.element_at(F.split(plain, "/"), -1)).otherwise(below)
 
 
 def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
@@ -36,7 +41,7 @@ def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(root).withColumn("rel_path", relative_path(F.col("path"), root))
+    files = reader.load(root).withColumn("rel_path", relative_path(spark, F.col("path"), root))
     files = files.where(~names.is_hidden("rel_path")).withColumn("suffix", names.suffix("rel_path"))
     return files.select("path", "rel_path", "suffix", "modificationTime", "length", "content")
 
@@ -52,7 +57,7 @@ def read_images(spark: SparkSession, root: str) -> DataFrame:
     """
     images = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(root)
     path = F.col("image.origin")
-    out = images.select(path.alias("path"), relative_path(path, root).alias("rel_path"), F.col("image").alias("_image"))
+    out = images.select(path.alias("path"), relative_path(spark, path, root).alias("rel_path"), F.col("image").alias("_image"))
     pixels = pixels_from_image_struct(F.col("_image"))
     ok = F.col("_image.width") > 0
     return out.where(~names.is_hidden("rel_path")).select(

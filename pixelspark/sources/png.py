@@ -119,7 +119,9 @@ def decode(data: bytes) -> tuple[int, int, np.ndarray, dict[str, str]]:
             text[key.decode("latin-1")] = (zlib.decompress(value) if flags[0] else value).decode("utf-8", "replace")
     width, height, depth, color, _, _, interlace = head
     channels = CHANNELS[color]
-    stream = zlib.decompress(body)
+    # no more than the header implies: rows of samples with a filter byte each, at most one more row for each pass of a pixel's size
+    opened = zlib.decompressobj()
+    stream = opened.decompress(body, (-(-width * depth * channels // 8) + 1 + 8) * (height + 8) * 2)
     if interlace:
         grid = np.zeros((height, width, channels), dtype=np.int64)
         for x0, y0, dx, dy in PASSES:

@@ -6,6 +6,7 @@ be known about *all* earlier data, the digests, is kept in a table and not in st
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,18 +28,23 @@ def new_only(batch: DataFrame, landed: DataFrame, key: str) -> DataFrame:
 
 def first_of_each(batch: DataFrame, key: str, order: str) -> DataFrame:
     """Earliest row per key inside one batch, with copies combined before the shuffle."""
-    columns = [c for c in batch.columns if c not in (key, order)]
-    packed = batch.groupBy(key).agg(F.min(F.struct(order, *columns)).alias("f"))
+    columns = [c for c in batch.columns if c != key]
+    packed = batch.groupBy(key).agg(F.min_by(F.struct(*columns), order).alias("f"))
     return packed.select(*[key if c == key else F.col(f"f.{c}").alias(c) for c in batch.columns])
 
 
-def _append_unseen(spark: SparkSession, batch: DataFrame, table: str, key: str, order: str, batch_id: int) -> None:
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark keeps in a checkpoint: another one for every new checkpoint, the same after a restart."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()["value"])["id"]
+
+
+def _append_unseen(spark: SparkSession, batch: DataFrame, table: str, key: str, order: str, stream: str, batch_id: int) -> None:
     fresh = first_of_each(batch, key, order)
     if path_exists(spark, table):
-        landed = spark.read.parquet(table).where(F.col("batch") != batch_id)
-        fresh = new_only(fresh, landed, key)
-    # a repeated batch overwrites its own folder, so a retry after a lost driver adds nothing twice
-    fresh.write.mode("overwrite").parquet(f"{table.rstrip('/')}/batch={batch_id}")
+        own = (F.col("stream") == f"id-{stream}") & (F.col("batch") == batch_id)
+        fresh = new_only(fresh, spark.read.parquet(table).where(~own), key)
+    # a repeated batch overwrites its own folder, so a retry after a lost driver adds nothing twice; other streams have others
+    fresh.write.mode("overwrite").parquet(f"{table.rstrip('/')}/stream=id-{stream}/batch={batch_id}")
 
 
 def ingest_unseen(
@@ -46,12 +52,12 @@ def ingest_unseen(
 ):
     """Land every row whose ``key`` (a digest) was never seen before; runs over what is available and stops.
 
-    Returns the finished query. ``prepare`` runs on each micro-batch first, for example to validate files.
+    Several streams, each with its checkpoint, may land in one table one after the other. Returns the finished query. ``prepare`` runs on each micro-batch first, for example to validate files.
     """
     spark = stream.sparkSession
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        _append_unseen(spark, prepare(batch) if prepare else batch, table, key, order, batch_id)
+        _append_unseen(spark, prepare(batch) if prepare else batch, table, key, order, stream_id(spark, checkpoint), batch_id)
 
     query = stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
