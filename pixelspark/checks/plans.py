@@ -35,7 +35,7 @@ def corpus_run(spark, sf, **options):
     stored = v.png_files(spark, sf).select("label", F.struct(F.col("content").alias("bytes")).alias("image"), F.lit("a sprite").alias("caption"))
     sources = []
     for i, (name, license_) in enumerate(SOURCES):
-        stored.where(F.col("label") % 3 == i).select("image", "caption").coalesce(4).write.parquet(f"{root}/in/{i}")
+        stored.where(F.col("label") % 3 == i).select("image", "caption").write.parquet(f"{root}/in/{i}")
         sources.append({"name": name, "path": f"{root}/in/{i}", "license": license_, "category": f"c{i}", "extract_parquet": True})
     spark.createDataFrame([(json.dumps({"sources": sources}),)], "value string").coalesce(1).write.text(f"{root}/config")
     return prepare_corpus(spark, f"{root}/config", f"{root}/out", **options)
@@ -53,19 +53,20 @@ _RAW = f"""SELECT label % 3 AS part, image_id % 11 = 5 AS broken FROM sprite"""
     UNION ALL SELECT 'Pack Two', 0, 0, 0, 'license_not_allowed', 1""",
 )
 def _(spark, sf):
-    return corpus_run(spark, sf, target_count=100, min_count=10)["sources"].drop("blocked_reason")
+    return corpus_run(spark, sf, target_count=v.table(spark, sf, "embeddings").count(), min_count=10)["sources"].drop("blocked_reason")
 
 
 @check("q1_corpus_with_scenes")
 def _(spark, sf):
-    out = corpus_run(spark, sf, target_count=100, min_count=10, scenes=max(2, v.table(spark, sf, "embeddings").count() // 10))
+    n = v.table(spark, sf, "embeddings").count()
+    out = corpus_run(spark, sf, target_count=n, min_count=10, scenes=max(2, n // 10))
     return out["manifest"].select("rel_path", "bucket", "license", "category", "unique_color_count")
 
 
 def candidate_assets(spark, sf):
-    """documents as candidates whose hashes are equal for copies and near for texts with the same start."""
+    """documents as candidates whose hashes are equal for copies and near for texts of nearly the same length."""
     a = v.assets(spark, sf)
-    start = F.md5(F.substring("content", 1, 24))
+    start = F.md5(F.floor(F.length("content") / 8).cast("string"))
     high = F.conv(F.substring(start, 1, 8), 16, 10).cast("bigint")
     low = F.conv(F.substring(start, 9, 8), 16, 10).cast("bigint")
     h = F.shiftleft(high, 32).bitwiseOR(low).bitwiseXOR(F.length("content").cast("bigint") % 8)
@@ -77,7 +78,7 @@ def candidate_assets(spark, sf):
 @check(
     "q2_candidate_classes",
     f"""WITH RECURSIVE {v.ASSET}, cand AS (SELECT asset_id, rel_path, sha256, width, height, unique_color_count % 100 AS colors,
-      substr(md5(substr(content, 1, 24)), 1, 16) AS start, length(content) % 8 AS tail FROM asset),
+      substr(md5(CAST(CAST(floor(length(content) / 8) AS BIGINT) AS VARCHAR)), 1, 16) AS start, length(content) % 8 AS tail FROM asset),
     bits AS (SELECT *, CASE WHEN width > 128 OR height > 128 THEN 'oversized_high_res' WHEN colors > 64 THEN 'lossy_gt_64_colors' END AS reason FROM cand),
     ok AS (SELECT *, row_number() OVER (ORDER BY string_split(rel_path, '/')) AS n FROM bits WHERE reason IS NULL),
     pass(n, kept, taken, copy) AS (
