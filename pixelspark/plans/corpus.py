@@ -9,7 +9,7 @@ from ..functions import names
 from ..functions.buckets import image_rejection_raw
 from ..functions.hashing import content_digest, crop_digest
 from ..operators import reports
-from ..operators.compose import CANVAS, compose_scenes, missing_scenes
+from ..operators.compose import CANVAS, TOO_FEW, compose_scenes, missing_scenes
 from ..operators.curate import balanced_sample, group_key, is_eligible, sample_cap
 from ..session import cut_lineage
 from ..sources import embedded
@@ -150,6 +150,11 @@ def source_report(landed: DataFrame, gated: DataFrame) -> DataFrame:
     return whole.unionByName(reasons).unionByName(gate_report(gated))
 
 
+def _counts(spark: SparkSession, section: str, counts: dict[str, int]) -> DataFrame:
+    """Numbers known to the driver as rows of a report."""
+    return spark.createDataFrame([(section, k, v) for k, v in counts.items()], "section string, key string, count bigint")
+
+
 def prepare_corpus(
     spark: SparkSession,
     config_path: str,
@@ -167,7 +172,8 @@ def prepare_corpus(
     """Build a corpus below ``output``; returns its tables: ``manifest``, ``sources``, ``report`` and ``status``.
 
     Stored tables: ``assets`` (every scanned image, pixels of the accepted), ``scenes``, ``manifest.raw.jsonl``,
-    ``manifest.jsonl`` and ``report``. A second run takes up what is stored.
+    ``manifest.jsonl``, ``sources`` (counts, reasons and blocked sources) and ``report`` (raw and curated manifests, curation, totals,
+    reasons, composition, thresholds and status). A second run takes up what is stored.
     """
     folder = output.rstrip("/")
     catalogue = read_catalogue(spark, config_path)
@@ -178,7 +184,7 @@ def prepare_corpus(
     wanted = ("rel_path", "sha256", "width", "height", "unique_color_count", "palette_size", "lossy", "phash",
               "source", "source_url", "license", "author", "category", "tags", "provenance", "caption")
     rows = assets.select(*wanted)
-    sections = []
+    sections, composed = [], 0
     if scenes:
         table = f"{folder}/scenes"
         requested = spark.range(scenes).withColumnRenamed("id", "scene_id")
@@ -189,8 +195,11 @@ def prepare_corpus(
         if not todo.isEmpty():
             scene_rows(compose_scenes(assets, todo, seed), max_colors).write.mode("append").parquet(table)
         made = spark.read.parquet(table)
+        composed = made.count()
         rows = rows.unionByName(made.select(*wanted))
-        sections.append(reports.totals(made, "composition", created=F.count(F.lit(1)), reused=F.max(F.lit(reused)), new=F.count(F.lit(1)) - reused))
+        sections.append(_counts(spark, "composition", {"created": composed, "reused": reused, "new": composed - reused}))
+        if composed < scenes:
+            sections.append(_counts(spark, "composition_reason", {TOO_FEW: scenes - composed}))
 
     base = with_metadata_map(rows).withColumn("path", F.concat(F.lit(f"{folder}/assets/"), F.col("rel_path")))
     raw = cut_lineage(manifest_rows(base, hamming))
@@ -204,8 +213,21 @@ def prepare_corpus(
     status = reports.readiness(chosen, min_count)
     curation = reports.curation_report(raw, is_eligible(), group_key(F.col("category"), F.col("bucket")), chosen, cap)
     report = reports.manifest_report(raw).withColumn("section", F.concat(F.lit("manifest."), F.col("section"))).unionByName(curation)
+    no_reason = F.col("reason").isNull()
+    limits = {"target_count": target_count, "min_count": min_count, "max_size": max_size, "max_colors": max_colors}
+    limits |= {"max_pixel_art_colors": max_pixel_art_colors, "hamming": hamming, "per_bucket_cap": cap}
+    sections += [
+        reports.manifest_report(chosen).withColumn("section", F.concat(F.lit("curated."), F.col("section"))),
+        reports.totals(
+            landed, "total", total_scanned=F.count(F.lit(1)), total_accepted=F.count_if(no_reason) + composed, total_rejected=F.count_if(~no_reason)
+        ),
+        reports.histogram(landed, "rejection_reasons", F.col("reason")),
+        _counts(spark, "thresholds", limits),
+        status.select(F.lit("status").alias("section"), F.col("status").alias("key"), F.col("selected").alias("count")),
+    ]
     for section in sections:
         report = report.unionByName(section)
     report = cut_lineage(report)
     write_report(report, f"{folder}/report")
+    sources.write.mode("overwrite").json(f"{folder}/sources")
     return {"manifest": chosen, "raw_manifest": raw, "sources": sources, "report": report, "status": status}

@@ -117,3 +117,23 @@ def test_capital_endings_of_members(spark, tmp_path):
         z.writestr("b.PNG", png(picture(2)))
     landed = land_sources(spark, gated(spark, tmp_path, path=str(tmp_path / "pack.zip")), str(tmp_path / "out"))
     assert [r.rel_path for r in landed.collect()] == ["a.png"]
+
+
+def test_stored_report(spark, tmp_path):
+    from pixelspark.plans.corpus import prepare_corpus
+
+    root, out = tmp_path / "in", str(tmp_path / "out")
+    for i in range(5):
+        save(root / f"a{i}.png", picture(20 * i))
+    (root / "bad.png").write_bytes(b"no")
+    config = tmp_path / "c.json"
+    config.write_text(json.dumps({"sources": [{"name": "pack", "path": str(root), "license": "cc0", "source_url": "local", "category": "x"}]}))
+    prepare_corpus(spark, str(config), out, target_count=3, min_count=2, scenes=2)
+    stored = {(r.section, r.key): r["count"] for r in spark.read.json(f"{out}/report").collect()}
+    assert [stored["total", f"total_{k}"] for k in ("scanned", "accepted", "rejected")] == [6, 5, 1]
+    assert stored["rejection_reasons", "corrupt"] == 1 and stored["thresholds", "hamming"] == 4 and stored["thresholds", "target_count"] == 3
+    assert stored["composition", "created"] == stored["composition", "reused"] == 0
+    assert [k for s, k in stored if s == "composition_reason"] and [k for s, k in stored if s == "status"]
+    assert any(s.startswith("curated.") for s, _ in stored)
+    (line,) = [r for r in spark.read.json(f"{out}/sources").collect() if r["scanned"]]
+    assert (line["source"], line["accepted"], line["rejected"]) == ("pack", 5, 1)
