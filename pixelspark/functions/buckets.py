@@ -36,15 +36,16 @@ def bucket_id(width: Column | str, height: Column | str, sizes: Sequence[int] =
     return F.when(size.isNotNull(), F.concat_ws(":", size.cast("string"), aspect_bucket(width, height)))
 
 
-def stage_shape(width: Column | str, height: Column | str, stage: int, downsample: int = 4) -> Column:
+def stage_shape(width: Column | str, height: Column | str, stage: Column | int, downsample: int = 4) -> Column:
     """struct<w,h> of an image in a stage: only ever scaled down, then padded up to whole tokens."""
     w, h = col(width), col(height)
-    scale = F.least(F.lit(1.0), F.lit(float(stage)) / F.greatest(w, h))
+    most = stage if isinstance(stage, Column) else F.lit(stage)
+    scale = F.least(F.lit(1.0), most.cast("double") / F.greatest(w, h))
 
     def side(n: Column) -> Column:
         scaled = F.greatest(F.lit(1), F.bround(n * scale).cast("int"))
         tokens = F.ceil(scaled / downsample).cast("int")
-        return F.least(F.lit(stage), F.greatest(F.lit(1), tokens) * downsample)
+        return F.least(most, F.greatest(F.lit(1), tokens) * downsample)
 
     return F.struct(side(w).alias("w"), side(h).alias("h"))
 

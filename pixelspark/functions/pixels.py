@@ -73,7 +73,7 @@ def index_map(pixels: Column | str, colors: Column | str) -> Column:
 
 def decode_indices(indices: Column | str, colors: Column | str) -> Column:
     """Indices back to pixels; an index outside the palette is an error."""
-    bad = F.raise_error(F.lit("indices reference colors outside the palette")).cast("bigint")
+    bad = F.raise_error(F.lit("an index lies outside the palette")).cast("bigint")
     return let(
         col(colors),
         lambda p: F.transform(

@@ -13,13 +13,13 @@ from .shuffles import seeded_rank, seeded_split
 
 def train_validation_split(df: DataFrame, key: str, validation_fraction: float = 0.2, seed: int = 0) -> DataFrame:
     if not 0 < validation_fraction < 1:
-        raise ValueError("validation_fraction must be between 0 and 1")
+        raise ValueError("the share for validation lies between 0 and 1")
     return seeded_split(df, [key], seed, [("validation", validation_fraction), ("train", None)])
 
 
 def train_val_test_split(df: DataFrame, key: str, validation_fraction: float = 0.2, test_fraction: float = 0.2, seed: int = 0) -> DataFrame:
     if validation_fraction <= 0 or test_fraction <= 0 or validation_fraction + test_fraction >= 1:
-        raise ValueError("validation/test fractions must be positive and sum to less than 1")
+        raise ValueError("the shares for validation and test are above 0, and below 1 together")
     return seeded_split(df, [key], seed, [("test", test_fraction), ("validation", validation_fraction), ("train", None)])
 
 
@@ -77,7 +77,3 @@ def batch_rows(collated: DataFrame, columns: list[str], batch: str = "batch_id",
     """One row per batch with its samples in order; a batch is bounded by the batch size."""
     packed = F.array_sort(F.collect_list(F.struct(slot, *columns)))
     return collated.groupBy(batch, "batch_width", "batch_height").agg(packed.alias("samples"))
-
-
-def decoded(df: DataFrame) -> DataFrame:
-    return df.withColumn("pixels", px.decode_indices("indices", "palette"))

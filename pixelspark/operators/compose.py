@@ -18,7 +18,7 @@ SCENE_URL = "local"
 SCENE_CATEGORY = "scene"
 SCENE_TAGS = ("scene", "procedural")
 MIXED_LICENSE = "mixed permissive"
-TOO_FEW = "need at least two transparent assets"
+TOO_FEW = "fewer than two assets with transparency"
 
 
 def draw_positions(scene: Column, pool: int, layers: int, seed: int) -> Column:

@@ -51,10 +51,10 @@ def grid_alignment(pred: Column | str) -> Column:
     return (hard / F.size(col(pred)) + 1.0) / 2
 
 
-def pair_metrics(pairs: DataFrame, key: str) -> DataFrame:
+def pair_metrics(pairs: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Metrics per pair from ``pred_pixels, pred_width, pred_height, target_pixels, target_width, target_height``.
 
-    The predicted shape wins: the target is cropped or padded to it. All of it stays inside the row.
+    The predicted shape wins: the target is cropped or padded to it. All of it stays inside the row, with the columns ``keep``.
     """
     w, h = F.col("pred_width"), F.col("pred_height")
     df = pairs.withColumn("_t", pinned(px.fit_to_shape("target_pixels", F.col("target_width"), F.col("target_height"), w, h)))
@@ -80,6 +80,7 @@ def pair_metrics(pairs: DataFrame, key: str) -> DataFrame:
         mask_iou(largest("_pl"), largest("_tl")).alias("largest_component_iou"),
         (1.0 - gap / F.greatest("_pc", "_tc", F.lit(1))).alias("connected_component_consistency"),
         grid_alignment("pred_pixels").alias("grid_pixel_alignment"),
+        *keep,
     )
 
 

@@ -12,7 +12,7 @@ MIN_COLORS, MAX_COLORS = 8, 64
 
 def check_max_colors(max_colors: int) -> None:
     if not MIN_COLORS <= max_colors <= MAX_COLORS:
-        raise ValueError(f"max_colors must be between {MIN_COLORS} and {MAX_COLORS}")
+        raise ValueError(f"the number of colours lies between {MIN_COLORS} and {MAX_COLORS}")
 
 
 def box_palettes(df: DataFrame, key: str, max_colors: int) -> DataFrame:

@@ -22,7 +22,7 @@ def with_regions(df: DataFrame, connected: bool = True, max_regions: int = 64, o
     return labelled.withColumn(out, components.regions_from_labels("_labels", max_regions)).drop("_labels")
 
 
-def with_stage_grid(df: DataFrame, stage: int, downsample: int = 4, values: str = "structure", classes: int | None = None) -> DataFrame:
+def with_stage_grid(df: DataFrame, stage: Column | int, downsample: int = 4, values: str = "structure", classes: int | None = None) -> DataFrame:
     """Add ``stage_width``, ``stage_height`` and ``stage_<values>``: the grid resized for a stage."""
     shape = stage_shape("width", "height", stage, downsample)
     sized = df.withColumn("_shape", shape)
@@ -68,7 +68,7 @@ def masked_cells(
     Adds ``masked`` and ``label`` (the hidden token, otherwise -100). An image is bounded, so its window is too.
     """
     if not 0 < min_ratio <= max_ratio <= 1:
-        raise ValueError("mask ratios must satisfy 0 < min <= max <= 1")
+        raise ValueError("the least share of masked cells is above 0, the most is no less and at most 1")
     per_image = Window.partitionBy(image)
     ratio = F.lit(min_ratio) + seeded_unit(seed, F.col(image)) * F.lit(max_ratio - min_ratio)
     order = Window.partitionBy(image, "valid").orderBy(seeded_hex(seed + 1, F.col(image), F.col(position)), position)
@@ -85,7 +85,7 @@ def masked_grid(
 ) -> Column:
     """struct<masked,label> of a whole grid, with the same draw as ``masked_cells`` but inside the row: no shuffle."""
     if not 0 < min_ratio <= max_ratio <= 1:
-        raise ValueError("mask ratios must satisfy 0 < min <= max <= 1")
+        raise ValueError("the least share of masked cells is above 0, the most is no less and at most 1")
     ratio = F.lit(min_ratio) + seeded_unit(seed, image) * F.lit(max_ratio - min_ratio)
     cells = F.zip_with(tokens, valid, lambda t, ok: F.struct(t.alias("t"), ok.alias("ok")))
     keyed = F.transform(

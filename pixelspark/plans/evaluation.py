@@ -12,9 +12,8 @@ from ..operators.reports import split_report
 
 def evaluate_pairs(pairs: DataFrame, key: str = "pair_id", dim: int = 64, text_encoder=text_embedding, image_encoder=image_embedding) -> DataFrame:
     """Per-pair metrics with the alignment of ``prompt`` and predicted image."""
-    scored = pair_metrics(pairs, key)
-    aligned = pairs.select(key, dot(text_encoder(F.col("prompt")), image_encoder(F.col("pred_pixels"))).alias("text_image_alignment"))
-    return scored.join(aligned, key)
+    aligned = pairs.withColumn("text_image_alignment", dot(text_encoder(F.col("prompt")), image_encoder(F.col("pred_pixels"))))
+    return pair_metrics(aligned, key, keep=("text_image_alignment",))
 
 
 def evaluation_report(pairs: DataFrame, splits: DataFrame, key: str = "pair_id", latency_ms: float = 0.0) -> tuple[DataFrame, DataFrame]:

@@ -67,5 +67,5 @@ def open_dataset(spark: SparkSession, root: str, manifest: str | None = None) ->
         listing = scan_png(spark, root).select("path", "rel_path", "modificationTime", "length")
         rows = join_sidecars(listing, read_sidecars(spark, root))
     if rows.isEmpty():
-        raise ValueError(f"no PNG files found under {root}")
+        raise ValueError(f"{root} has no PNG files")
     return rows

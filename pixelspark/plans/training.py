@@ -46,13 +46,9 @@ def training_batches(rows: DataFrame, encodings: DataFrame, key: str = "rel_path
 
 
 def stage_targets(images: DataFrame, stages=(32, 64, 128), downsample: int = 4, classes: int = 65, connected: bool = True) -> DataFrame:
-    """One row per image and stage: regions resized to the stage's shape, kept within the class range."""
-    regions = with_regions(images, connected)
-    out = None
-    for stage in stages:
-        part = with_stage_grid(regions, stage, downsample, classes=classes).withColumn("stage", F.lit(stage))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """One row per image and stage: regions, found once, resized to each stage's shape and kept within the class range."""
+    staged = with_regions(images, connected).withColumn("stage", F.explode(F.array(*map(F.lit, stages))))
+    return with_stage_grid(staged, F.col("stage"), downsample, classes=classes)
 
 
 def stage_codes(latents: DataFrame, codebook: DataFrame, vector: str = "vector") -> DataFrame:

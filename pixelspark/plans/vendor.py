@@ -68,7 +68,7 @@ def prepare_vendor_pack(
     if path_exists(spark, output):
         listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(output)
         if not listing.select("path").isEmpty():
-            raise ValueError(f"output directory must be empty: {output}")
+            raise ValueError(f"the output folder must be empty, {output} is not")
     if source_path.lower().endswith(".zip"):
         archive = spark.read.format("binaryFile").load(source_path).select(F.col("path").alias("rel_path"), "content")
         files = expand_archives(archive).select(F.col("member").alias("rel_path"), "content")

@@ -93,5 +93,5 @@ def extract_images(df: DataFrame, palette: DataFrame | None = None) -> DataFrame
 
 def require_images(images: DataFrame, where: str) -> DataFrame:
     if images.isEmpty():
-        raise ValueError(f"no image payloads found in parquet source {where}")
+        raise ValueError(f"no row of {where} holds an image")
     return images

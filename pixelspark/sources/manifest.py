@@ -43,11 +43,6 @@ def rebased_path(rel_path: Column, path: Column, root: str) -> Column:
     return F.coalesce(F.concat(F.lit(root + "/"), text(rel_path)), path)
 
 
-def parse_metadata(metadata: Column) -> Column:
-    """Metadata kept as JSON text by another writer."""
-    return F.from_json(metadata, "map<string,string>")
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
