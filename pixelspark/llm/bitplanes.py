@@ -104,7 +104,7 @@ def write_token_files(
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = LibraryEncoder(path, space), int(end_id).to_bytes(4, "little")
+        encoder, end = LibraryEncoder.of_worker(path, space), int(end_id).to_bytes(4, "little")
         part, number, before = TaskContext.get().partitionId(), 0, 0
         keys: list = []
         texts: list[bytes] = []

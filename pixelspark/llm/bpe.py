@@ -6,7 +6,7 @@ the last token of that shorter prefix. So a prefix needs one state, its last tok
 the states of that prefix. Distinct words of a slice form a trie, walked depth-first (sorted order visits its nodes in that
 order, with the states of the current path on a stack), so each shared prefix is computed once.
 
-A task holds one slice's words and a bounded memory of finished words; nothing is shuffled or broadcast.
+A worker holds one slice's words and a bounded memory of finished words; nothing is shuffled or broadcast.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .base import documents, map_texts
-from .words import WordMemory, pieces
+from .words import WordMemory, kept_by_worker, pieces
 
 
 def byte_letters() -> dict[str, int]:
@@ -200,7 +200,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     """(doc_id, ids): token ids of whole texts. A NULL or empty text has no ids; repeated rows each have their own row."""
 
     def start():
-        encoder = TrieEncoder(path, pattern)
+        encoder = kept_by_worker(("trie", path, pattern), lambda: TrieEncoder(path, pattern))
 
         def work(ids: pa.Array, texts: list[str]) -> dict:
             return {"doc_id": ids, "ids": [memoryview(packed).cast("I").tolist() for packed in encoder(texts)]}
@@ -232,7 +232,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     """
 
     def start():
-        encoder = TrieEncoder(path, pattern)
+        encoder = kept_by_worker(("trie", path, pattern), lambda: TrieEncoder(path, pattern))
         bytes_of = encoder.vocabulary.bytes_of
         decimal = list(map(str, range(len(bytes_of))))
 

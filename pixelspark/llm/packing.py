@@ -163,7 +163,7 @@ def pack_documents(
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = LibraryEncoder(path), int(end_id).to_bytes(4, "little")
+        encoder, end = LibraryEncoder.of_worker(path), int(end_id).to_bytes(4, "little")
         packer = DocumentPacker(tokens, segments, loss, TaskContext.get().partitionId() << SEQUENCE_BITS)
 
         def out(rows: list[tuple]) -> pa.RecordBatch:

@@ -1,4 +1,4 @@
-"""Exact token ids of whole texts, with every distinct word encoded once per task.
+"""Exact token ids of whole texts, with every distinct word encoded once as long as a worker remembers it.
 
 A byte-level pre-tokenizer starts a new piece at every space that stands before a visible character, and single line
 breaks are pieces of their own. Texts are therefore cut there first; what lies between is encoded once and looked up
@@ -9,6 +9,8 @@ if it is a space, joins the next word.
 from __future__ import annotations
 
 import re
+import sys
+import types
 from array import array
 from collections.abc import Callable, Iterable
 
@@ -17,7 +19,7 @@ import numpy as np
 RUN = re.compile(r"\s{2,}")
 MARKED = re.compile(r"([^\W\d_]+)[^\w\s]+")
 JOINED = 500  # new words encoded in one call of the library
-WORDS_KEPT = 400_000  # distinct words remembered at once by a task; beyond it the memory is emptied, results stay
+WORDS_KEPT = 600_000  # distinct words remembered at once by a worker; a bound on memory, results do not depend on it
 
 
 def _simple(text: str, spaced: bool, out: list) -> None:
@@ -53,16 +55,36 @@ def pieces(text: str) -> list[tuple[list[str], list[str]]]:
     return out
 
 
+def kept_by_worker(key: tuple, make: Callable):
+    """An object that a Python worker makes once and keeps for its later tasks."""
+    store = sys.modules.setdefault("_pixelspark_worker", types.ModuleType("_pixelspark_worker")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 class WordMemory:
-    """Values of words, asked for in batches; ``encode`` maps new words to values."""
+    """Values of words, asked for in batches; ``encode`` maps new words to values.
+
+    When it is full, the words at hand become the older half, from which words still in use come back.
+    """
 
     def __init__(self, encode: Callable[[list[str]], Iterable], most: int = WORDS_KEPT):
         self.encode, self.most = encode, most
         self.plain: dict = {}
         self.spaced: dict = {}  # keyed without the space
+        self.older: tuple[dict, dict] = ({}, {})
+
+    def _learn(self, known: dict, older: dict, wanted: set, before: str) -> None:
+        new = [w for w in wanted if w not in known]
+        back = {w: older[w] for w in new if w in older}
+        known.update(back)
+        new = [w for w in new if w not in back]
+        known.update(zip(new, self.encode([before + w for w in new] if before else new), strict=True))
 
     def learn(self, cut: list[list[tuple[list[str], list[str]]]]) -> None:
-        if len(self.plain) + len(self.spaced) > self.most:
+        if len(self.plain) + len(self.spaced) > self.most // 2:
+            self.older = (self.plain, self.spaced)
             self.plain, self.spaced = {}, {}
         heads: set = set()
         rests: set = set()
@@ -70,10 +92,8 @@ class WordMemory:
             for head, rest in text:
                 heads.update(head)
                 rests.update(rest)
-        new = [w for w in heads if w not in self.plain]
-        self.plain.update(zip(new, self.encode(new), strict=True))
-        new = [w for w in rests if w not in self.spaced]
-        self.spaced.update(zip(new, self.encode([" " + w for w in new]), strict=True))
+        self._learn(self.plain, self.older[0], heads, "")
+        self._learn(self.spaced, self.older[1], rests, " ")
 
     def values(self, text: list[tuple[list[str], list[str]]]) -> list:
         out: list = []
@@ -109,6 +129,10 @@ class LibraryEncoder:
         self.line = names.get("\u010a", -1)
         self.memory = WordMemory(self._ids)
 
+    @classmethod
+    def of_worker(cls, path: str, space: str = "prefix") -> LibraryEncoder:
+        return kept_by_worker(("library", path, space), lambda: cls(path, space))
+
     def _one(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
