@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import components, grids
-from ..functions import pixels as px
 from ..session import cut_lineage
 from .shuffles import seeded_rank, seeded_split
 
