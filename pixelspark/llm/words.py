@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-RUN = re.compile(r"\s{2,}")
+RUN = re.compile(r"[^\S\x1c-\x1f]{2,}")  # the four separators are no white space to the pre-tokenizer
 MARKED = re.compile(r"([^\W\d_]+)[^\w\s]+")
 JOINED = 500  # new words encoded in one call of the library
 WORDS_KEPT = 600_000  # distinct words remembered at once by a worker; a bound on memory, results do not depend on it
