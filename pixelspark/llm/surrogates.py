@@ -54,7 +54,9 @@ ALPHABETS = (
     "0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "àáâãäåèéêëìíîïòóôõöùúûü", "çñß", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ",
 )
 CLASS = {c: a for a in ALPHABETS for c in a}
-HINT = r"@|[0-9](?:[^0-9\n]{0,3}[0-9]){6}|[A-Z]{2}[0-9]{2}|(?i:\b(?:" + "|".join(map(re.escape, TITLES)) + r")\b)|\b(?:" + "|".join(n for g in GIVEN.values() for n in g) + r")\b"
+# what every entity holds, so a superset of the patterns: no word boundaries, which RE2 knows for ASCII only
+_TITLE, _LISTED = "|".join(map(re.escape, TITLES)), "|".join(n for names in GIVEN.values() for n in names)
+HINT = rf"@|[0-9](?:[^0-9\n]{{0,3}}[0-9]){{6}}|[0-9]\.[0-9]{{1,3}}\.[0-9]{{1,3}}\.[0-9]|[A-Z]{{2}}[0-9]{{2}}|(?:{_TITLE})\.?\x20|(?:{_LISTED})\x20"
 
 
 class Permutation:

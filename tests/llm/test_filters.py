@@ -199,6 +199,25 @@ def test_entities_leave_prose_alone(docs):
     assert entities("The year 1999, 3.14 and 12:30 on page 100-200 of version 1.2.3.") == []
 
 
+ALONE = {
+    "email": ["a@b.io"],
+    "iban": ["DE02 1203 0000 0000 2020 51", "GB33BUKB20201555555555"],
+    "ip": ["10.0.0.1", "8.8.8.8", "127.0.0.1", "192.168.100.200"],
+    "card": ["4111 1111 1111 1111"],
+    "ssn": ["123-45-6789"],
+    "phone": ["+49 (0171) 555-7713", "555 77 13"],
+    "number": ["1234567" * 5],
+    "person": [f"{t} Zora" for t in surrogates.TITLES] + ["господин Петров", "κυρία Παππά"] + [f"{n} {f}" for g in surrogates.GIVEN.values() for n in g for f in ("Weber", "Петрова")],
+}
+
+
+def test_no_text_with_one_entity_is_passed_over(spark):
+    rows = [(i, form.format(v), k) for i, (form, k, v) in enumerate((f, k, v) for f in ("{}", "see «{}».", "\u3042\n{} \u043e") for k, values in ALONE.items() for v in values)]
+    assert all([e[0] for e in entities(t)] == [k] for _, t, k in rows)
+    got = {r.doc_id: r for r in replace(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), b"key").collect()}
+    assert [(t, k) for i, t, k in rows if got[i].n_entities != 1 or got[i].entities.split(":")[0] != k] == []
+
+
 def test_compression_quality(spark, docs, odd, empty):
     labels = spark.read.parquet(f"{TABLES}/labels.parquet")
     model = fit(docs, labels)
