@@ -38,17 +38,17 @@ CROWD = 2048
 PAIRED = 32
 
 
-def _hashes(text: str) -> np.ndarray:
-    """XXH64 of the text's shingles."""
+def _hashes(text: str, n: int = WORDS) -> np.ndarray:
+    """XXH64 of the text's shingles of ``n`` words."""
     words = text.encode("utf-8", "replace").translate(LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
     line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= WORDS:
+    if len(words) <= n:
         return np.array([digest(line, SEED)], np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(sizes)
-    starts, stops = (ends - sizes)[: len(words) - WORDS + 1].tolist(), (ends - 1)[WORDS - 1 :].tolist()
+    starts, stops = (ends - sizes)[: len(words) - n + 1].tolist(), (ends - 1)[n - 1 :].tolist()
     return np.array([digest(line[a:b], SEED) for a, b in zip(starts, stops)], np.uint64)
 
 
