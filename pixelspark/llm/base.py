@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from itertools import chain, count
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -55,6 +55,19 @@ def map_texts(df: DataFrame, start: Callable[[], Callable[[list, list], dict]],
     return df.mapInArrow(run, schema)
 
 
+def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+    """Rows made from Arrow batches, cut into slices if there is a column ``text``: ``work`` returns the columns of ``schema``."""
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+    cut = "text" in df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch) if cut else [batch]:
+                yield pa.RecordBatch.from_pydict(work(part), schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a variant of it that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}
@@ -62,14 +75,19 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def row_key(doc_id="doc_id", text="text") -> list:
-    """Two never-NULL numbers that tell rows apart: the id, and a hash of id and text. Rows that share both are taken
-    as repetitions of one row."""
+    """Two never-NULL numbers, independent hashes of id and text, that tell rows apart whatever the id's type. Rows that share both
+    are taken as repetitions of one row."""
     return [
-        F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(2**63) + 1)).alias("row_id"),
+        F.xxhash64(F.lit(1), F.col(text), F.lit(2), F.col(doc_id)).alias("row_id"),
         F.xxhash64(F.col(doc_id), F.col(text)).alias("row_hash"),
     ]
 
 
+def first_row() -> Column:
+    """Orders rows by id, NULL ids last, and tells apart those that share one."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id", "row_hash")
+
+
 def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose row key is in ``keys`` (row_id, row_hash); of repeated rows one stays.
 

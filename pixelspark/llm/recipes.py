@@ -118,17 +118,14 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = verified_hash(docs, kinds)
     folder = scratch_path(df.sparkSession, "recipes")  # narrow rows that are read twice
-    recipes(docs, kind).write.parquet(folder)
+    recipes(docs, kind).withColumn("place", F.monotonically_increasing_id()).write.parquet(folder)
     rows = df.sparkSession.read.parquet(folder)
-    rows = rows.groupBy("doc_id", "row_id", "row_hash", "recipe", "text_sha256").agg(F.count(F.lit(1)).alias("copies"))
-    best = F.max(F.struct("row_id", "row_hash", "doc_id"))
-    groups = rows.groupBy(F.col("recipe").alias("of")).agg(best.alias("best"), F.sum("copies").alias("group_size"))
+    best = F.max(F.struct("doc_id", "row_id", "row_hash", "place"))
+    groups = rows.groupBy(F.col("recipe").alias("of")).agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
     # hot groups: both sides are plain shuffles, whose large partitions adaptive execution splits
     joined = rows.join(groups, F.col("recipe") == F.col("of"))
-    first = (F.col("row_id") == F.col("best.row_id")) & (F.col("row_hash") == F.col("best.row_hash"))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (first & (F.col("copy") == 1)).alias("kept"), "text_sha256", "row_id", "row_hash"
-    )
+    kept = (F.col("place") == F.col("best.place")).alias("kept")
+    return joined.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", kept, "text_sha256", "row_id", "row_hash")
 
 
 def drop_exact(docs: DataFrame, kinds: tuple[str, ...] = HASHES) -> DataFrame:

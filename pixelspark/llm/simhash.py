@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_path
-from .base import keep_rows, map_texts, row_key
+from .base import first_row, keep_rows, map_texts, row_key
 from .recipes import LOWER
 
 WORDS = 4
@@ -233,10 +233,10 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     if not crowded.isEmpty():
         links = links.union(midpoint_links(cut_lineage(crowded), bits))
     linked = components(links)
-    smallest = rows.groupBy("h").agg(F.min("doc_id").alias("least"), F.min(F.struct("row_id", "row_hash")).alias("first"))
+    smallest = rows.groupBy("h").agg(F.min("doc_id").alias("least"), F.min(first_row()).alias("first"))
     roots = smallest.join(linked, "h", "left").withColumn("root", F.coalesce("root", "h"))
-    ids = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("component_row"))
-    named = roots.select("h", "root").join(ids, "root").select("h", "component_id", "component_row")
+    ids = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
+    named = roots.select("h", "root").join(ids, "root").select("h", "component_id", F.struct("first.row_id", "first.row_hash").alias("component_row"))
     # hot fingerprints: plain shuffles on both sides, whose large partitions adaptive execution splits
     return rows.join(named, "h").select("doc_id", F.lower(F.lpad(F.hex("h"), 16, "0")).alias("fingerprint"), "component_id", "row_id", "row_hash", "component_row")
 
