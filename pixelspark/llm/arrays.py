@@ -10,6 +10,9 @@ LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 
+TERM = np.zeros(256, bool)
+TERM[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
 _random = np.random.default_rng(13)  # fixed values: the hash function
 BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = _random.integers(1, 1 << 63, 1, dtype=np.uint64)[0] * np.uint64(2) + np.uint64(1)
@@ -48,6 +51,16 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, lengths, np.searchsorted(offsets, at, "right") - 1
 
 
+def terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(term, text) of every run of letters A-Z, in lower case, and characters beyond ASCII."""
+    data, offsets = text_bytes(texts)
+    inside = TERM[data]
+    starts, _, owner = runs(inside, offsets)
+    letters = LOWER[data[inside]]
+    ends = np.append(starts, len(letters)).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(letters)), owner
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text) of every word in order; words are what white space separates, A-Z lower-cased."""
     inside = ~SPACE[data]

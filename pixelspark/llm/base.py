@@ -55,14 +55,14 @@ def map_texts(df: DataFrame, start: Callable[[], Callable[[list, list], dict]],
     return df.mapInArrow(run, schema)
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, most: int = SLICE_BYTES) -> DataFrame:
     """Rows made from Arrow batches, cut into slices if there is a column ``text``: ``work`` returns the columns of ``schema``."""
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
     cut = "text" in df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch) if cut else [batch]:
+            for part in slices(batch, most=most) if cut else [batch]:
                 yield pa.RecordBatch.from_pydict(work(part), schema=arrow)
 
     return df.mapInArrow(run, schema)

@@ -148,3 +148,49 @@ def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import similar_groups
 
     return similar_groups(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+OP11_SQL = r"""
+WITH docs AS (
+    SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w,
+        row_number() OVER () AS row_no
+    FROM documents
+), words AS (
+    SELECT lang, source, row_no, unnest(w) AS term FROM docs
+), kept AS (
+    SELECT lang, term, count(*) AS c FROM words GROUP BY ALL HAVING count(DISTINCT row_no) >= 3
+), langs AS (
+    SELECT lang, count(*) AS v, sum(c)::HUGEINT AS total FROM kept GROUP BY lang
+), groups AS (
+    SELECT DISTINCT lang, source FROM docs
+), counts AS (
+    SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL
+), own AS (
+    SELECT lang, source, sum(n)::HUGEINT AS own FROM counts GROUP BY ALL
+), shares AS (  -- every group and kept term of its lang
+    SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n,
+        1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (coalesce(own, 0) + v) AS p,
+        1 + (1000000000::HUGEINT * (k.c + 1)) // (total + v) AS q
+    FROM groups g JOIN kept k ON g.lang = k.lang JOIN langs l ON l.lang = g.lang
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source
+), rows AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+        SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+        FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+    ) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows
+) WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query("op11_source_divergence_audit", OP11_SQL)
+def op11_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(_documents(spark, sf_dir))
