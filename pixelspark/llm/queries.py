@@ -194,3 +194,45 @@ def op11_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import audit
 
     return audit(_documents(spark, sf_dir))
+
+
+OP12_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, md5(concat(length(role), ':', role, text)) AS key, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(concat(length(role), ':', role, text))) AS place
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (  -- the checksum of the id's digits, bit by bit
+    SELECT conv_id, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 4 AS h
+    FROM (SELECT DISTINCT conv_id FROM turns)
+), moved AS (
+    SELECT c.conv_id, 0 AS part, place, key, words FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 20 AND place <= h
+    UNION ALL
+    SELECT c.conv_id, 1, place, key, words FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND place > h
+), sequences AS (
+    SELECT conv_id, coalesce(k, []) AS k, coalesce(w, []) AS w FROM convs LEFT JOIN (
+        SELECT conv_id, list(key ORDER BY part, place) AS k, list(words ORDER BY part, place) AS w FROM moved GROUP BY conv_id
+    ) USING (conv_id)
+), members AS (
+    SELECT conv_id, d, k[1:d] AS node, coalesce(w[d], 0) AS words, d = len(k) AS ends FROM (SELECT *, unnest(range(0, len(k) + 1)) AS d FROM sequences)
+), nodes AS (
+    SELECT d, node, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(words) AS own,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+    FROM members GROUP BY ALL
+), kids AS (
+    SELECT node[1:d - 1] AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL
+), whole AS (
+    SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (node)
+), below AS (
+    SELECT node[1:a] AS node, sum((n_children = 0)::BIGINT) AS n_leaves, sum(own) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM whole) GROUP BY ALL
+)
+SELECT w.conv_id, w.d AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, w.ends_sha256
+FROM whole w JOIN below USING (node) LEFT JOIN nodes p ON w.d > 0 AND p.node = w.node[1:w.d - 1]
+"""
+
+
+@query("op12_conversation_prefix_trie", OP12_SQL)
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .turn_trie import prefix_trie
+
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("key")
