@@ -32,7 +32,8 @@ def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], weight: st
     marked = left.join(F.broadcast(heavy), same, "left").drop(*[f"_h_{k}" for k in on])
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("int") + 1
     marked = marked.withColumn("_salt", F.when(F.col("_heavy").isNotNull(), salt).otherwise(F.lit(0)))
-    light = right.select(*on, F.struct(*values).alias("_light"), F.lit(0).alias("_salt"))
+    zero = F.pmod(F.xxhash64(*on), F.lit(1)).cast("int")  # a plain 0 would be folded out of the keys of the shuffle
+    light = right.select(*on, F.struct(*values).alias("_light"), zero.alias("_salt"))
     joined = marked.join(light, [*on, "_salt"], "left")
     found = F.coalesce("_heavy", "_light")
     keep = [c for c in left.columns if c not in values]
