@@ -1,7 +1,7 @@
 """Exact similarity join on sets of word shingles: links are pairs of sets whose intersection is at least a given share of their union.
 
 Sets that can have no partner leave early. Two linked sets of n >= m elements share at least ``PERCENT`` % of n, so they have
-some of the smallest hashes in common: only about a quarter of each set is dealt to find those that share enough. Of the sets that
+some of the smallest hashes in common: only about a third of each set is dealt to find those that share enough. Of the sets that
 are left, only the elements that another one has are kept, rarest first.
 
 Then the join is split by size. A small set enumerates its subsets of just the size that a partner of each possible size must share;
@@ -33,7 +33,7 @@ from .simhash import components
 WORDS = 5
 PERCENT = 80
 SMALL = 24  # no set above this size enumerates subsets: with a tenth of 25 missing they are over 50,000
-DIVIDE = 20  # one in so many elements is asked to be shared among the smallest hashes
+DIVIDE = 8  # one in so many elements is asked to be shared among the smallest hashes
 BROADCAST_ROWS = 200_000  # narrow rows; more are joined by shuffles
 PART = 1024  # members of an inverted list that are compared in one group
 
@@ -96,7 +96,7 @@ def _promising(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _elements(docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
-    """(a, b, s): the elements of the promising sets, from one row of ``docs`` each."""
+    """(u, a, b, s): numbered promising sets with their elements, from one row of ``docs`` each."""
     spark = docs.sparkSession
     wanted = cut_lineage(sets.where("promising").select("a", "b", "first.row_id", "first.row_hash"))
     n = wanted.count()
@@ -107,23 +107,19 @@ def _elements(docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
         return {"a": batch.column(0), "b": batch.column(1), "s": pa.array([_signed(s) for s in shingle_sets(batch.column(2), words)], pa.list_(pa.int64()))}
 
     folder = scratch_path(spark, "elements")
-    map_batches(texts, work, "a bigint, b bigint, s array<bigint>").write.parquet(folder)
+    made = map_batches(texts, work, "a bigint, b bigint, s array<bigint>")
+    made.withColumn("u", F.monotonically_increasing_id()).write.parquet(folder)
     found = spark.read.parquet(folder)
     return found if found.count() == n else found.dropDuplicates(["a", "b"])  # repeated rows have equal sets
 
 
 def _ranked(elements: DataFrame, percent: int) -> DataFrame:
-    """(u, a, b, n, s): sets with a number u, and their elements that others have too, as (df, t) with the rarest first; only those with
-    enough of them."""
-    spark = elements.sparkSession
-    folder = scratch_path(spark, "numbered")
-    elements.withColumn("u", F.monotonically_increasing_id()).write.parquet(folder)
-    numbered = spark.read.parquet(folder)
-    dealt = numbered.select("u", F.explode("s").alias("t"))
+    """(u, a, b, n, s): sets with their elements that others have too, as (df, t) with the rarest first; only those with enough of them."""
+    dealt = elements.select("u", F.explode("s").alias("t"))
     df = dealt.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = lookup_join(dealt, df, ["t"], "df", ["u"]).where("df is not null")
     ordered = shared.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("r"))
-    sizes = numbered.select("u", "a", "b", F.size("s").cast("bigint").alias("n"))
+    sizes = elements.select("u", "a", "b", F.size("s").cast("bigint").alias("n"))
     return sizes.join(ordered, "u").where(f"100 * size(r) >= {percent} * n").withColumnRenamed("r", "s")
 
 
