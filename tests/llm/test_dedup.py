@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from pixelspark.llm import simhash
 from pixelspark.llm.recipes import chunks, drop_exact, exact_groups, normalised
-from pixelspark.llm.similar import drop_similar, similar_groups
 from pixelspark.llm.simhash import block_links, components, drop_near, fingerprint, midpoint_links, near_groups
 
 from .conftest import same
@@ -154,38 +153,11 @@ def test_masks_cover_all_near_pairs():
         assert any((other & m) == 0 for m in masks)
 
 
-def reference_similar(texts):
-    sets = []
-    for t in texts:
-        w = [w for w in re.split(rb"[\x20\x09-\x0D]+", normalised(t or "")) if w]
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
-    return [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-
-
-def edited(n, seed):
-    """Texts of 100 to 600 words in families whose members differ in up to 2.5 % of their words."""
-    rng = random.Random(seed)
-    out = []
-    for _ in range(n):
-        own = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(100, 600))]
-        for rate in (0, 0.002, 0.005, 0.01, 0.02, 0.025):
-            out.append(" ".join(f"x{rng.randrange(5000)}" if rng.random() < rate else w for w in own))
-    return out
-
-
-def test_stage_drops_all_similar_texts(spark, odd, empty):
-    import corpus_pipeline
-
-    texts = edited(40, 9)
-    pairs = reference_similar(texts)
-    far = [bin(reference_fingerprint(texts[i]) ^ reference_fingerprint(texts[j])).count("1") > 4 for i, j in pairs]
-    assert sum(far) > 0.3 * len(pairs)  # what four bits do not reach
-    want = sorted({r for r in reference_parts(len(texts), pairs)})
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
-    same(sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()), want)
-    for paired in (2, 32):  # crowds and pairs: no two that stay are similar, nothing goes without a link
-        kept = {r.component_id for r in similar_groups(df, paired=paired).collect()}
-        assert set(want) <= kept and not any(i in kept and j in kept for i, j in pairs)
-    assert drop_similar(odd).columns == odd.columns and drop_similar(empty).count() == 0
-    rows = [r.text for r in odd.collect()]
-    assert drop_similar(odd).count() == len(set(reference_parts(len(rows), reference_similar(rows))))
+def test_ids_of_any_type_and_repeated_rows(spark):
+    rows = [("b", "same text"), ("a", "Same Text"), (None, "same text"), ("c", "another one")] + [("b", "same text")] * 2000
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    groups = exact_groups(df).collect()
+    same(sorted((r.doc_id or "", r.keep_id, r.group_size) for r in groups), sorted((i or "", "c" if t == "another one" else "b", 1 if t == "another one" else 2003) for i, t in rows))
+    assert sum(r.kept for r in groups) == 2
+    same(sorted(r.doc_id for r in drop_exact(df).collect()), ["b", "c"])
+    same(sorted(r.doc_id for r in drop_near(df).collect()), ["a", "c"])

@@ -13,7 +13,8 @@ from pixelspark.llm.recipes import normalised
 from pixelspark.llm.secrets import base_spans
 
 from .conftest import TABLES, same
-from .test_dedup import near_pairs, reference_fingerprint, reference_parts
+from .test_dedup import reference_parts
+from .test_jaccard import reference_links, reference_sets
 
 
 def test_pipeline(spark, docs):
@@ -23,7 +24,7 @@ def test_pipeline(spark, docs):
     for key, text in sorted(rows):
         last[normalised(text)] = (key, text)
     rows = sorted(last.values())
-    roots = reference_parts(len(rows), near_pairs([reference_fingerprint(t) for _, t in rows], 4))
+    roots = reference_parts(len(rows), reference_links(reference_sets([t for _, t in rows])))
     rows = [rows[i] for i in sorted(set(roots))]
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = {}
@@ -50,7 +51,7 @@ def test_stages_keep_the_columns(spark, odd, empty):
 def test_registration():
     import __spark_entry__ as contract
 
-    assert [sum(n.startswith(f"op{i}_") for n in QUERIES) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in QUERIES) for i in range(1, 14)] == [1] * 13
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
 
 
@@ -59,7 +60,7 @@ def test_sql_twins(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "labels"):
+    for table in ("documents", "labels", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{TABLES}/{table}.parquet'")
     df = QUERIES[name](spark, TABLES)
     columns = sorted(df.columns)
