@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .base import documents, slices
+from .base import SLICE_BYTES, documents, slices
 from .words import LibraryEncoder
 
 HEAD = "<4sBBHIQ"
@@ -104,29 +104,29 @@ def write_token_files(
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = LibraryEncoder.of_worker(path, space), int(end_id).to_bytes(4, "little")
+        encoder = LibraryEncoder.of_worker(path, space)
         part, number, before = TaskContext.get().partitionId(), 0, 0
         keys: list = []
-        texts: list[bytes] = []
+        texts: list[np.ndarray] = []
         size = 0
 
         def frame() -> pa.RecordBatch:
             nonlocal number, before, size
-            ids = np.frombuffer(b"".join(texts), "<u4")
-            row = [part, number, before, len(ids), list(keys), [len(t) // 4 for t in texts], pack_frame(ids, kind, block_ids)]
+            ids = np.concatenate(texts)
+            row = [part, number, before, len(ids), list(keys), [len(t) for t in texts], pack_frame(ids, kind, block_ids)]
             number, before, size = number + 1, before + len(ids), 0
             keys.clear()
             texts.clear()
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, arrow)], schema=arrow)
 
         for batch in batches:
-            for some in slices(batch):
-                for key, ids in zip(some.column(0).to_pylist(), encoder(some.column(1).to_pylist())):
-                    if keys and size + len(ids) // 4 + 1 > frame_ids:
+            for some in slices(batch, most=4 * SLICE_BYTES):
+                for key, ids in zip(some.column(0).to_pylist(), encoder.split(some.column(1), end_id)):
+                    if keys and size + len(ids) > frame_ids:
                         yield frame()
                     keys.append(key)
-                    texts.append(ids + end)
-                    size += len(ids) // 4 + 1
+                    texts.append(ids)
+                    size += len(ids)
         if keys:
             yield frame()
 

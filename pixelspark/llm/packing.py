@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .base import documents, slices
+from .base import SLICE_BYTES, documents, slices
 from .words import LibraryEncoder
 
 POOL = 768  # items a task chooses among; when more arrive, bins are filled and given out
@@ -163,7 +163,7 @@ def pack_documents(
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = LibraryEncoder.of_worker(path), int(end_id).to_bytes(4, "little")
+        encoder = LibraryEncoder.of_worker(path)
         packer = DocumentPacker(tokens, segments, loss, TaskContext.get().partitionId() << SEQUENCE_BITS)
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -171,9 +171,11 @@ def pack_documents(
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
         for batch in batches:
-            for part in slices(batch):
-                for key, ids in zip(part.column(0).to_pylist(), encoder(part.column(1).to_pylist())):
-                    packer.add(key, ids + end)
+            for part in slices(batch, most=4 * SLICE_BYTES):
+                ids, ends = encoder.ids(part.column(1), end_id)
+                packed = memoryview(ids.tobytes())
+                for key, a, b in zip(part.column(0).to_pylist(), (4 * ends[:-1]).tolist(), (4 * ends[1:]).tolist()):
+                    packer.add(key, packed[a:b])
                 yield out(packer.take())
         yield out(packer.take(end=True))
 

@@ -15,9 +15,17 @@ from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
+
+from .arrays import runs, text_bytes
 
 RUN = re.compile(r"[^\S\x1c-\x1f]{2,}")  # the four separators are no white space to the pre-tokenizer
 MARKED = re.compile(r"([^\W\d_]+)[^\w\s]+")
+WHITE = np.zeros(256, bool)
+WHITE[[32, *range(9, 14)]] = True
+BLANK = np.zeros(256, bool)
+BLANK[[32, 10]] = True
+OTHER_SPACE = re.compile("|".join(c for c in map(chr, range(128, 0x3001)) if c.isspace()).encode())
 JOINED = 500  # new words encoded in one call of the library
 WORDS_KEPT = 600_000  # distinct words remembered at once by a worker; a bound on memory, results do not depend on it
 
@@ -55,6 +63,26 @@ def pieces(text: str) -> list[tuple[list[str], list[str]]]:
     return out
 
 
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """``pieces`` for many texts at once whose only white space is ASCII: where pieces start, as places in their bytes."""
+    white = WHITE[data]
+    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    before[1:], after[:-1] = white[:-1], white[1:]
+    full = offsets[:-1][np.diff(offsets) > 0]  # where texts with content start
+    before[full] = False
+    last = np.zeros(len(data), bool)
+    last[np.append(full[1:], len(data)) - 1 if len(full) else full] = True
+    after[last] = False
+    single = white & ~before & ~after
+    many = white & (before | after)
+    first = single & ((data == 32) | (data == 10)) | many & ~before | many & ~after & ~last
+    # what follows a line break, or a run that does not end in a space, is a piece of its own
+    closes = (single & (data == 10) | many & ~after & (data != 32)) & ~last
+    first[1:] |= closes[:-1]
+    first[full] = True
+    return np.flatnonzero(first)
+
+
 def kept_by_worker(key: tuple, make: Callable):
     """An object that a Python worker makes once and keeps for its later tasks."""
     store = sys.modules.setdefault("_pixelspark_worker", types.ModuleType("_pixelspark_worker")).__dict__
@@ -103,6 +131,48 @@ class WordMemory:
         return out
 
 
+class WordIds:
+    """Token ids of words (UTF-8), asked for in batches; ``encode`` gives the ids of new words as little-endian unsigned 32-bit numbers.
+
+    All ids lie one after another in one array. When more than ``most`` words are known, only those at hand are kept.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], most: int = WORDS_KEPT):
+        self.encode, self.most = encode, most
+        self.rows: dict[bytes, int] = {}
+        self.starts, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _add(self, words: list[bytes], counts: np.ndarray, ids: np.ndarray) -> None:
+        self.rows.update(zip(words, range(len(self.counts), len(self.counts) + len(words))))
+        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(counts) - counts)
+        self.counts, self.ids = np.append(self.counts, counts), np.append(self.ids, ids)
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        """Row of each of these distinct words in ``starts`` and ``counts``."""
+        found = [self.rows.get(w, -1) for w in words]
+        if len(self.rows) + found.count(-1) > self.most and len(self.rows) > len(words):
+            here = np.array([r for r in found if r >= 0], np.int64)
+            kept, counts, ids = [w for w, r in zip(words, found) if r >= 0], self.counts[here], self.gather(here)
+            self.rows = {}
+            self.starts, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+            self._add(kept, counts, ids)
+            found = [self.rows.get(w, -1) for w in words]
+        out = np.array(found, np.int64)
+        gaps = np.flatnonzero(out < 0)
+        if len(gaps):
+            new = [words[i] for i in gaps.tolist()]
+            out[gaps] = np.arange(len(self.counts), len(self.counts) + len(new))
+            made = list(self.encode([w.decode() for w in new]))
+            self._add(new, np.array([len(x) // 4 for x in made], np.int64), np.frombuffer(b"".join(made), "<u4"))
+        return out
+
+    def gather(self, rows: np.ndarray) -> np.ndarray:
+        """The ids of these rows, one after another."""
+        counts = self.counts[rows]
+        ends = np.cumsum(counts)
+        return self.ids[np.repeat(self.starts[rows] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class LibraryEncoder:
     """Ids as the tokenizers library gives them, as little-endian unsigned 32-bit numbers.
 
@@ -127,7 +197,7 @@ class LibraryEncoder:
         for name, i in names.items():
             self.starts[i], self.ends[i] = name.startswith("\u0120"), name.endswith("</w>")
         self.line = names.get("\u010a", -1)
-        self.memory = WordMemory(self._ids)
+        self.memory = WordIds(self._ids)
 
     @classmethod
     def of_worker(cls, path: str, space: str = "prefix") -> LibraryEncoder:
@@ -182,18 +252,63 @@ class LibraryEncoder:
                 out[i] = packed[low : 4 * (high - skip)] if high < len(ids) else packed[low:]
                 low = 4 * high
 
-    def _cut(self, text: str) -> list:
+    def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """(piece, text) in order, such that encoding the pieces one by one equals encoding the texts."""
         if self.space == "drop":
-            return [(text.replace("\n", " ").split(" "), [])]
-        return pieces(text)
+            inside = ~BLANK[data]
+            starts, _, owner = runs(inside, offsets)
+            data = data[inside]
+        else:
+            starts = piece_starts(data, offsets)
+            owner = np.searchsorted(offsets, starts, "right") - 1
+        ends = np.append(starts, len(data)).astype(np.int64)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]), owner
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
-        cut = [self._cut(t) for t in texts]
-        for i in whole:
-            cut[i] = []
-        self.memory.learn(cut)
-        out = [b"".join(self.memory.values(c)) for c in cut]
-        for i in whole:
-            out[i] = self._one(texts[i])
+    def _apart(self, texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> dict[int, bytes]:
+        """Texts that are not cut by bytes: those with a special token's string, which the library takes whole, and those with white
+        space beyond ASCII."""
+        out: dict[int, bytes] = {}
+        raw = data.tobytes()
+        if any(s.encode() in raw for s in self.special):
+            out = {i: self._one(t) for i, t in enumerate(texts.to_pylist()) if any(s in t for s in self.special)}
+        if self.space != "drop" and OTHER_SPACE.search(raw):
+            for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                if i not in out and OTHER_SPACE.search(raw, a, b):
+                    words = [w.encode() for head, rest in pieces(raw[a:b].decode()) for w in (*head, *(" " + r for r in rest))]
+                    known = list(dict.fromkeys(words))
+                    at = dict(zip(known, self.memory(known).tolist()))
+                    out[i] = self.memory.gather(np.array([at[w] for w in words], np.int64)).tobytes()
         return out
+
+    def ids(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's begin (one more entry than texts). ``end_id`` closes every text."""
+        data, offsets = text_bytes(texts)
+        apart = self._apart(texts, data, offsets)
+        words, owner = self._cut(data, offsets)
+        if apart:
+            stays = ~np.isin(owner, list(apart))
+            words, owner = words.filter(pa.array(stays)), owner[stays]
+        coded = words.dictionary_encode()
+        rows = self.memory(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        found = self.memory.gather(rows)
+        counts = np.bincount(owner, self.memory.counts[rows], len(texts)).astype(np.int64)
+        lengths = counts + (end_id is not None)
+        for i, x in apart.items():
+            lengths[i] += len(x) // 4
+        ends = np.cumsum(lengths)
+        if not apart and end_id is None:
+            return found, np.append(0, ends)
+        out = np.full(ends[-1] if len(ends) else 0, end_id or 0, "<u4")
+        firsts = ends - lengths
+        out[np.arange(len(found)) + np.repeat(firsts - (np.cumsum(counts) - counts), counts)] = found
+        for i, x in apart.items():
+            out[firsts[i] : firsts[i] + len(x) // 4] = np.frombuffer(x, "<u4")
+        return out, np.append(0, ends)
+
+    def split(self, texts: pa.Array, end_id: int | None = None) -> list[np.ndarray]:
+        """The ids of each text."""
+        found, ends = self.ids(texts, end_id)
+        return [found[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        return [x.tobytes() for x in self.split(pa.array(texts, pa.string()))]
