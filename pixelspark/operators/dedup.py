@@ -10,22 +10,30 @@ for hashes that the one before finds crowded:
 * Midpoints: two hashes within ``k`` bits have a common value within ``k/2`` bits of both. Hashes that are still
   crowded send every such value to an aggregation that keeps only the earliest hash of each value. No pair is
   ever built, so a crowd costs a fixed number of rows per member, and the aggregation combines before the shuffle.
+
+Limits above ``MAX_BLOCKS_HAMMING`` go by distances to pivots instead, see ``metric``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hamming
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
+from .graph import components
+from .metric import WideNeighbours
 from .shuffles import lookup_join
 
 CROWD = 256  # hashes under one block key before its members are matched in the next way
 FINER_BLOCKS = 3  # blocks added when crowded hashes are keyed again
-MAX_HAMMING = 8
+LARGE = 20_000  # hashes of a component from which it is solved by rounds
+MAX_BLOCKS_HAMMING = 8  # beyond, see the metric module
 
 
 def with_duplicate_of(df: DataFrame, digest: str, order: str, path: str, out: str = "duplicate_of") -> DataFrame:
@@ -85,15 +93,15 @@ class HashNeighbours:
     """Distinct hashes prepared for neighbour questions within ``k`` bits."""
 
     def __init__(self, codes: DataFrame, k: int, crowd: int = CROWD):
-        if not 0 <= k <= MAX_HAMMING:
-            raise ValueError(f"the Hamming limit must be between 0 and {MAX_HAMMING}")
         self.k = k
-        self.codes = cut_lineage(codes)
-        blocks = block_count(k, self.codes.count())
+        counted = Observation()
+        self.codes = stored(codes.observe(counted, F.count(F.lit(1)).alias("n")), "codes")
+        blocks = block_count(k, counted.get["n"])
         self._sparse: list[DataFrame] = []
         self.crowded = self._match_by_blocks(self.codes.select("h", "ord"), blocks, crowd)
         if self.crowded is not None:
             self.crowded = self._match_by_blocks(self.crowded, blocks + FINER_BLOCKS, crowd)
+        self._pairs: DataFrame | None = None
 
     def _match_by_blocks(self, codes: DataFrame, blocks: int, crowd: int) -> DataFrame | None:
         """Note the members of uncrowded keys and return the hashes under crowded ones, if any.
@@ -102,20 +110,26 @@ class HashNeighbours:
         """
         keys = _block_keys(codes, block_masks(self.k, blocks))
         sizes = keys.groupBy("band", "v").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-        placed = cut_lineage(lookup_join(keys, sizes, ["band", "v"], "members", ["h"]).where("members is not null"))
+        most = Observation()
+        placed = lookup_join(keys, sizes, ["band", "v"], "members", ["h"]).where("members is not null")
+        placed = stored(placed.observe(most, F.max("members").alias("most")), "keys")
         self._sparse.append(placed.where(F.col("members") <= crowd).select("h", "ord", "band", "v"))
-        crowded = placed.where(F.col("members") > crowd).select("h", "ord")
-        return None if crowded.isEmpty() else cut_lineage(crowded.distinct())
+        if (most.get["most"] or 0) <= crowd:
+            return None
+        return stored(placed.where(F.col("members") > crowd).select("h", "ord").distinct(), "crowded")
 
     def sparse_pairs(self) -> DataFrame:
-        """(h, ord, other, other_ord): each neighbour pair under an uncrowded key, the earlier hash as ``other``."""
+        """(h, ord, other, other_ord): each neighbour pair under an uncrowded key, the earlier hash as ``other``; found once."""
+        if self._pairs is not None:
+            return self._pairs
         found = None
         for members in self._sparse:
             earlier = members.select("band", "v", F.col("h").alias("other"), F.col("ord").alias("other_ord"))
             pairs = members.join(earlier, ["band", "v"]).where(F.col("other_ord") < F.col("ord"))
             pairs = pairs.where(hamming("h", "other") <= self.k).select("h", "ord", "other", "other_ord")
             found = pairs if found is None else found.unionByName(pairs)
-        return found
+        self._pairs = stored(found, "pairs")
+        return self._pairs
 
     def earliest_match(self, among: DataFrame | None = None) -> DataFrame:
         """(h, distance, match): for each hash the nearest earlier one, the earliest on a tie.
@@ -149,13 +163,40 @@ class HashNeighbours:
         clique = F.struct(F.col("other").alias("a"), F.col("h").alias("b"))
         both = F.explode(F.array(F.struct("h", "ord"), F.struct(F.col("other").alias("h"), F.col("other_ord").alias("ord"))))
         out = pairs.select(clique.alias("clique"), both.alias("m")).select("clique", "m.h", "m.ord")
-        if self.crowded is not None:
-            codes = self.crowded.select("h", "ord")
-            out = out.unionByName(_ball(codes, self.k // 2).select(F.struct(F.col("v").alias("a"), F.col("v").alias("b")).alias("clique"), "h", "ord"))
-            if self.k % 2:
-                # an odd distance has no midpoint: one side reaches one bit further. Mark the two sides of bit i apart.
-                out = out.unionByName(self._odd_cliques(codes))
-        return out
+        return out if self.crowded is None else out.unionByName(self._crowd_cliques())
+
+    def _crowd_cliques(self) -> DataFrame:
+        codes = self.crowded.select("h", "ord")
+        out = _ball(codes, self.k // 2).select(F.struct(F.col("v").alias("a"), F.col("v").alias("b")).alias("clique"), "h", "ord")
+        # an odd distance has no midpoint: one side reaches one bit further. Mark the two sides of bit i apart.
+        return out.unionByName(self._odd_cliques(codes)) if self.k % 2 else out
+
+    def links(self) -> DataFrame:
+        """(a, b) that connect what is near: the pairs under uncrowded keys, and for crowds one link a member and clique."""
+        pairs = self.sparse_pairs().select(F.col("h").alias("a"), F.col("other").alias("b"))
+        if self.crowded is None:
+            return pairs
+        members = self._crowd_cliques()
+        least = members.groupBy("clique").agg(F.min("h").alias("b"), F.count(F.lit(1)).alias("members")).where("members > 1")
+        return pairs.unionByName(lookup_join(members, least, ["clique"], "members", ["h"]).where("b < h").select(F.col("h").alias("a"), "b"))
+
+    def first_come_by_rounds(self, among: DataFrame) -> DataFrame:
+        """What a first-come pass keeps of ``among`` (h), a union of whole components.
+
+        Each round keeps the hashes that are the earliest of all their open cliques and closes those cliques; that is exactly what
+        the pass would do. Only hashes with an open neighbour stay in the loop.
+        """
+        members = cut_lineage(self.cliques().join(among, "h", "left_semi"))
+        kept = among.join(members.select("h").distinct(), "h", "left_anti")
+        while not members.isEmpty():  # every round closes the clique of the earliest hash, so this ends
+            first = members.groupBy("clique").agg(F.min(F.struct("ord", "h")).alias("f"))
+            leads = members.join(first, "clique").groupBy("h").agg(F.min((F.col("f.h") == F.col("h")).cast("int")).alias("lead"))
+            winners = cut_lineage(leads.where("lead = 1").select("h"))
+            kept = kept.unionByName(winners)
+            closed = first.join(winners, F.col("f.h") == winners["h"], "left_semi").select("clique")
+            out = members.join(closed, "clique", "left_semi").select("h").distinct()
+            members = cut_lineage(members.join(out, "h", "left_anti"))
+        return kept
 
     def _odd_cliques(self, codes: DataFrame) -> DataFrame:
         """Cliques for an odd limit: the members of a value with bit i left open are within k of each other."""
@@ -165,6 +206,13 @@ class HashNeighbours:
         return edge.select(F.struct(low.alias("a"), F.expr("v | shiftleft(1L, i)").alias("b")).alias("clique"), "h", "ord").distinct()
 
 
+def neighbours_within(codes: DataFrame, k: int, crowd: int = CROWD) -> HashNeighbours | WideNeighbours:
+    """Neighbour questions by block keys, or by distances to pivots where blocks would be too short to tell hashes apart."""
+    if not 0 <= k <= 64:
+        raise ValueError("the Hamming limit must be between 0 and 64")
+    return HashNeighbours(codes, k, crowd) if k <= MAX_BLOCKS_HAMMING else WideNeighbours(codes, k)
+
+
 def with_near_duplicate_of(
     df: DataFrame, h: str, order: str, key: str, k: int = 4, out: str = "near_duplicate_of", crowd: int = CROWD
 ) -> DataFrame:
@@ -173,7 +221,7 @@ def with_near_duplicate_of(
     An earlier row with the same hash comes first (the earliest such row), then the smallest (distance, order).
     """
     codes = distinct_hashes(df, h, order, key)
-    neighbours = HashNeighbours(codes, k, crowd)
+    neighbours = neighbours_within(codes, k, crowd)
     found = neighbours.codes.join(neighbours.earliest_match(), "h", "left")
     found = found.select(F.col("h").alias(h), F.struct(F.col("ord").alias("o"), F.col("key").alias("k")).alias("_first"), "match", "copies")
     joined = lookup_join(df, found, [h], "copies", [key])
@@ -181,23 +229,47 @@ def with_near_duplicate_of(
     return joined.select(*df.columns, F.when(is_first, F.col("match")).otherwise(F.col("_first.k")).alias(out))
 
 
-def greedy_representatives(neighbours: HashNeighbours) -> DataFrame:
+def _first_come(k: int):
+    """Arrow pass over (root, ord, h) sorted by root and order: the hashes a first-come pass keeps in each component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, kept = None, np.zeros(16, np.uint64)
+        n = 0
+        for batch in batches:
+            out = []
+            for r, h in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy()):
+                if r != root:
+                    root, n = r, 0
+                if not (np.bitwise_count(kept[:n] ^ h.view(np.uint64)) <= k).any():
+                    if n == len(kept):
+                        kept = np.append(kept, np.zeros(n, np.uint64))
+                    kept[n] = h.view(np.uint64)
+                    n += 1
+                    out.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["h"])
+
+    return run
+
+
+def greedy_representatives(neighbours: HashNeighbours | WideNeighbours, large: int = LARGE) -> DataFrame:
     """Hashes (column h) that a first-come pass keeps when it rejects every hash near one already kept.
 
-    Each round keeps the hashes that are the earliest of all their open cliques and closes those cliques; that is
-    exactly what the pass would do. Only hashes with an open neighbour stay in the loop.
+    No hash outside a component of near hashes has a say in it. Components of up to ``large`` hashes are each passed through in
+    order, many in one task; larger ones go by rounds, see ``_by_rounds``. Hashes without a neighbour are kept.
     """
-    members = cut_lineage(neighbours.cliques())
-    kept = neighbours.codes.select("h").join(members.select("h").distinct(), "h", "left_anti")
-    while not members.isEmpty():  # every round closes the clique of the earliest hash, so this ends
-        first = members.groupBy("clique").agg(F.min(F.struct("ord", "h")).alias("f"))
-        leads = members.join(first, "clique").groupBy("h").agg(F.min((F.col("f.h") == F.col("h")).cast("int")).alias("lead"))
-        winners = cut_lineage(leads.where("lead = 1").select("h"))
-        kept = kept.unionByName(winners)
-        closed = first.join(winners, F.col("f.h") == winners["h"], "left_semi").select("clique")
-        out = members.join(closed, "clique", "left_semi").select("h").distinct()
-        members = cut_lineage(members.join(out, "h", "left_anti"))
-    return kept
+    if isinstance(neighbours, WideNeighbours):
+        return neighbours.first_come()
+    roots, most = components(neighbours.links())
+    if not most:
+        return neighbours.codes.select("h")
+    small, rest = neighbours.codes.select("h", "ord").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h")), None
+    if most >= large:  # else no component can be that large
+        sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= large)
+        marked = cut_lineage(lookup_join(small, sizes, ["root"], "size", ["h"]))
+        small, rest = marked.where("size is null"), marked.where("size is not null").select("h")
+    ordered = small.repartition("root").sortWithinPartitions("root", "ord").select("root", "h")
+    kept = ordered.mapInArrow(_first_come(neighbours.k), "h bigint")
+    return kept if rest is None else kept.unionByName(neighbours.first_come_by_rounds(rest))
 
 
 def greedy_dedup(df: DataFrame, digest: str, h: str, order: str, key: str, k: int = 4, crowd: int = CROWD) -> DataFrame:
@@ -211,8 +283,8 @@ def greedy_dedup(df: DataFrame, digest: str, h: str, order: str, key: str, k: in
         F.min(F.struct(F.col(order).alias("o"), F.col(key).alias("k"), F.col(digest).alias("d"))).alias("f"), F.count(F.lit(1)).alias("copies")
     )
     codes = firsts.select("h", F.col("f.o").alias("ord"), F.col("f.k").alias("key"), F.col("f.d").alias("digest"), "copies")
-    neighbours = HashNeighbours(codes, k, crowd)
-    kept = cut_lineage(greedy_representatives(neighbours))
+    neighbours = neighbours_within(codes, k, crowd)
+    kept = stored(greedy_representatives(neighbours), "kept")
     matches = neighbours.earliest_match(among=kept)
     state = neighbours.codes.join(kept.withColumn("_kept", F.lit(True)), "h", "left").join(matches, "h", "left")
     state = state.select(

@@ -58,6 +58,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/pixelspark-{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The table written below the shared checkpoint folder and read from there: survives the loss of executors, ends the plan
+    here, and takes one job less than a checkpoint when it is observed."""
+    folder = scratch_path(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for work that is heavy per row although its input is one small file.
 

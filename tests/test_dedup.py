@@ -92,5 +92,65 @@ def test_hot_digest_is_found_everywhere(spark):
 
 def test_limit_is_guarded(spark):
     df = spark.createDataFrame([(0, "a", 0)], "ord int, key string, h bigint")
-    with pytest.raises(ValueError, match="Hamming"):
-        with_near_duplicate_of(df, "h", "ord", "key", 9)
+    for k in (-1, 65):
+        with pytest.raises(ValueError, match="Hamming"):
+            with_near_duplicate_of(df, "h", "ord", "key", k)
+
+
+@pytest.mark.parametrize("k", [8, 9, 13, 24, 40, 64])
+def test_wide_limits_match_brute_force(spark, k, monkeypatch):
+    monkeypatch.setattr("pixelspark.operators.metric.PART", 20)
+    rows = clustered_rows(k, n=150, flips=14)
+    df = spark.createDataFrame(rows, "ord int, key string, h bigint, digest string").repartition(5)
+    got = {r["key"]: r["near_duplicate_of"] for r in with_near_duplicate_of(df, "h", "ord", "key", k).collect()}
+    assert got == expected_near(rows, k)
+    out = greedy_dedup(df, "digest", "h", "ord", "key", k).collect()
+    assert {r["key"]: (r["status"], r["duplicate_of"], r["near_duplicate_of"]) for r in out} == expected_greedy(rows, k)
+
+
+def chain_rows(n, step=2):
+    rows, h = [], 0
+    for i in range(n):
+        rows.append((i, f"c{i:03d}", signed(h), f"d{i}"))
+        for b in range(step):
+            h ^= 1 << (step * i + b) % 64
+    return rows
+
+
+def test_components_are_passed_through_in_order(spark):
+    """A chain of 24 hashes, alternately kept and turned away, takes no round per link; large components give the same by rounds."""
+    from pixelspark.operators import dedup
+
+    rows = chain_rows(24)
+    rows += [(i + 100, f"x{key}", h, d) for i, key, h, d in clustered_rows(5, n=80)]
+    df = spark.createDataFrame(rows, "ord int, key string, h bigint, digest string").repartition(4)
+    spark.sparkContext.setJobGroup("chain", "chain")
+    out = greedy_dedup(df, "digest", "h", "ord", "key", 2).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert {r["key"]: (r["status"], r["duplicate_of"], r["near_duplicate_of"]) for r in out} == expected_greedy(rows, 2)
+    assert jobs <= 45
+    neighbours = dedup.neighbours_within(dedup.distinct_hashes(df, "h", "ord", "key"), 2)
+    same = [sorted(r.h for r in dedup.greedy_representatives(neighbours, large).collect()) for large in (1, 5, 20_000)]
+    assert same[0] == same[1] == same[2]
+
+
+def test_connected_components(spark):
+    from pixelspark.operators.graph import components
+
+    rng = random.Random(8)
+    pairs = [(i, i + 1) for i in range(100)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(80)] + [(900, i) for i in range(500, 540)]
+    part = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        part[max(a, b)] = min(a, b)
+    roots, most = components(spark.createDataFrame(pairs, "a bigint, b bigint"))
+    got = {r.node: r.root for r in roots.collect()}
+    assert got == {x: find(x) for x in part if find(x) != x} and most >= len(got)
+    assert components(spark.createDataFrame([], "a bigint, b bigint"))[1] == 0
