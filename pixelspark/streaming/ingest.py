@@ -1,7 +1,7 @@
 """Incremental ingestion with Structured Streaming.
 
 A checkpointed stream remembers which inputs it has taken, so a restart resumes instead of repeating. What must
-be known about *all* earlier data, the digests, is kept in a table and not in stream state: it has no horizon.
+be known about *all* earlier data, the digests, is kept in a table and not in stream state: it has no horizon. See ``history``.
 """
 
 from __future__ import annotations
@@ -13,15 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import with_duplicate_of
+from ..session import stored
 from ..sources.manifest import path_exists
+from .history import KeyHistory
 
 
 def new_only(batch: DataFrame, landed: DataFrame, key: str) -> DataFrame:
-    """Rows whose key has not landed yet.
-
-    The history is first cut down to the keys of the batch: while a batch is small enough for Spark to broadcast,
-    the key column of the history is scanned but never shuffled.
-    """
+    """Rows whose key is not among those of the table ``landed``, which is scanned whole; see ``KeyHistory`` for a history of any size."""
     seen = landed.select(key).join(batch.select(key).distinct(), key, "left_semi").distinct()
     return batch.join(seen, key, "left_anti")
 
@@ -38,13 +36,26 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()["value"])["id"]
 
 
+def history_of(spark: SparkSession, table: str) -> KeyHistory:
+    """The keys of a landing table, in a folder inside it that Spark's readers pass over."""
+    return KeyHistory(spark, f"{table.rstrip('/')}/_history")
+
+
 def _append_unseen(spark: SparkSession, batch: DataFrame, table: str, key: str, order: str, stream: str, batch_id: int) -> None:
-    fresh = first_of_each(batch, key, order)
-    if path_exists(spark, table):
-        own = (F.col("stream") == f"id-{stream}") & (F.col("batch") == batch_id)
-        fresh = new_only(fresh, spark.read.parquet(table).where(~own), key)
+    if clash := {c for c in batch.columns if c.lower() in ("stream", "batch")}:
+        raise ValueError(f"landed columns may not be called {', '.join(sorted(clash))}: the table's folders are")
+    history, fresh = history_of(spark, table), first_of_each(batch, key, order)
+    if not history.exists() and path_exists(spark, table):  # a table from before there was a history
+        landed = spark.read.parquet(table)
+        history.append(landed, key, "earlier", 0)
+    if history.exists():
+        fresh = stored(fresh, "batch")  # asked twice
+        known = history.seen(fresh, key, f"id-{stream}", batch_id).withColumnRenamed("key", "_key")
+        fresh = fresh.join(known, F.col(key).cast("string") == F.col("_key"), "left_anti")
     # a repeated batch overwrites its own folder, so a retry after a lost driver adds nothing twice; other streams have others
-    fresh.write.mode("overwrite").parquet(f"{table.rstrip('/')}/stream=id-{stream}/batch={batch_id}")
+    place = f"{table.rstrip('/')}/stream=id-{stream}/batch={batch_id}"
+    fresh.write.mode("overwrite").parquet(place)
+    history.append(spark.read.schema(fresh.schema).parquet(place), key, f"id-{stream}", batch_id)
 
 
 def ingest_unseen(

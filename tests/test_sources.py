@@ -91,6 +91,59 @@ def test_two_streams_on_one_table(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(10))
 
 
+def landed_ids(spark, out):
+    return sorted(r.id for r in spark.read.parquet(out).collect())
+
+
+def test_batches_read_only_the_parts_they_hit(spark, tmp_path):
+    from pixelspark.streaming.history import KeyHistory
+
+    rows = spark.range(3000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    history = KeyHistory(spark, str(tmp_path / "h"), parts=64)
+    history.append(rows.where("id < 2000"), "digest", "a", 0)
+    history.append(rows.where("id >= 2000 and id < 2500"), "digest", "a", 1)
+    few = rows.where("id in (3, 1999, 2600, 2601, 2602)")
+    assert sorted(r.key for r in history.seen(few, "digest", "b", 0).collect()) == sorted(r.digest for r in rows.where("id in (3, 1999)").collect())
+    own = rows.where("id in (3, 2100)")  # a batch does not know itself
+    assert [r.key for r in history.seen(own, "digest", "a", 1).collect()] == [r.digest for r in rows.where("id = 3").collect()]
+    new = rows.where("id >= 2500")
+    suspects = history.suspects(new, "digest", "b", 0).collect()
+    assert len(suspects) < 25  # of 500 unknown keys
+    assert {r.part for r in history.suspects(few, "digest", "b", 0).collect()} <= {r.part for r in history._hashed(few, "digest").collect()}
+    plan = history.seen(few, "digest", "b", 0)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [part#" in plan
+    parts = {r.part for r in history.suspects(few, "digest", "b", 0).collect()}
+    files = [f for f in (tmp_path / "h" / "keys").rglob("*.parquet")]
+    hit = [f for f in files if int(f.parent.name.split("=")[1]) in parts]
+    assert 0 < len(hit) <= 2 * len(parts) < len(files) / 4
+    noted = spark.read.parquet(str(tmp_path / "h" / "keys")).where(F.col("part").isin(sorted(parts)))
+    assert {r.f.split("/")[-1] for r in noted.select(F.input_file_name().alias("f")).distinct().collect()} <= {f.name for f in hit}
+
+
+def test_a_table_from_before_the_history(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = spark.range(30).select("id", F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    rows.where("id < 20").write.parquet(f"{out}/stream=id-old/batch=0")
+    rows.write.parquet(source)
+    for checkpoint in ("one", "two"):
+        ingest_unseen(stream_parquet(spark, source, "id bigint, digest string"), out, str(tmp_path / checkpoint), "digest", "id")
+    assert landed_ids(spark, out) == list(range(30))
+
+
+def test_a_repeated_batch_lands_once(spark, tmp_path):
+    from pixelspark.streaming.ingest import _append_unseen
+
+    out = str(tmp_path / "out")
+    rows = spark.range(30).select("id", F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    _append_unseen(spark, rows.where("id < 10"), out, "digest", "id", "s", 0)
+    for _ in range(2):  # the second is the retry after a lost driver
+        _append_unseen(spark, rows.where("id < 20"), out, "digest", "id", "s", 1)
+    _append_unseen(spark, rows, out, "digest", "id", "t", 1)
+    assert landed_ids(spark, out) == list(range(30))
+    with pytest.raises(ValueError, match="Batch"):
+        _append_unseen(spark, rows.withColumn("Batch", F.lit(1)), out, "digest", "id", "u", 0)
+
+
 def test_first_of_each_takes_maps(spark):
     batch = spark.createDataFrame([("k", 2, {"a": "2"}), ("k", 1, {"a": "1"})], "key string, n int, m map<string,string>")
     assert [tuple(r) for r in first_of_each(batch, "key", "n").collect()] == [("k", 1, {"a": "1"})]
