@@ -42,29 +42,60 @@ def _(spark, sf):
     return gated.select("name", "gate", F.when(F.col("gate") == "disabled", F.col("blocked_reason")).alias("blocked_reason"), "license")
 
 
-def listed(spark, sf):
-    """documents as file paths of several kinds, some of them hidden."""
-    d = v.table(spark, sf, "documents")
-    folder = F.when(F.col("doc_id") % 17 == 3, F.concat(F.lit(".cache/"), F.col("source"))).otherwise(F.col("source"))
-    name = F.concat(F.when(F.col("doc_id") % 19 == 4, F.lit(".")).otherwise(F.lit("")), F.col("doc_id").cast("string"), v.pick(v.SUFFIXES, F.col("doc_id")))
-    return d.select("doc_id", F.concat_ws("/", folder, name).alias("rel_path"))
-
-
-LISTED = f"""listed AS (SELECT doc_id, (CASE WHEN doc_id % 17 = 3 THEN '.cache/' ELSE '' END) || source || '/' || (CASE WHEN doc_id % 19 = 4 THEN '.' ELSE '' END) || doc_id
-  || {v.sql_pick(v.SUFFIXES, 'doc_id')} AS rel_path FROM documents),
-shown AS (SELECT * FROM listed WHERE doc_id % 17 <> 3 AND doc_id % 19 <> 4)"""
-
-
-@check("s2_visible_png", f"WITH {LISTED} SELECT doc_id FROM shown WHERE rel_path LIKE '%.png'")
+# folder, name and ending of the files that the texts of a table are dealt to, by doc_id modulo their number
+PLACES = [
+    ("plain", "a", ".png"),
+    ("plain/_deep", "b", ".txt"),
+    ("_splits", "c", ".png"),
+    ("_splits/_again", "d", ".json"),
+    (".cache", "e", ".png"),
+    ("_splits/.cache", "f", ".txt"),
+    ("plain", "_g", ".png"),
+    ("_splits", "_h", ".txt"),
+    ("plain/x[1]/_y{2}", "i", ".png"),
+    ("plain", ".j", ".png"),
+]
+HIDDEN = (4, 5, 9)
+
+
+def file_tree(spark, sf) -> str:
+    """documents as real files, one line a doc_id, in visible, hidden and underscored folders."""
+    root = scratch_path(spark, "tree")
+    d = v.table(spark, sf, "documents").select("doc_id")
+    d.select(F.col("doc_id").cast("string").alias("value"), (F.col("doc_id") % len(PLACES)).alias("place")).repartition("place").write.partitionBy("place").text(f"{root}-parts")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for i, (folder, name, ending) in enumerate(PLACES):
+        fs.mkdirs(path(f"{root}/{folder}"))
+        for part in fs.globStatus(path(f"{root}-parts/place={i}/part-*")):  # Spark cannot name the files it writes
+            fs.rename(part.getPath(), path(f"{root}/{folder}/{name}{ending}"))
+    return root
+
+
+def _lines(found):
+    lines = found.select("suffix", F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line"))
+    return lines.where("line <> ''").select("suffix", F.col("line").cast("bigint").alias("doc_id"))
+
+
+def _places(condition: str) -> str:
+    return f"SELECT doc_id FROM documents WHERE doc_id % {len(PLACES)} IN ({condition})"
+
+
+@check("s2_visible_png", _places(", ".join(str(i) for i, p in enumerate(PLACES) if p[2] == ".png" and i not in HIDDEN)))
 def _(spark, sf):
-    rows = listed(spark, sf)
-    return rows.where(~names.is_hidden("rel_path") & F.col("rel_path").endswith(".png")).select("doc_id")
+    return _lines(files.scan_png(spark, file_tree(spark, sf))).select("doc_id")
 
 
-@check("s3_all_files", f"WITH {LISTED} SELECT doc_id, CASE WHEN lower(rel_path) NOT LIKE '%.png' THEN 'unsupported_format' END AS reason FROM shown WHERE lower(rel_path) NOT LIKE '%.json'")
+@check(
+    "s3_all_files",
+    "SELECT doc_id, CASE WHEN doc_id % {n} IN ({odd}) THEN 'unsupported_format' END AS reason FROM documents WHERE doc_id % {n} IN ({shown})".format(
+        n=len(PLACES),
+        odd=", ".join(str(i) for i, p in enumerate(PLACES) if p[2] != ".png"),
+        shown=", ".join(str(i) for i, p in enumerate(PLACES) if p[2] != ".json" and i not in HIDDEN),
+    ),
+)
 def _(spark, sf):
-    rows = listed(spark, sf).withColumn("suffix", names.suffix("rel_path"))
-    rows = rows.where(~names.is_hidden("rel_path") & (F.col("suffix") != ".json"))
+    rows = _lines(files.scan_files(spark, file_tree(spark, sf))).where(F.col("suffix") != ".json")
     return rows.select("doc_id", F.when(F.col("suffix") != ".png", "unsupported_format").alias("reason"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.base import let, text
+from .files import underscored
 from .png import decode_png, is_png
 
 # Columns that may hold an image, and columns that may hold its caption, in order of preference.
@@ -18,10 +19,10 @@ GRID_COLUMN = "grid"
 def read_parquet_tree(spark: SparkSession, root: str, grid: bool = False) -> DataFrame:
     """Rows of all Parquet files below ``root`` with only the columns that can matter.
 
-    Files may have different columns: those a file lacks are NULL in its rows. One name with two types is an error.
+    Folders that start with "_" are read, too. Files may have different columns: those a file lacks are NULL in its rows. One name with two types is an error.
     """
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").option("mergeSchema", True)
-    df = reader.parquet(root)
+    df = reader.parquet(root, *underscored(spark, root)[0])
     wanted = [c for c in IMAGE_COLUMNS if c in df.columns] + ([GRID_COLUMN] if grid and GRID_COLUMN in df.columns else [])
     return df.select(*wanted) if wanted else df
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
+from fnmatch import fnmatchcase
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,15 +36,62 @@ def relative_path(spark: SparkSession, path: Column, root: str) -> Column:
     return F.when(plain == fixed, F.element_at(F.split(plain, "/"), -1)).otherwise(below)
 
 
+def underscored(spark: SparkSession, root: str) -> tuple[list[str], list[tuple[str, int, int]]]:
+    """Folders and files below ``root`` whose names start with "_", which Spark's listings pass over: the folders as paths to read beside
+    ``root``, the files as (path, modification time in milliseconds, length).
+
+    The file system answers one pattern per depth; only what matches reaches Python.
+    """
+    start = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = start.getFileSystem(spark._jsc.hadoopConfiguration())
+    at, folders, found = root.rstrip("/"), [], []
+    while True:
+        for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_*")) or []:
+            path = status.getPath().toString()
+            if status.isDirectory():
+                folders.append(re.sub(r"([\\*?\[\]{}])", r"\\\1", path))
+            else:
+                found.append((path, status.getModificationTime(), status.getLen()))
+        at += "/*"
+        if not len(fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(at)) or []):
+            return folders, found
+
+
+def _read_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add the content of each path, one at a time; NULL where it cannot be read."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            try:
+                files, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", row.column(0)[0].as_py()))
+                with files.open_input_stream(path) as opened:
+                    content = opened.read()
+            except (OSError, pa.ArrowException):
+                content = None
+            yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content], pa.binary())], names=[*row.schema.names, "content"])
+
+
 def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """(path, rel_path, suffix, modificationTime, length, content) of all files but hidden ones.
+    """(path, rel_path, suffix, modificationTime, length, content) of all files but hidden ones, whose name or a folder's starts with ".".
 
-    Columns that are not used are not read: a listing without ``content`` opens no file.
+    Columns that are not used are not read: a listing without ``content`` opens no file. Folders that start with "_" are read beside
+    the others. Files that do are opened by the executors on their own, in a store that Arrow can reach (local, HDFS, object stores); where
+    that fails the row stays, with NULL content.
     """
+    folders, found = underscored(spark, root)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(root).withColumn("rel_path", relative_path(spark, F.col("path"), root))
+    files = reader.load([root, *folders])
+    found = [f for f in found if glob is None or fnmatchcase(f[0].rsplit("/", 1)[-1], glob)]
+    if found:
+        listed = spark.createDataFrame(found, "path string, millis bigint, length bigint")
+        listed = listed.select("path", F.timestamp_millis("millis").alias("modificationTime"), "length")
+        read = listed.repartition(max(1, len(found) // 64)).mapInArrow(_read_paths, "path string, modificationTime timestamp, length bigint, content binary")
+        files = files.unionByName(read)
+    files = files.withColumn("rel_path", relative_path(spark, F.col("path"), root))
     files = files.where(~names.is_hidden("rel_path")).withColumn("suffix", names.suffix("rel_path"))
     return files.select("path", "rel_path", "suffix", "modificationTime", "length", "content")
 
@@ -55,7 +105,7 @@ def read_images(spark: SparkSession, root: str) -> DataFrame:
 
     For uses that need pixels only. It drops the alpha of gray images; ``decode_files`` keeps it.
     """
-    images = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(root)
+    images = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load([root, *underscored(spark, root)[0]])
     path = F.col("image.origin")
     out = images.select(path.alias("path"), relative_path(spark, path, root).alias("rel_path"), F.col("image").alias("_image"))
     pixels = pixels_from_image_struct(F.col("_image"))

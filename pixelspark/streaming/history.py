@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from ..sources.manifest import path_exists
 
-PARTS = 256
+PARTS = 64  # each holds a part of all keys and is a file a batch; fixed for a history once it is there
 BITS_PER_KEY = 12  # with PROBES bits set for a key, one in 300 unknown keys is looked up in vain
 PROBES = 6
 FILTER = "part int, stream string, batch bigint, bits binary"
@@ -43,11 +43,11 @@ def in_filter(bits: bytes, hashes: np.ndarray) -> np.ndarray:
 
 
 class KeyHistory:
-    """Keys below ``folder``: ``keys/part=N`` and ``filters/part=N``, appended by each batch. NULL keys are neither noted nor known."""
+    """Keys below ``folder``, by the number of parts: ``keys/part=N`` and ``filters/part=N``, appended by each batch. NULL keys are neither noted nor known."""
 
     def __init__(self, spark: SparkSession, folder: str, parts: int = PARTS):
-        self.spark, self.parts = spark, parts
-        self.keys, self.filters = f"{folder.rstrip('/')}/keys", f"{folder.rstrip('/')}/filters"
+        self.spark, self.parts, self.folder = spark, parts, folder.rstrip("/")
+        self.keys, self.filters = f"{self.folder}/{parts}/keys", f"{self.folder}/{parts}/filters"
 
     def _hashed(self, rows: DataFrame, key: str) -> DataFrame:
         """(key, h, part), with the filter's hash and the part from independent hashes."""
@@ -56,7 +56,11 @@ class KeyHistory:
         return rows.where(F.col(key).isNotNull()).select(text.alias("key"), F.xxhash64(text).alias("h"), part.alias("part"))
 
     def exists(self) -> bool:
-        return path_exists(self.spark, self.filters)
+        if path_exists(self.spark, self.filters):
+            return True
+        if path_exists(self.spark, self.folder):
+            raise ValueError(f"{self.folder} has another number of parts than {self.parts}")
+        return False
 
     def append(self, rows: DataFrame, key: str, stream: str, batch: Column | int) -> None:
         """Note the keys of a batch. A batch noted twice is no other than one noted once."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators.dedup import with_duplicate_of
 from ..session import stored
 from ..sources.manifest import path_exists
-from .history import KeyHistory
+from .history import PARTS, KeyHistory
 
 
 def new_only(batch: DataFrame, landed: DataFrame, key: str) -> DataFrame:
@@ -36,15 +36,15 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()["value"])["id"]
 
 
-def history_of(spark: SparkSession, table: str) -> KeyHistory:
+def history_of(spark: SparkSession, table: str, parts: int = PARTS) -> KeyHistory:
     """The keys of a landing table, in a folder inside it that Spark's readers pass over."""
-    return KeyHistory(spark, f"{table.rstrip('/')}/_history")
+    return KeyHistory(spark, f"{table.rstrip('/')}/_history", parts)
 
 
-def _append_unseen(spark: SparkSession, batch: DataFrame, table: str, key: str, order: str, stream: str, batch_id: int) -> None:
+def _append_unseen(spark: SparkSession, batch: DataFrame, table: str, key: str, order: str, stream: str, batch_id: int, parts: int = PARTS) -> None:
     if clash := {c for c in batch.columns if c.lower() in ("stream", "batch")}:
         raise ValueError(f"landed columns may not be called {', '.join(sorted(clash))}: the table's folders are")
-    history, fresh = history_of(spark, table), first_of_each(batch, key, order)
+    history, fresh = history_of(spark, table, parts), first_of_each(batch, key, order)
     if not history.exists() and path_exists(spark, table):  # a table from before there was a history
         landed = spark.read.parquet(table)
         history.append(landed, key, "earlier", 0)
@@ -59,16 +59,18 @@ def _append_unseen(spark: SparkSession, batch: DataFrame, table: str, key: str,
 
 
 def ingest_unseen(
-    stream: DataFrame, table: str, checkpoint: str, key: str, order: str, prepare: Callable[[DataFrame], DataFrame] | None = None
+    stream: DataFrame, table: str, checkpoint: str, key: str, order: str, prepare: Callable[[DataFrame], DataFrame] | None = None, parts: int = PARTS
 ):
     """Land every row whose ``key`` (a digest) was never seen before; runs over what is available and stops.
 
-    Several streams, each with its checkpoint, may land in one table one after the other. Returns the finished query. ``prepare`` runs on each micro-batch first, for example to validate files.
+    Several streams, each with its checkpoint, may land in one table one after the other. Returns the finished
+    query. ``prepare`` runs on each micro-batch first, for example to validate files. ``parts`` cuts the history of keys: more for
+    longer histories, and always the same for one table.
     """
     spark = stream.sparkSession
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        _append_unseen(spark, prepare(batch) if prepare else batch, table, key, order, stream_id(spark, checkpoint), batch_id)
+        _append_unseen(spark, prepare(batch) if prepare else batch, table, key, order, stream_id(spark, checkpoint), batch_id, parts)
 
     query = stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -43,6 +43,32 @@ def test_relative_roots(spark, tmp_path, monkeypatch):
         assert [r.rel_path for r in scan_png(spark, root).select("rel_path").collect()] == ["work/data/x.png"]
 
 
+def test_underscored_names(spark, tmp_path):
+    from pixelspark.sources.files import scan_files
+
+    root = tmp_path / "in"
+    shown = ["a.png", "_b.png", "_splits/c.png", "_splits/_d/e.png", "f/_g/_h.png", "x[1]/_y{2}/z.png", "_s[3]/k.png"]
+    for i, name in enumerate([*shown, ".h/_i.png", "_splits/.j.png", "_splits/.k/l.png", "_m/n.txt"]):
+        save(root / name, picture(i))
+    pngs = scan_png(spark, str(root)).collect()
+    assert sorted(r.rel_path for r in pngs) == sorted(shown)
+    assert all(bytes(r.content) == (root / r.rel_path).read_bytes() and r.length == len(r.content) for r in pngs)
+    assert sorted(r.rel_path for r in scan_files(spark, str(root)).select("rel_path").collect()) == sorted([*shown, "_m/n.txt"])
+    landed = land_sources(spark, gated(spark, tmp_path, path=str(root)), str(tmp_path / "out"))
+    assert sorted((r.rel_path, r.reason) for r in landed.collect()) == sorted((n, None) for n in shown)
+    write_images(root / "_packs" / "p.parquet", "image", [picture(9)])
+    assert extract_images(read_parquet_tree(spark, str(root))).count() == 1
+
+
+def test_split_pieces_are_read_back(spark, tmp_path):
+    """Pieces that a curation stored below _splits are part of a manifest of the folder."""
+    from pixelspark.plans.manifest import build_manifest
+
+    for name in ("a.png", "_splits/b.png"):
+        save(tmp_path / "pool" / name, picture(len(name)))
+    assert sorted(r.rel_path for r in build_manifest(spark, str(tmp_path / "pool"))[0].select("rel_path").collect()) == ["_splits/b.png", "a.png"]
+
+
 def write_images(path, column, pictures):
     path.parent.mkdir(parents=True, exist_ok=True)
     pq.write_table(pa.table({column: pa.array([png(p) for p in pictures], pa.binary())}), path)
@@ -113,10 +139,10 @@ def test_batches_read_only_the_parts_they_hit(spark, tmp_path):
     plan = history.seen(few, "digest", "b", 0)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [part#" in plan
     parts = {r.part for r in history.suspects(few, "digest", "b", 0).collect()}
-    files = [f for f in (tmp_path / "h" / "keys").rglob("*.parquet")]
+    files = [f for f in (tmp_path / "h" / "64" / "keys").rglob("*.parquet")]
     hit = [f for f in files if int(f.parent.name.split("=")[1]) in parts]
     assert 0 < len(hit) <= 2 * len(parts) < len(files) / 4
-    noted = spark.read.parquet(str(tmp_path / "h" / "keys")).where(F.col("part").isin(sorted(parts)))
+    noted = spark.read.parquet(str(tmp_path / "h" / "64" / "keys")).where(F.col("part").isin(sorted(parts)))
     assert {r.f.split("/")[-1] for r in noted.select(F.input_file_name().alias("f")).distinct().collect()} <= {f.name for f in hit}
 
 
