@@ -106,14 +106,15 @@ def _(spark, sf):
     return v.photos(spark, sf).select("image_id", joined(px.nearest_indices("pixels", colors)).alias("indices"))
 
 
-J8 = """book AS (SELECT vec_id AS code, embedding AS w FROM embeddings ORDER BY vec_id LIMIT 10),
+# 128 codes drawn from the whole table: the smallest by the md5 of their id
+J8 = """book AS (SELECT vec_id AS code, embedding AS w FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR)) LIMIT 128),
 dist AS (SELECT e.vec_id, b.code, list_sum(list_transform(list_zip(e.embedding, b.w), lambda p: pow(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2))) AS d FROM embeddings e, book b),
 code AS (SELECT vec_id, min(struct_pack(d := round(d, 9), code := code)).code AS code FROM dist GROUP BY vec_id)"""
 
 
 def coded(spark, sf):
     e = v.table(spark, sf, "embeddings").select("vec_id", "embedding")
-    book = e.orderBy("vec_id").limit(10).select(F.col("vec_id").alias("code"), F.col("embedding").alias("vector"))
+    book = e.orderBy(F.md5(F.col("vec_id").cast("string"))).limit(128).select(F.col("vec_id").alias("code"), F.col("embedding").alias("vector"))
     return metrics.assign_codes(e, book, "embedding").select("vec_id", "code")
 
 

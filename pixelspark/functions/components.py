@@ -128,26 +128,22 @@ def component_sizes(labels: Column | str) -> Column:
     ``at`` is the 1-based start of the component in the list of foreground cells sorted by label.
     """
 
-    def sizes(lab: Column) -> Column:
-        ordered = F.sort_array(F.filter(lab, lambda x: x >= 0))
-        firsts = F.array_distinct(ordered)
-        # a sorted label list holds each component as one stretch, so its length is a difference of positions
+    def sizes(ordered: Column) -> Column:
+        # a sorted label list holds each component as one stretch, which starts where the label changes
+        changes = F.transform(ordered, lambda x, i: F.when((i == 0) | (F.get(ordered, i - 1) != x), F.struct(x.alias("label"), (i + 1).alias("at"))))
         return let(
-            ordered,
-            lambda o: let(
-                F.transform(firsts, lambda f: F.struct(f.alias("label"), F.array_position(o, f).alias("at"))),
-                lambda s: F.transform(
-                    s,
-                    lambda e, i: F.struct(
-                        e["label"].alias("label"),
-                        e["at"].cast("int").alias("at"),
-                        (F.coalesce(F.get(s, i + 1)["at"], F.size(o) + 1) - e["at"]).cast("int").alias("n"),
-                    ),
+            F.filter(changes, lambda e: e.isNotNull()),
+            lambda s: F.transform(
+                s,
+                lambda e, i: F.struct(
+                    e["label"].alias("label"),
+                    e["at"].cast("int").alias("at"),
+                    (F.coalesce(F.get(s, i + 1)["at"], F.size(ordered) + 1) - e["at"]).cast("int").alias("n"),
                 ),
             ),
         )
 
-    return let(col(labels), sizes)
+    return let(F.sort_array(F.filter(col(labels), lambda x: x >= 0)), sizes)
 
 
 def component_count(labels: Column | str) -> Column:

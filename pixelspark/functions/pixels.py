@@ -7,8 +7,11 @@ needs no shuffle and cannot be skewed by a large source or a popular colour.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .base import col, let
 
@@ -102,35 +105,43 @@ def rgb_distance(x: Column, y: Column) -> Column:
     return dr * dr + dg * dg + db * db
 
 
-def nearest_indices(pixels: Column | str, colors: Column | str) -> Column:
-    """Nearest palette entry per pixel by squared RGB distance, the lowest index on a tie.
+DISTANCES = 1 << 22  # distances held at once while nearest entries are looked for
 
-    A leading transparent entry takes exactly the transparent pixels. Distances are computed once per
-    distinct colour of the image, not once per pixel.
-    """
 
-    def assign(p: Column) -> Column:
-        has_clear = F.get(p, F.lit(0)) == 0
-        first = F.when(has_clear, F.lit(1)).otherwise(F.lit(0))
-        candidates = F.filter(F.transform(p, lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda e: e["i"] >= first)
-        distinct = F.array_distinct(visible_pixels(pixels))
-
-        def nearest(px: Column, cand: Column) -> Column:
-            best = F.array_min(F.transform(cand, lambda e: F.struct(rgb_distance(px, e["c"]).alias("d"), e["i"].alias("i"))))
-            return F.when(has_clear & (px < OPAQUE), F.lit(0)).otherwise(best["i"])
-
-        table = let(candidates, lambda cand: F.transform(distinct, lambda px: F.struct(px.alias("px"), nearest(px, cand).alias("i"))))
-        return let(
-            table,
-            lambda t: let(
-                F.transform(t, lambda e: e["px"]),
-                lambda keys: F.transform(
-                    col(pixels), lambda px: F.get(t, (F.array_position(keys, clear_hidden(px)) - 1).cast("int"))["i"]
-                ),
-            ),
-        )
+def _nearest_entries(pixels: np.ndarray, colors: np.ndarray) -> np.ndarray:
+    """Index of the nearest colour for every pixel; see ``nearest_indices``."""
+    shown = np.where(pixels < OPAQUE, 0, pixels)
+    distinct, inverse = np.unique(shown, return_inverse=True)
+    first = 1 if len(colors) and colors[0] == 0 else 0
+    entries, found = colors[first:], np.zeros(len(distinct), np.int64)
+    if not len(entries):
+        return np.full(len(pixels), 0 if first else -1)
+    step = max(1, DISTANCES // len(entries))
+    channels = [(entries >> shift & 255).astype(np.int32) for shift in (16, 8, 0)]
+    for at in range(0, len(distinct), step):
+        some, far = distinct[at : at + step], 0
+        for shift, channel in zip((16, 8, 0), channels):
+            gap = (some >> shift & 255).astype(np.int32)[:, None] - channel
+            far = far + gap * gap
+        found[at : at + step] = far.argmin(axis=1) + first
+    if first:
+        found[distinct < OPAQUE] = 0
+    return found[inverse]
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _nearest_batch(pixels: pd.Series, colors: pd.Series) -> pd.Series:
+    out = [None if p is None or c is None else _nearest_entries(np.asarray(p, np.int64), np.asarray(c, np.int64)).astype(np.int32) for p, c in zip(pixels, colors)]
+    return pd.Series([None if x is None else np.where(x < 0, None, x) if (x < 0).any() else x for x in out], dtype=object)
 
-    return let(col(colors), assign)
+
+def nearest_indices(pixels: Column | str, colors: Column | str) -> Column:
+    """Nearest palette entry per pixel by squared RGB distance, the lowest index on a tie; NULL in an empty palette.
+
+    A leading transparent entry takes exactly the transparent pixels. Distances are computed once per distinct colour of the image, not
+    once per pixel, over whole Arrow batches: a search per pixel in a list of colours would take the square of their number.
+    """
+    return _nearest_batch(col(pixels), col(colors))
 
 
 def has_transparency(pixels: Column | str) -> Column:

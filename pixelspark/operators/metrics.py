@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import components
 from ..functions import pixels as px
 from ..functions.base import col, let, pinned
+from ..session import stored
 
 
 def count_true(mask: Column) -> Column:
@@ -108,26 +112,85 @@ def mean_alignment(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return pairs.agg(F.coalesce(F.avg(dot(F.col(left), F.col(right))), F.lit(0.0)).alias("alignment"))
 
 
-def nearest_code(vector: Column | str, codebook: Column | str) -> Column:
-    """struct<d, code> of the nearest codebook entry (array<struct<code,vector>>), the lowest code on a tie."""
-
-    def distance(c: Column) -> Column:
-        return F.aggregate(F.zip_with(col(vector), c["vector"], lambda x, y: (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, d: s + d * d)
-
-    return F.array_min(F.transform(col(codebook), lambda c: F.struct(distance(c).alias("d"), c["code"].alias("code"))))
-
-
-MAX_CODEBOOK = 65_536
+BOOK_BYTES = 32 << 20  # of the codebook that is broadcast at once; a larger one takes a pass over the vectors for each such part
+CODES = 1024  # codes compared in one matrix product
+
+
+class Codebook:
+    """Codes by the length of their vectors, for nearest-code questions about many vectors at once."""
+
+    def __init__(self, codes: list, vectors: np.ndarray):
+        norms = np.sqrt((vectors * vectors).sum(axis=1))
+        order = np.argsort(norms, kind="stable")
+        rank = np.empty(len(codes), np.int64)  # place among the sorted codes: decides ties
+        rank[sorted(range(len(codes)), key=codes.__getitem__)] = np.arange(len(codes))
+        self.codes = sorted(codes)
+        self.vectors, self.norms, self.rank = vectors[order], norms[order], rank[order]
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(squared distance, place among the sorted codes) for each row of ``x``; the lowest code on a tie.
+
+        Blocks of codes are visited from the lengths nearest to the vectors' own. A block is left out if no vector can be nearer to it
+        than to what it has: vectors are at least as far apart as their lengths. Matrix products name the candidates, the
+        differences themselves decide between them.
+        """
+        lengths = np.sqrt((x * x).sum(axis=1))
+        best, place = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+        blocks = [slice(at, min(len(self.norms), at + CODES)) for at in range(0, len(self.norms), CODES)]
+        middle = np.median(lengths) if len(x) else 0.0
+        for block in sorted(blocks, key=lambda b: max(self.norms[b][0] - middle, middle - self.norms[b][-1])):
+            low, high = self.norms[block][0], self.norms[block][-1]
+            gap = np.maximum(0.0, np.maximum(low - lengths, lengths - high))
+            slack = 1e-9 * (lengths + high) ** 2 + 1e-300
+            open_ = np.flatnonzero(gap * gap <= best + slack)
+            if not len(open_):
+                continue
+            about = (lengths[open_] ** 2)[:, None] + self.norms[block] ** 2 - 2.0 * (x[open_] @ self.vectors[block].T)
+            row, column = np.nonzero(about <= np.minimum(about.min(axis=1), best[open_])[:, None] + slack[open_][:, None])
+            row, code = open_[row], column + block.start
+            exact = ((x[row] - self.vectors[code]) ** 2).sum(axis=1)
+            order = np.lexsort((self.rank[code], exact, row))
+            row, first = np.unique(row[order], return_index=True)
+            exact, rank = exact[order][first], self.rank[code][order][first]
+            better = (exact < best[row]) | (exact == best[row]) & (rank < place[row])
+            best[row[better]], place[row[better]] = exact[better], rank[better]
+        return best, place
 
 
 def assign_codes(vectors: DataFrame, codebook: DataFrame, vector: str, code: str = "code", code_vector: str = "vector") -> DataFrame:
-    """Add ``code``, the nearest entry of the codebook. The codebook is one broadcast row and its size is checked."""
-    size = codebook.limit(MAX_CODEBOOK + 1).count()
-    if size > MAX_CODEBOOK:
-        raise ValueError(f"a codebook holds at most {MAX_CODEBOOK} entries")
-    book = codebook.agg(F.sort_array(F.collect_list(F.struct(F.col(code).alias("code"), F.col(code_vector).alias("vector")))).alias("_book"))
-    joined = vectors.join(F.broadcast(book), F.lit(True))
-    return joined.select(*vectors.columns, nearest_code(vector, "_book")["code"].alias("code"))
+    """Add ``code``, the nearest entry of the codebook, the lowest on a tie; NULL for a NULL vector, one of another size than the
+    codebook's, or without a codebook.
+
+    The codebook is broadcast in parts of bounded size; with more than one, the nearest so far is stored between the passes.
+    """
+    spark = vectors.sparkSession
+    entries = codebook.select(F.col(code).alias("c"), F.col(code_vector).cast("array<double>").alias("v"))
+    shape = entries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    parts = max(1, -(-shape["n"] * (shape["d"] or 0) * 8 // BOOK_BYTES))
+    kind = codebook.schema[code].dataType
+    best = T.StructType([T.StructField("d", T.DoubleType()), T.StructField("code", kind)])
+    out = vectors
+    for part in range(parts):
+        rows = entries.where(F.pmod(F.xxhash64("c"), F.lit(parts)) == part).collect()  # BOOK_BYTES or so
+        book = spark.sparkContext.broadcast(Codebook([r.c for r in rows], np.array([r.v for r in rows], float).reshape(len(rows), shape["d"] or 0)))
+
+        @F.pandas_udf(best)
+        def nearest(x: pd.Series, held: pd.DataFrame) -> pd.DataFrame:
+            at = np.array([i for i, v in enumerate(x) if v is not None and len(v) == book.value.vectors.shape[1]], np.int64)
+            d, codes = held["d"].to_numpy(float, na_value=np.inf, copy=True), held["code"].tolist()
+            if len(at) and len(book.value.codes):
+                found, place = book.value.nearest(np.array([x[i] for i in at], float))
+                for i, f, p in zip(at.tolist(), found.tolist(), place.tolist()):
+                    mine = book.value.codes[p]
+                    if f < d[i] or f == d[i] and (pd.isna(codes[i]) or mine < codes[i]):
+                        d[i], codes[i] = f, mine
+            return pd.DataFrame({"d": d, "code": pd.array([None if pd.isna(c) else c for c in codes], object)})
+
+        held = F.struct(F.col("_best.d").alias("d"), F.col("_best.code").alias("code")) if part else F.struct(F.lit(None).cast("double").alias("d"), F.lit(None).cast(kind).alias("code"))
+        out = out.withColumn("_best", nearest(F.col(vector).cast("array<double>"), held))
+        if part < parts - 1:
+            out = stored(out, "codes")
+    return out.select(*vectors.columns, F.col("_best.code").alias("code"))
 
 
 def code_usage(codes: DataFrame, codebook_size: int, code: str = "code") -> DataFrame:

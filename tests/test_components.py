@@ -127,3 +127,22 @@ def test_metrics_are_one_on_match_and_drop_on_mismatch(spark):
 def test_value_regions_number_by_first_appearance(spark):
     df = spark.createDataFrame([(4, [2, 0, 1, 2], [0, 0xFF000001, 0xFF000002])], "width int, indices array<int>, palette array<bigint>")
     assert with_regions(df, connected=False).select(F.col("structure")).first()[0] == [1, 0, 2, 1]
+
+
+def test_many_components_take_linear_time(spark):
+    """A noisy sheet of 1,000,000 cells, a third of them a component or a few each."""
+    import time
+
+    side = 1000
+    noise = np.random.default_rng(5).integers(-1, 3, side * side)
+    df = spark.createDataFrame([(noise.tolist(), side)], "v array<int>, width int")
+    df = components.with_component_labels(df, "v", "width").cache()
+    df.count()
+    start = time.perf_counter()
+    best = df.select(components.largest_component("labels").alias("b"), F.size(components.sheet_boxes("labels", "width", 64)).alias("n")).first()
+    took = time.perf_counter() - start
+    labels = np.array(df.first()["labels"])
+    names, counts = np.unique(labels[labels >= 0], return_counts=True)
+    assert (best["b"]["label"], best["b"]["n"]) == (names[counts.argmax()], counts.max()) and best["n"] > 1000
+    assert took < 20
+    df.unpersist()

@@ -320,13 +320,24 @@ def test_prompt_set_covers_every_category(spark):
     assert all(r["covered"] for r in embed.prompt_coverage(prompts).collect())
 
 
-def test_codebook_assignment_ties_and_bound(spark, monkeypatch):
-    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.9])], "i int, v array<double>")
+@pytest.mark.parametrize("bytes_at_once", [32 << 20, 400])
+def test_codebook_assignment(spark, monkeypatch, bytes_at_once):
+    monkeypatch.setattr(metrics, "BOOK_BYTES", bytes_at_once)
+    monkeypatch.setattr(metrics, "CODES", 3)
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.9]), (2, None), (3, [1.0])], "i int, v array<double>")
     book = spark.createDataFrame([(5, [1.0, 1.0]), (2, [1.0, -1.0]), (9, [0.0, 1.0])], "code int, vector array<double>")
-    assert {r["i"]: r["code"] for r in metrics.assign_codes(vectors, book, "v").collect()} == {0: 2, 1: 9}
-    monkeypatch.setattr(metrics, "MAX_CODEBOOK", 2)
-    with pytest.raises(ValueError, match="codebook"):
-        metrics.assign_codes(vectors, book, "v")
+    assert {r["i"]: r["code"] for r in metrics.assign_codes(vectors, book, "v").collect()} == {0: 2, 1: 9, 2: None, 3: None}
+    assert {r["code"] for r in metrics.assign_codes(vectors, book.where("code < 0"), "v").collect()} == {None}
+    rng = np.random.default_rng(4)
+    codes = np.round(rng.normal(size=(60, 4)) * np.arange(1, 61)[:, None] / 9, 1)
+    codes = np.concatenate([codes, codes[:20]])  # equal entries: the lowest code wins
+    x = np.round(rng.normal(size=(200, 4)) * rng.uniform(0, 9, (200, 1)), 1)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, v array<double>").repartition(3)
+    entries = spark.createDataFrame([(f"c{99 - i:02d}", v.tolist()) for i, v in enumerate(codes)], "name string, entry array<double>")
+    got = {r["i"]: r["code"] for r in metrics.assign_codes(frame, entries, "v", "name", "entry").collect()}
+    for i, v in enumerate(x):
+        distances = ((codes - v) ** 2).sum(axis=1)
+        assert got[i] == min(f"c{99 - j:02d}" for j in np.flatnonzero(distances <= distances.min() + 1e-12))
 
 
 def test_step_metrics_golden(spark):
@@ -340,3 +351,31 @@ def test_step_metrics_golden(spark):
 def test_conform_adds_missing_columns(spark):
     rows = conform(spark.createDataFrame([("a", 3)], "rel_path string, width bigint"))
     assert rows.schema["width"].dataType.simpleString() == "int" and rows.first()["phash"] is None
+
+
+def test_nearest_entries_of_many_colors(spark):
+    import time
+
+    rng = np.random.default_rng(6)
+    pixels = np.arange(128 * 128) * 977 % (1 << 24) | 255 << 24
+    pixels[::50] &= (1 << 24) - 1
+    colors = np.unique(rng.integers(0, 1 << 24, 16_384) | 255 << 24)
+    colors = np.concatenate([[0], colors, colors[:3]])
+    rows = [(0, pixels.tolist(), colors.tolist()), (1, pixels[:300].tolist(), colors[1:40].tolist()), (2, None, colors.tolist()), (3, [], [])]
+    df = spark.createDataFrame(rows, "i int, p array<bigint>, c array<bigint>").cache()
+    df.count()
+    start = time.perf_counter()
+    got = {r["i"]: r["n"] for r in df.select("i", px.nearest_indices("p", "c").alias("n")).collect()}
+    assert time.perf_counter() - start < 20
+    assert got[2] is None and got[3] == []
+
+    def nearest(p, palette):
+        if palette[0] == 0 and p < 1 << 24:
+            return 0
+        p, start = 0 if p < 1 << 24 else p, int(palette[0] == 0)
+        return min(range(start, len(palette)), key=lambda i: (sum(((p >> s & 255) - (int(palette[i]) >> s & 255)) ** 2 for s in (16, 8, 0)), i))
+
+    assert got[1] == [nearest(int(p), colors[1:40]) for p in pixels[:300]]
+    for at in range(0, len(pixels), 1601):
+        assert got[0][at] == nearest(int(pixels[at]), colors)
+    df.unpersist()
