@@ -142,6 +142,82 @@ def test_licences(spark, odd, empty):
     assert classify(empty).count() == 0
 
 
+UNSEEN = [
+    "Licensed under the Eclipse Public License 2.0.",
+    "Distributed under the GNU Affero General Public License v3.",
+    "Licensed under the EUPL 1.2.",
+    "Released under the ISC license.",
+    "Licensed under CC BY-ND 4.0.",
+    "This is not licensed under the MIT License.",
+    "This file is no longer released under the Apache License 2.0.",
+    "Redistribution and use in source and binary forms, with or without modification, are prohibited.",
+    "Diese Datei ist nicht licensed under the MIT License.",
+    "Licensed under the Academic Free License 3.0.",
+    "The licence fee is reserved for museums.",
+]
+SEEN = {
+    "Released under the MIT License.": "MIT",
+    "Project files. Licensed under the BSD 3-Clause License.": "BSD",
+    "Some words before.\n\nThis Source Code Form is subject\nto the terms of the Mozilla\nPublic License, v. 2.0.\n\nMore.": "MPL-2.0",
+    "This program is free software: you can redistribute it\n * and/or modify it under the terms of the GNU General Public\n * License as published by the Free Software Foundation.": "GPL",
+    "Licensed under CC BY 4.0.": "CC-BY",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC",
+    "Licensed under the GNU Lesser General Public License, version 2.1.": "LGPL",
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    "Dedicated to the public domain under CC0 1.0.": "CC0",
+    "All rights reserved.": "proprietary",
+}
+
+
+def test_unseen_licences_and_refusals_are_unknown(spark, docs):
+    """Judged by a model of the given documents: other licences, denials and mere mentions confirm no family; wrapped notices do."""
+    model = fit_licences(cut_lineage(paragraphs(docs.selectExpr("doc_id as row_id", "xxhash64(text) as row_hash", "text"))))
+    rows = list(enumerate([*UNSEEN, *SEEN]))
+    got = {r.doc_id: r for r in classify(spark.createDataFrame(rows, "doc_id int, text string"), model).collect()}
+    same([(t, got[i].family, got[i].confirmed, got[i].families) for i, t in rows], [(t, SEEN.get(t, "unknown"), t in SEEN, SEEN.get(t, "")) for _, t in rows])
+
+
+def test_shares_beside_brute_force(spark, docs):
+    """The share that confirms, recomputed in Python from the n-grams."""
+    from pyspark.sql import functions as F
+
+    from pixelspark.llm import licences
+
+    templates = {}
+    for r in licences._templates(spark).collect():
+        templates.setdefault((r.family, r.template), (set(), r.denying))[0].add(r.gram)
+    owners = {}
+    for (family, _), (grams, _) in templates.items():
+        for g in grams:
+            owners.setdefault(g, set()).add(family)
+    texts = [t for f in licences.TEMPLATES.values() for t in f] + UNSEEN + list(SEEN) + ["Note: not under the MIT License and BSD license."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, paragraph string")
+    df = df.withColumn("words", licences.words(F.col("paragraph"))).withColumn("grams", licences.grams(F.col("words"))).cache()
+    found = {(r.id, r.family): r.share for r in licences._shares(df.select("id", "paragraph", "grams"), licences._templates(spark)).collect()}
+    for r in df.collect():
+        want = {}
+        for (family, _), (grams, denying) in templates.items():
+            common = set(r.grams) & grams
+            if common:
+                denied = {w for w in r.words if w in licences.DENYING} - set(denying)
+                holds = any(owners[g] == {family} for g in common) and not denied
+                want[family] = max(want.get(family, 0.0), min(len(common) / len(grams), len(common) / len(r.grams)) if holds else 0.0)
+        assert want == {f: s for (i, f), s in found.items() if i == r.id}
+
+
+def test_repeated_rows_and_labels_of_the_quality_sample(spark, docs, monkeypatch):
+    """400 copies of a row are collected once; of contradicting labels the lowest counts."""
+    from pixelspark.llm import compression
+
+    labels = spark.read.parquet(f"{TABLES}/labels.parquet")
+    once = compression.fit(docs, labels)
+    assert compression.fit(docs.unionByName(docs).unionByName(docs), labels.unionByName(labels)) == once
+    rows = [(i, ("good words and more of them " if i % 2 else "bad bad bad ") * 20, i % 2) for i in range(1, 60)]
+    df = spark.createDataFrame(rows + [rows[0]] * 400, "doc_id bigint, text string, quality int")
+    model = compression.fit(df.select("doc_id", "text"), df.select("doc_id", "quality").unionByName(df.selectExpr("doc_id", "1 as quality")))
+    assert model == compression.fit(spark.createDataFrame(rows, df.schema).select("doc_id", "text"), spark.createDataFrame(rows, df.schema).select("doc_id", "quality"))
+
+
 def test_licence_plan_is_native(docs):
     assert not re.search("Python|Arrow|Pandas", paragraphs(docs.selectExpr("doc_id as row_id", "doc_id as row_hash", "text"))._jdf.queryExecution().toString())
     plan = classify(docs)._jdf.queryExecution().toString()
