@@ -19,6 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .base import documents, map_texts
 
 SAMPLE_ROWS = 1_500
@@ -88,10 +89,12 @@ def _dictionary(texts: list[str], size: int = DICTIONARY_BYTES) -> bytes:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Dictionaries and curve from a bounded sample of the labelled rows that are not held out.
 
-    Rows without label, id or text are no sample. Half of the sample, by turns, builds the dictionaries; the other half fits the
+    Rows without label, id or text are no sample. Of several labels of one id the lowest counts, of several texts the first in order, once.
+    Half of the sample, by turns, builds the dictionaries; the other half fits the
     curve, weighted as the labels occur among all labelled rows. Without any labelled row every score is one half.
     """
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna().dropDuplicates(["doc_id"])
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0)
     shares = {r["label"]: r["n"] for r in known.groupBy((F.col("label") > 0).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -101,21 +104,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).dropna()
     # the sample has at most 2 * SAMPLE_ROWS ids and labels: bounded, so it may be broadcast
-    found = texts.join(F.broadcast(chosen), "doc_id").withColumn("n", F.octet_length("text"))
-    found = found.withColumn("order", order[0])
-    rows = found.select("doc_id", "label", "n", "order").orderBy("order", "doc_id").limit(4 * SAMPLE_ROWS).collect()
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    found = cut_lineage(found.withColumn("n", F.octet_length("text")).withColumn("order", order[0]))
+    rows = found.select("doc_id", "n").orderBy("order", "doc_id").collect()  # one of each id
     total, keep = 0, []
     for r in rows:
         if total + r["n"] <= SAMPLE_BYTES:
             total += r["n"]
             keep.append(r["doc_id"])
     by_label: dict[bool, list[str]] = {True: [], False: []}
-    seen = set()
     wanted = texts.sparkSession.createDataFrame([(k,) for k in keep], f"doc_id {docs.schema[id_col].dataType.simpleString()}")
-    for r in found.join(F.broadcast(wanted), "doc_id").orderBy("order", "doc_id", "text").collect():
-        if r["doc_id"] not in seen:
-            seen.add(r["doc_id"])
-            by_label[r["label"] > 0].append(r["text"])
+    for r in found.join(F.broadcast(wanted), "doc_id").orderBy("order", "doc_id").collect():
+        by_label[r["label"] > 0].append(r["text"])
     good, bad = (_dictionary(by_label[k][::2]) for k in (True, False))
     rest = [(t, k) for k in (True, False) for t in by_label[k][1::2]]
     if not rest:
