@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import math
+from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .base import col, let
-from .pixels import blue, green, red
 
 # ITU-601 luma weights in 1/65536 and the resampler's fixed-point precision.
 LUMA_R, LUMA_G, LUMA_B = 19595, 38470, 7471
 FIXED_POINT_BITS = 22
 HASH_SIDE = 8
+PIXELS_AT_ONCE = 1 << 20  # of images of one size that are resampled together
 
 
 def content_digest(content: Column | str) -> Column:
@@ -57,10 +61,6 @@ def hash_from_values(values: Column | str) -> Column:
     return let(col(values), pack)
 
 
-def luma(px: Column) -> Column:
-    return F.shiftright(red(px) * LUMA_R + green(px) * LUMA_G + blue(px) * LUMA_B + F.lit(0x8000), 16)
-
-
 def _axis_taps(n: int) -> list[tuple[int, list[int]]]:
     """Triangle-filter taps that resample ``n`` samples to 8: (first sample, fixed-point weights)."""
     scale = n / HASH_SIDE
@@ -76,62 +76,51 @@ def _axis_taps(n: int) -> list[tuple[int, list[int]]]:
     return taps
 
 
-def resample_taps(spark: SparkSession, max_side: int) -> DataFrame:
-    """One row per possible side length: ``max_side`` rows, never more, so it may be broadcast."""
-    rows = [(n, _axis_taps(n)) for n in range(1, max_side + 1)]
-    return spark.createDataFrame(rows, "n int, taps array<struct<lo:int,k:array<bigint>>>").coalesce(1)
-
-
-def _downsample(pixels: Column, width: Column, height: Column, taps_x: Column, taps_y: Column) -> Column:
-    half = F.lit(1 << (FIXED_POINT_BITS - 1)).cast("bigint")
-
-    def horizontal(gray: Column) -> Column:
-        def cell(i: Column) -> Column:
-            y = F.floor(i / HASH_SIDE).cast("int")
-            return let(
-                F.get(taps_x, i % HASH_SIDE),
-                lambda t: F.shiftright(
-                    F.aggregate(
-                        F.zip_with(F.slice(gray, y * width + t["lo"] + 1, F.size(t["k"])), t["k"], lambda v, k: v * k),
-                        half,
-                        lambda s, x: s + x,
-                    ),
-                    FIXED_POINT_BITS,
-                ),
-            )
-
-        return F.transform(F.sequence(F.lit(0), height * HASH_SIDE - 1), cell)
-
-    def vertical(tmp: Column) -> Column:
-        def cell(i: Column) -> Column:
-            x = i % HASH_SIDE
-            return let(
-                F.get(taps_y, F.floor(i / HASH_SIDE).cast("int")),
-                lambda t: F.shiftright(
-                    F.aggregate(
-                        F.transform(t["k"], lambda k, j: k * F.get(tmp, (t["lo"] + j) * HASH_SIDE + x)),
-                        half,
-                        lambda s, v: s + v,
-                    ),
-                    FIXED_POINT_BITS,
-                ),
-            )
-
-        return F.transform(F.sequence(F.lit(0), F.lit(HASH_SIDE * HASH_SIDE - 1)), cell)
-
-    return let(let(F.transform(pixels, luma), horizontal), vertical)
+@cache
+def _axis_matrix(n: int) -> np.ndarray:
+    """8 x n: the taps of a side length as fixed-point weights."""
+    out = np.zeros((HASH_SIDE, n))
+    for row, (lo, weights) in zip(out, _axis_taps(n)):
+        row[lo : lo + len(weights)] = weights
+    return out
+
+
+def _rounded(sums: np.ndarray) -> np.ndarray:
+    """Fixed-point sums back to values; sums stay far below 2^53, so products of doubles are exact."""
+    return (sums.astype(np.int64) + (1 << (FIXED_POINT_BITS - 1))) >> FIXED_POINT_BITS
+
+
+def _average_hashes(pixels: np.ndarray) -> np.ndarray:
+    """Hashes of images of one size, (image, y, x) packed colours: luma, both axes as a product each, bits not below the mean."""
+    gray = ((pixels >> 16 & 255) * LUMA_R + (pixels >> 8 & 255) * LUMA_G + (pixels & 255) * LUMA_B + 0x8000) >> 16
+    _, height, width = gray.shape
+    rows = _rounded(gray.astype(float) @ _axis_matrix(width).T)
+    small = _rounded(_axis_matrix(height) @ rows.astype(float)).reshape(len(gray), -1)
+    bits = HASH_SIDE * HASH_SIDE * small >= small.sum(axis=1, keepdims=True)
+    return np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
+
+
+@F.pandas_udf(T.LongType())
+def _hash_batch(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+    out = np.full(len(pixels), None, object)
+    sizes: dict[tuple, list[int]] = {}
+    for i, (p, w, h) in enumerate(zip(pixels, width, height)):
+        if p is not None and w == w and h == h and w and h and len(p) == w * h:  # NULL sides come as NaN
+            sizes.setdefault((int(h), int(w)), []).append(i)
+    for (h, w), members in sizes.items():
+        step = max(1, PIXELS_AT_ONCE // (h * w))
+        for at in range(0, len(members), step):
+            some = members[at : at + step]
+            out[some] = _average_hashes(np.stack([np.asarray(pixels.iloc[i], np.int64) for i in some]).reshape(-1, h, w)).tolist()
+    return pd.Series(out, dtype=object)
 
 
 def with_perceptual_hash(df: DataFrame, max_side: int = 128, out: str = "phash") -> DataFrame:
     """Add the average hash of ``pixels`` (luma, 8x8, bit = not below the mean).
 
-    Raw colours are used: alpha and hidden RGB count. Images with a side above ``max_side`` get NULL.
+    Raw colours are used: alpha and hidden RGB count. Images with a side above ``max_side`` get NULL, as do those without pixels. Images of
+    one size in an Arrow batch are resampled together, by two small matrix products.
     """
-    taps = resample_taps(df.sparkSession, max_side)
-    joined = df.join(F.broadcast(taps.select(F.col("n").alias("_nx"), F.col("taps").alias("_tx"))), F.col("width") == F.col("_nx"), "left")
-    joined = joined.join(
-        F.broadcast(taps.select(F.col("n").alias("_ny"), F.col("taps").alias("_ty"))), F.col("height") == F.col("_ny"), "left"
-    )
-    small = _downsample(F.col("pixels"), F.col("width"), F.col("height"), F.col("_tx"), F.col("_ty"))
-    value = F.when(F.col("_tx").isNotNull() & F.col("_ty").isNotNull(), hash_from_values(small))
-    return joined.withColumn(out, value).drop("_nx", "_tx", "_ny", "_ty")
+    fits = (F.col("width") <= max_side) & (F.col("height") <= max_side)
+    side = [F.when(fits, F.col(c)).cast("int") for c in ("width", "height")]
+    return df.withColumn(out, _hash_batch(F.when(fits, F.col("pixels")), *side))
