@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.base import text
 from ..functions.licenses import is_allowed_license
-from ..functions.names import path_order
 from ..session import cut_lineage
-from .shuffles import ordered_rank, seeded_take
+from .shuffles import ordered_take, seeded_take
 
 
 def is_eligible(lossy: str = "lossy", duplicate_of: str = "duplicate_of", near: str = "near_duplicate_of", license_: str = "license") -> Column:
@@ -46,7 +45,7 @@ def sample_cap(rows: DataFrame, target_count: int, per_bucket_cap: int | None, g
 def training_filter(
     rows: DataFrame, max_bucket_size: int | None = None, include_lossy: bool = False, limit: int | None = None, order: str = "rel_path"
 ) -> DataFrame:
-    """Rows usable for training, in path order: a predicate on the manifest, so nothing is decoded."""
+    """Rows usable for training, the first ``limit`` by path: a predicate on the manifest, so nothing is decoded."""
     kept = rows
     if max_bucket_size is not None:
         kept = kept.where(F.col("bucket_size") <= max_bucket_size)
@@ -64,7 +63,8 @@ def max_size_filter(rows: DataFrame, size: int, limit: int | None = None, order:
 
 
 def first_rows(rows: DataFrame, limit: int | None, order: str = "rel_path") -> DataFrame:
-    """The first ``limit`` rows by path, taken from overall positions, so that no task holds them all."""
+    """The first ``limit`` rows by path (all without a limit). Only keys are looked at to find the cut, and no more sorted than its range."""
     if not limit:
         return rows
-    return ordered_rank(rows, path_order(order), "_place").where(F.col("_place") <= limit).drop("_place")
+    # components compare one by one, as no character is smaller than this separator
+    return ordered_take(rows, F.replace(F.col(order), F.lit("/"), F.lit("\x00")), limit)

@@ -12,6 +12,8 @@ from ..session import cut_lineage
 
 HEAVY_KEYS = 512  # rows of the broadcast side below: a bound that does not grow with the data
 SPREAD = 256
+RANGES = 255  # keys between which keys are counted; a bound on what the driver holds
+SORTED_AT_ONCE = 1_000_000  # keys of a range that are sorted to find a cut
 RANGE_DIGITS = 3  # hexadecimal digits: 4,096 ranges of a hash
 
 
@@ -139,6 +141,47 @@ def seeded_split(df: DataFrame, key: Sequence[str], seed: int, parts: Sequence[t
     return hashed.select(*df.columns, label.otherwise(parts[-1][0]).alias(out))
 
 
+def _range_of(key: Column, bounds: list, low: int = 0, high: int | None = None) -> Column:
+    """Number of bounds at or below the key, by halving."""
+    high = len(bounds) if high is None else high
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(key < F.lit(bounds[middle]), _range_of(key, bounds, low, middle)).otherwise(_range_of(key, bounds, middle + 1, high))
+
+
+def ordered_take(df: DataFrame, key: Column, limit: int, ranges: int = RANGES, sorted_at_once: int = SORTED_AT_ONCE) -> DataFrame:
+    """The first ``limit`` rows by ``key`` (a string), in no order; of rows with one key at the cut as many as fit.
+
+    Nothing is sorted but keys of the range that holds the cut: keys are counted in ranges between ``ranges`` keys drawn by hash from those in
+    question, the range with the cut is cut up again until it is small, and its keys give the last one taken. ``df`` is scanned for each
+    step, for its keys alone, and once for the rows.
+    """
+    keys = df.select(F.coalesce(key, F.lit("")).alias("k"))
+    low, high, inside, before = None, None, F.lit(True), 0  # the keys in question, and how many lie below them
+    while True:
+        some = keys.where(inside)
+        bounds = sorted({r.k for r in some.orderBy(F.xxhash64("k"), "k").limit(ranges).collect()})
+        counts = dict(some.groupBy(_range_of(F.col("k"), bounds).alias("r")).agg(F.count(F.lit(1))).collect())  # one row a range
+        at = 0
+        while at <= len(bounds) and before + counts.get(at, 0) < limit:
+            before += counts.get(at, 0)
+            at += 1
+        if at > len(bounds):
+            return df
+        low, high = bounds[at - 1] if at else low, bounds[at] if at < len(bounds) else high
+        inside = (F.lit(True) if low is None else F.col("k") >= low) & (F.lit(True) if high is None else F.col("k") < high)
+        if counts[at] <= sorted_at_once or len(bounds) == 1:
+            break
+    need = limit - before
+    cut = keys.where(inside).orderBy("k").limit(need).agg(F.max("k").alias("k"), F.count(F.lit(1)).alias("n")).first()["k"]
+    ends = keys.where(inside & (F.col("k") <= cut)).agg(F.count_if(F.col("k") < cut).alias("below"), F.count_if(F.col("k") == cut).alias("there")).first()
+    mine = F.coalesce(key, F.lit(""))
+    if ends["below"] + ends["there"] == need:
+        return df.where(mine <= cut)
+    return df.where(mine < cut).unionByName(df.where(mine == cut).limit(need - ends["below"]))
+
+
 def ordered_rank(df: DataFrame, order: Column, out: str = "rank") -> DataFrame:
     """Exact 1-based position of every row in one overall order, without bringing the rows to one task.
 

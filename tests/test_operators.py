@@ -379,3 +379,20 @@ def test_nearest_entries_of_many_colors(spark):
     for at in range(0, len(pixels), 1601):
         assert got[0][at] == nearest(int(pixels[at]), colors)
     df.unpersist()
+
+
+@pytest.mark.parametrize("ranges,sorted_at_once", [(255, 1_000_000), (3, 5), (1, 1)])
+def test_first_rows_by_path(spark, ranges, sorted_at_once):
+    from pixelspark.operators.curate import first_rows
+
+    rng = np.random.default_rng(7)
+    paths = ["/".join(rng.choice(["a", "b", "a b", "A", "é", "a-b"], rng.integers(1, 5))) for _ in range(400)] + [None, "", "a", "a", "a"]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, rel_path string").repartition(4)
+    ordered = sorted((p or "").split("/") for p in paths)
+    key = F.replace(F.col("rel_path"), F.lit("/"), F.lit("\x00"))
+    for limit in (1, 2, 3, 57, 200, 404, 405, 900):
+        got = shuffles.ordered_take(df, key, limit, ranges, sorted_at_once).collect()
+        assert sorted((r["rel_path"] or "").split("/") for r in got) == ordered[:limit] and len({r["i"] for r in got}) == len(got)
+    assert first_rows(df, None).count() == 405 and first_rows(df, 7).count() == 7 and first_rows(df.limit(0), 7).count() == 0
+    plan = first_rows(df, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan.replace("Sorted", "") and "Scan ExistingRDD" in plan
