@@ -135,7 +135,10 @@ def write_token_files(
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) per document, from the files: start counts the ids of all documents before it."""
+    """(doc_id, start, n_tokens, ids_crc32) per document, from the files: start counts the ids of all documents before it.
+
+    Rows that share an id each have a row, in the order in which they were written. Files without frames give none.
+    """
     files = spark.read.parquet(folder)
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
     # one row per part, and there are no more parts than the writing job had tasks: bounded, so it may be broadcast
@@ -159,7 +162,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, ids) as stored, end id included."""
+    """(doc_id, ids) as stored, end id included: a NULL or empty text has the end id alone. Repeated rows each have a row; files without
+    frames give none."""
     files = spark.read.parquet(folder).select("doc_ids", "lengths", "frame_data")
     schema = f"doc_id {files.schema['doc_ids'].dataType.elementType.simpleString()}, ids array<bigint>"
     arrow = to_arrow_schema(T._parse_datatype_string(schema))

@@ -153,7 +153,8 @@ def verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def clean(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """Kept rows with all their columns; their text lacks the failing lines and ``length_col``, if there is one, counts
-    its code points. Columns may have any names and any NULLs; NULL and empty texts are rejected."""
+    its code points. Columns may have any names and any NULLs; NULL and empty texts are rejected. Repeated rows
+    each stay or go alike; an empty table stays empty."""
     original = fresh(df, "text_as_read")
     lengths = length_col if length_col in df.columns else None
     columns = [f for f in df.schema.fields]

@@ -129,5 +129,9 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact(docs: DataFrame, kinds: tuple[str, ...] = HASHES) -> DataFrame:
-    """Rows of ``docs`` (columns doc_id, text and any others) with one of each group of equal texts."""
+    """Rows of ``docs`` (columns doc_id, text and any others) with one of each group of equal texts, the one of ``exact_groups``.
+
+    NULL and empty texts are equal to each other, so one of them stays. Of wholly repeated rows one stays; rows that differ in other columns
+    only are repeated here, and any of them may stay. An empty table stays empty.
+    """
     return keep_rows(docs, exact_groups(docs, kinds=kinds).where("kept").select("row_id", "row_hash"))

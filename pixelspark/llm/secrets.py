@@ -142,6 +142,7 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
     """All rows with all their columns, every span in the text replaced by ``mark``; NULL texts stay NULL.
 
     Overlapping spans are replaced together. ``length_col``, if there is one, counts the code points of changed texts.
+    Empty texts stay empty, repeated rows are each treated alike, an empty table stays empty.
     """
     schema = df.schema
     arrow = to_arrow_schema(schema)

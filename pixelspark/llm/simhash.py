@@ -242,5 +242,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (columns doc_id, text and any others) with one of each component: the one of the smallest doc_id."""
+    """Rows of ``docs`` (columns doc_id, text and any others) with one of each component: the one of the smallest doc_id, NULL ids last.
+
+    NULL and empty texts are near each other, so one of them stays. Of rows that share id and text one stays. An empty table stays empty.
+    """
     return keep_rows(docs, near_groups(docs).select("component_row.row_id", "component_row.row_hash"))
