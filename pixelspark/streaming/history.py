@@ -43,7 +43,7 @@ def in_filter(bits: bytes, hashes: np.ndarray) -> np.ndarray:
 
 
 class KeyHistory:
-    """Keys below ``folder``, by the number of parts: ``keys/part=N`` and ``filters/part=N``, appended by each batch. NULL keys are neither noted nor known."""
+    """Keys below ``folder``, by the number of parts: ``keys/part=N`` and ``filters``, appended by each batch. NULL keys are neither noted nor known."""
 
     def __init__(self, spark: SparkSession, folder: str, parts: int = PARTS):
         self.spark, self.parts, self.folder = spark, parts, folder.rstrip("/")
@@ -92,7 +92,7 @@ class KeyHistory:
                 yield out()
 
         made = dealt.select("part", "stream", "batch", "h").mapInArrow(run, FILTER)
-        made.write.mode("append").partitionBy("part").parquet(self.filters)
+        made.write.mode("append").parquet(self.filters)  # few rows, in order of their parts: file statistics tell where a part is
 
     def suspects(self, rows: DataFrame, key: str, stream: str, batch: int) -> DataFrame:
         """(key, part): keys of ``rows`` that the filters of other batches than this one know, by right or by false alarm."""
