@@ -10,6 +10,8 @@ Conventions of every operator here:
 
 from __future__ import annotations
 
+import gc
+import sys
 from collections.abc import Callable, Iterator
 from itertools import chain, count
 
@@ -55,12 +57,22 @@ def map_texts(df: DataFrame, start: Callable[[], Callable[[list, list], dict]],
     return df.mapInArrow(run, schema)
 
 
+def free_worker() -> None:
+    """Give back what tasks of other operators have kept in this Python worker, tokenizers and encoded words above all."""
+    kept = getattr(sys.modules.get("_pixelspark_worker"), "kept", None)
+    if kept:
+        kept.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, most: int = SLICE_BYTES) -> DataFrame:
     """Rows made from Arrow batches, cut into slices if there is a column ``text``: ``work`` returns the columns of ``schema``."""
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
     cut = "text" in df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in batches:
             for part in slices(batch, most=most) if cut else [batch]:
                 yield pa.RecordBatch.from_pydict(work(part), schema=arrow)

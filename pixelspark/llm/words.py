@@ -85,7 +85,7 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def kept_by_worker(key: tuple, make: Callable):
     """An object that a Python worker makes once and keeps for its later tasks."""
-    store = sys.modules.setdefault("_pixelspark_worker", types.ModuleType("_pixelspark_worker")).__dict__
+    store = sys.modules.setdefault("_pixelspark_worker", types.ModuleType("_pixelspark_worker")).__dict__.setdefault("kept", {})
     if key not in store:
         store[key] = make()
     return store[key]
