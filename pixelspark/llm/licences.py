@@ -25,7 +25,9 @@ UNKNOWN = "unknown"
 SAMPLE = 2_000  # unknown paragraphs that fit the model, chosen by a hash of their text
 VOCABULARY = 6_000  # n-grams with weights, the most frequent of the examples; bounds what is broadcast
 CONFIRMED = 0.5  # share of a template's n-grams, and of the paragraph's, that both have
-WRAPPED = 12  # lines of a paragraph that is also taken as one text
+WRAPPED = 12  # lines of a paragraph above which its stretches are taken as texts, too
+BEFORE = 8  # words that a stretch has before its first word with an anchor, so that a denying one is seen
+STRETCHES = (8, 16, 40)  # words of a stretch from there on; no template is longer than the last
 # fixed values: words that turn a permission round
 DENYING = ["not", "never", "no", "nor", "neither", "cannot", "without", "prohibited", "forbidden", "revoked", "nicht", "kein", "keine", "keiner", "untersagt", "verboten", "pas", "aucune", "interdite", "interdit", "prohibida", "prohibido", "ninguna", "instead"]
 # fixed values: notices of licences without a family here, and sentences that only name one
@@ -158,10 +160,28 @@ def _examples(spark: SparkSession) -> DataFrame:
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(row_id, row_hash, place, paragraph, grams) of (row_id, row_hash, text): lines with an anchor, and as one text each the paragraphs of
-    2 to ``WRAPPED`` lines with one, over which a notice may be wrapped."""
+    several lines with one, over which a notice may be wrapped. A paragraph of more than ``WRAPPED`` lines may hold more than the notice, so its
+    stretches of words around each word with an anchor are texts, too, however many lines they take."""
     hint = rf"(?i)(?<![\p{{L}}\p{{N}}]){ANCHOR}"
-    blocks = F.filter(F.split("text", r"\n[ \t\r]*\n"), lambda b: b.contains("\n") & (F.size(F.split(b, "\n")) <= WRAPPED))
-    whole = F.transform(blocks, lambda b: F.regexp_replace(b, r"[ \t\r]*\n[ \t>*#/]*", " "))
+
+    def stretches(block: Column) -> Column:
+        def around(own: Column) -> Column:
+            found = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: F.get(own, i).rlike(hint))
+            return F.flatten(F.transform(found, lambda i: F.array(*[part(own, i, n) for n in STRETCHES])))
+
+        return let(F.split(block, r"\s+"), around)
+
+    def part(own: Column, i: Column, n: int) -> Column:
+        first = F.greatest(i - BEFORE, F.lit(0))
+        return F.array_join(F.slice(own, first + 1, i - first + n), " ")
+
+    def texts(block: Column) -> Column:
+        one = F.regexp_replace(block, r"[ \t\r]*\n[ \t>*#/]*", " ")
+        long = F.size(F.split(block, "\n")) > WRAPPED
+        return let(one, lambda t: F.concat(F.array(t), F.when(long & t.rlike(hint), F.array_distinct(stretches(t))).otherwise(F.array().cast("array<string>"))))
+
+    blocks = F.filter(F.split("text", r"\n[ \t\r]*\n"), lambda b: b.contains("\n"))
+    whole = F.flatten(F.transform(blocks, texts))
     lines = docs.where(F.col("text").rlike(hint)).select("row_id", "row_hash", F.posexplode(F.concat(F.split("text", "\n"), whole)).alias("place", "paragraph"))
     return lines.where(F.col("paragraph").rlike(hint)).withColumn("grams", grams(words(F.col("paragraph")))).where(F.size("grams") > 0)
 
@@ -232,18 +252,36 @@ def _temperature(scored: DataFrame, spark: SparkSession) -> float:
 
 
 def _shares(found: DataFrame, templates: DataFrame) -> DataFrame:
-    """(id, family, share): how well the best template of each family confirms a paragraph (id, paragraph, grams).
+    """(id, family, share): how well the best template of each family confirms a paragraph (id, paragraph, grams), for families that share
+    an n-gram with it.
 
     It is the share of the template's n-grams that both have, or that of the paragraph's if that is less. It is zero without an n-gram that
     only templates of this family have, as many licences share their phrases, and with a denying word that the template has not.
     """
-    each = found.select("id", F.size("grams").alias("all"), _denying(words(F.col("paragraph"))).alias("denies"), F.explode("grams").alias("gram"))
-    # templates are a fixed table of this module: bounded
-    both = each.join(F.broadcast(templates), "gram").groupBy("id", "all", "denies", "family", "template", "n", "denying")
-    both = both.agg(F.count(F.lit(1)).alias("common"), F.max("own").alias("own"))
-    holds = F.col("own") & (F.size(F.array_except("denies", "denying")) == 0)
-    share = F.when(holds, F.least(F.col("common") / F.col("n"), F.col("common") / F.col("all"))).otherwise(0.0)
-    return both.groupBy("id", "family").agg(F.max(share).alias("share"))
+    # templates are a fixed table of this module: bounded, so they are compared inside the row, without a row per n-gram and template
+    known: dict[tuple, list] = {}
+    for r in templates.orderBy("family", "template", "gram").collect():
+        known.setdefault((r.family, r.template, tuple(r.denying)), []).append((r.gram, r.own))
+
+    def texts(values) -> Column:
+        return F.array(*map(F.lit, values)).cast("array<string>")
+
+    families: dict[str, list[Column]] = {}
+    for (family, _, denying), parts in known.items():
+        fields = texts(g for g, _ in parts).alias("grams"), texts(g for g, own in parts if own).alias("own"), texts(denying).alias("denying")
+        families.setdefault(family, []).append(F.struct(*fields))
+
+    def best(candidates: list[Column]) -> Column:
+        def share(t: Column) -> Column:
+            common = F.size(F.array_intersect("grams", t["grams"]))
+            holds = F.arrays_overlap("grams", t["own"]) & (F.size(F.array_except("denies", t["denying"])) == 0)
+            return F.when(holds, common / F.greatest(F.size(t["grams"]), F.size("grams"))).when(common > 0, 0.0)
+
+        return F.array_max(F.transform(F.array(*candidates), share))
+
+    each = found.select("id", "grams", _denying(words(F.col("paragraph"))).alias("denies"))
+    made = F.array(*[F.struct(F.lit(f).alias("family"), best(c).alias("share")) for f, c in families.items()])
+    return each.select("id", F.explode(made).alias("x")).select("id", "x.family", "x.share").where("share is not null")
 
 
 def classify(df: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -177,6 +177,35 @@ def test_unseen_licences_and_refusals_are_unknown(spark, docs):
     same([(t, got[i].family, got[i].confirmed, got[i].families) for i, t in rows], [(t, SEEN.get(t, "unknown"), t in SEEN, SEEN.get(t, "")) for _, t in rows])
 
 
+@pytest.mark.parametrize("width", [1, 4])
+def test_notices_wrapped_in_long_paragraphs(spark, docs, width):
+    """However many lines the paragraph and the notice take, and with another licence's words in it."""
+    from pixelspark.llm import licences
+
+    model = fit_licences(cut_lineage(paragraphs(docs.selectExpr("doc_id as row_id", "xxhash64(text) as row_hash", "text"))))
+    rows = []
+    for k, (family, notices) in enumerate(licences.TEMPLATES.items()):
+        words = notices[1 if len(notices) > 1 else 0].split()
+        wrapped = [" ".join(words[i : i + width]) for i in range(0, len(words), width)]
+        rows.append((k, "\n".join(["some plain line of text"] * 10 + wrapped + ["more plain text here"] * 10 + ["they spoke of the gnu and of bsd", "commons and a licensing fee"] * 3), family))
+    got = {r.doc_id: r.families for r in classify(spark.createDataFrame(rows, "doc_id int, text string, family string"), model).collect()}
+    missed = [f for k, _, f in rows if f not in got[k].split(",")]
+    assert not missed
+    longest = max(len(t.split()) for ts in licences.TEMPLATES.values() for t in ts)
+    assert longest <= licences.STRETCHES[-1]
+
+
+def test_confirming_makes_no_rows_per_template(spark):
+    """An n-gram that many templates have is no row of each."""
+    from pyspark.sql import functions as F
+
+    from pixelspark.llm import licences
+
+    df = spark.createDataFrame([(1, "Released under the MIT License.")], "id int, paragraph string")
+    df = df.withColumn("grams", licences.grams(licences.words(F.col("paragraph"))))
+    assert "Join" not in licences._shares(df, licences._templates(spark))._jdf.queryExecution().toString()
+
+
 def test_shares_beside_brute_force(spark, docs):
     """The share that confirms, recomputed in Python from the n-grams."""
     from pyspark.sql import functions as F
