@@ -24,7 +24,7 @@ from .base import map_batches
 MIN_DF = 3
 TOP = 200
 SCALE = 1_000_000_000
-SLICE = 16 << 20
+SLICE = 4 << 20  # bytes of text counted at once; bounds the memory of a Python worker
 
 
 def document_vectors(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -45,11 +45,10 @@ def group_sums(docs: DataFrame) -> DataFrame:
         of = np.array([groups.setdefault(g, len(groups)) for g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], np.int64)
         size = max(1, len(vocabulary))
         cells, inverse = np.unique(of[doc] * size + term, return_inverse=True)
-        names = list(groups)
-        group = (cells // size).tolist()
+        group = pa.array(cells // size)
         return {
-            "lang": pa.array([names[g][0] for g in group], pa.string()),
-            "source": pa.array([names[g][1] for g in group], pa.string()),
+            "lang": pa.array([g[0] for g in groups], pa.string()).take(group),
+            "source": pa.array([g[1] for g in groups], pa.string()).take(group),
             "term": vocabulary.take(pa.array(cells % size)).cast(pa.string()),
             "n": np.bincount(inverse, count, len(cells)).astype(np.int64),
             "df": np.bincount(inverse, minlength=len(cells)).astype(np.int64),

@@ -78,3 +78,10 @@ def test_vectors():
     vocabulary, doc, term, count = document_vectors(pa.array(texts))
     got = Counter({(d, vocabulary[t].as_py()): c for d, t, c in zip(doc.tolist(), term.tolist(), count.tolist())})
     assert got == Counter((i, w) for i, t in enumerate(texts) for w in words(t))
+
+
+def test_slices_bound_a_worker():
+    """No more text is counted at once than other operators take."""
+    from pixelspark.llm import base, divergence
+
+    assert divergence.SLICE <= base.SLICE_BYTES
