@@ -28,7 +28,7 @@ from ..operators.shuffles import lookup_join
 from ..session import cut_lineage, scratch_path
 from .arrays import mix, shingle_sets
 from .base import first_row, keep_rows, map_batches, row_key
-from .simhash import components
+from .simhash import components, majority, near_links
 
 WORDS = 5
 PERCENT = 80
@@ -206,6 +206,24 @@ def _verified(pairs: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
     return both.where((100 + percent) * common >= percent * (F.col("n") + F.col("m"))).select("a", "b")
 
 
+def fingerprint_links(elements: DataFrame, ranked: DataFrame, percent: int, bits: int) -> DataFrame:
+    """(a, b): links between sets whose SimHash fingerprints are within ``bits``, each verified; a fingerprint's first set speaks for it."""
+    spark = elements.sparkSession
+
+    def work(batch: pa.RecordBatch) -> dict:
+        found = [majority(np.asarray(s, np.int64).view(np.uint64)) for s in batch.column(1).to_numpy(zero_copy_only=False)]
+        return {"u": batch.column(0), "h": _signed(np.array(found, np.uint64))}
+
+    folder = scratch_path(spark, "fingerprints")
+    map_batches(elements.select("u", "s"), work, "u bigint, h bigint").join(ranked.select("u"), "u", "left_semi").write.parquet(folder)
+    made = spark.read.parquet(folder)
+    first = made.groupBy("h").agg(F.min("u").alias("first"), F.count(F.lit(1)).alias("sets"))
+    equal = lookup_join(made, first, ["h"], "sets", ["u"]).selectExpr("first as a", "u as b").where("a <> b")
+    near = near_links(first.select("h"), bits).selectExpr("a as x", "b as y").distinct()
+    near = near.join(first.selectExpr("h as x", "first as a"), "x").join(first.selectExpr("h as y", "first as b"), "y")
+    return _verified(equal.union(near.selectExpr("least(a, b) as a", "greatest(a, b) as b")), ranked, percent)
+
+
 def list_links(lists: DataFrame, ranked: DataFrame, links: DataFrame, above: int, percent: int) -> DataFrame:
     """(a, b): links that together with ``links`` join what is linked: to each list's central member first, then between what is still
     apart."""
@@ -233,13 +251,14 @@ def list_links(lists: DataFrame, ranked: DataFrame, links: DataFrame, above: int
     return found.union(last)
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, most: int | None = None) -> DataFrame:
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, most: int | None = None, bits: int | None = None) -> DataFrame:
     """One row per input row: doc_id, n_shingles (size of its set), component_id, and row keys (its own, and the first of its component).
 
     ``component_id`` is the smallest doc_id that links reach, the row's own included; NULL ids are passed over unless a component has no
     other. Texts without words (NULL, empty, white space) are linked with nothing, not even with each other; their component is their
     own id. Repeated rows and equal texts share a component. A text of fewer than ``words`` words has one element, all its words. An empty
-    table gives none. ``percent`` is 50 to 100; ``most`` overrides the size up to which subsets are enumerated.
+    table gives none. ``percent`` is 50 to 100; ``most`` overrides the size up to which subsets are enumerated. With ``bits``, sets whose
+    fingerprints are within so many bits are linked first; the result is the same.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50 to 100")
@@ -259,10 +278,13 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = spark.read.parquet(place)
 
     numbered = scratch_path(spark, "ranked")
-    _ranked(_elements(docs, sets, words), percent).write.parquet(numbered)
+    elements = _elements(docs, sets, words)
+    _ranked(elements, percent).write.parquet(numbered)
     ranked = spark.read.parquet(numbered)
     above = boundary(ranked, percent) if most is None else most
     links = subset_links(ranked, above, percent)
+    if bits is not None:
+        links = links.union(fingerprint_links(elements, ranked, percent, bits))
     linked = components(list_links(inverted_lists(ranked, above, percent), ranked, links, above, percent))
 
     members = linked.union(linked.select("root", "root").distinct()).withColumnRenamed("h", "u")
@@ -275,9 +297,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("c.doc_id").alias("component_id"), "row_id", "row_hash", F.struct("c.row_id", "c.row_hash").alias("component_row"))
 
 
-def drop_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def drop_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int | None = None) -> DataFrame:
     """Rows of ``docs`` (columns doc_id, text and any others) with one of each component: the one of the smallest doc_id.
 
     Repeated rows leave one. NULL and empty texts are no copies of each other and stay. An empty table stays empty.
     """
-    return keep_rows(docs, similar_groups(docs, words=words, percent=percent).select("component_row.row_id", "component_row.row_hash"))
+    return keep_rows(docs, similar_groups(docs, words=words, percent=percent, bits=bits).select("component_row.row_id", "component_row.row_hash"))

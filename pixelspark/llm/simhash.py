@@ -54,7 +54,11 @@ def _hashes(text: str, n: int = WORDS) -> np.ndarray:
 
 def fingerprint(text: str | None) -> int:
     """A bit is one if it is set in over half of the hashes; without words the fingerprint is zero."""
-    h = _hashes(text or "")
+    return majority(_hashes(text or ""))
+
+
+def majority(h: np.ndarray) -> int:
+    """The number whose bits are those set in over half of the hashes."""
     out, ones = 0, np.zeros(64, np.int64)
     for at in range(0, len(h), 65_536):  # long texts in stretches
         ones += np.unpackbits(h[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -193,6 +197,14 @@ def midpoint_links(crowded: DataFrame, bits: int) -> DataFrame:
     return pairs.union(many)
 
 
+def near_links(distinct: DataFrame, bits: int = BITS, blocks: int = BLOCKS, crowd: int = CROWD) -> DataFrame:
+    """(a, b): links within ``bits`` that join all that are near among distinct ``h``."""
+    found = cut_lineage(block_links(distinct, bits, blocks, crowd))
+    links = found.where("b is not null")
+    crowded = found.where("b is null").select(F.col("a").alias("h")).distinct()
+    return links if crowded.isEmpty() else links.union(midpoint_links(cut_lineage(crowded), bits))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(h, root) for every linked value: root is the smallest value that can be reached.
 
@@ -227,12 +239,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     fingerprints(df, id_col, text_col).write.parquet(folder)  # narrow, and read three times
     rows = spark.read.parquet(folder)
     distinct = rows.select("h").distinct()
-    found = cut_lineage(block_links(distinct, bits, blocks, crowd))
-    links = found.where("b is not null")
-    crowded = found.where("b is null").select(F.col("a").alias("h")).distinct()
-    if not crowded.isEmpty():
-        links = links.union(midpoint_links(cut_lineage(crowded), bits))
-    linked = components(links)
+    linked = components(near_links(distinct, bits, blocks, crowd))
     smallest = rows.groupBy("h").agg(F.min("doc_id").alias("least"), F.min(first_row()).alias("first"))
     roots = smallest.join(linked, "h", "left").withColumn("root", F.coalesce("root", "h"))
     ids = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))

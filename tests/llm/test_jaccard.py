@@ -181,3 +181,25 @@ def reference_of_crowd(rows):
     roots = reference_parts(len(texts), links)
     of = {key: (len(s), texts[root][0]) for (key, _), s, root in zip(texts, sets, roots)}
     return sorted((str(k), of[k][0], str(of[k][1])) for k, _ in rows)
+
+
+def test_the_stage_links_by_fingerprints_first(spark, monkeypatch):
+    """SimHash finds verified links, the join the rest; the rows kept are those of brute force."""
+    import corpus_pipeline
+    from pixelspark.llm import jaccard
+
+    seen = []
+    step = jaccard.fingerprint_links
+
+    def watched(elements, ranked, percent, bits):
+        links = step(elements, ranked, percent, bits)
+        sets = {r.u: set(r.s) for r in elements.collect()}
+        seen.extend((len(sets[r.a] & sets[r.b]), len(sets[r.a] | sets[r.b])) for r in links.collect())
+        return links
+
+    monkeypatch.setattr(jaccard, "fingerprint_links", watched)
+    rows = list(enumerate(texts_of_all_kinds()))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect())
+    same(kept, sorted({int(c) for _, _, c in reference(rows)}))
+    assert seen and all(100 * common >= 80 * either for common, either in seen)
