@@ -84,22 +84,42 @@ def normalized(vector: Column) -> Column:
     return let(vector, scale)
 
 
-def feature_counts(text: Column | str) -> Column:
-    """Counts of the vocabulary features in a text; a text without any counts one ``object``."""
+def _feature_hits(text: Column | str) -> Column:
+    """Positions of the vocabulary features that the words of a text stand for, one for each time.
+
+    The words are found by one pattern, so other words are never made.
+    """
     known = {**{f: (f,) for f in FEATURES}, **WORD_FEATURES}
     index = {f: i for i, f in enumerate(FEATURES)}
-    words = F.filter(F.split(F.translate(F.lower(col(text)), "_", " "), r"(?U)\s+"), lambda w: w.isin(*known))
+    by_start: dict[str, list[str]] = {}
+    for w in known:
+        by_start.setdefault(w[0], []).append(w[1:])
+    word = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_start.items())
+    words = F.regexp_extract_all(F.lower(col(text)), F.lit(rf"(?U)(?:^|[\s_])({word})(?=[\s_]|$)"), F.lit(1))
     table = F.create_map(*[x for w, fs in known.items() for x in (F.lit(w), F.array(*[F.lit(index[f]) for f in fs]))])
     hits = F.flatten(F.transform(words, lambda w: F.element_at(table, w)))
-    hits = let(hits, lambda h: F.when(F.size(h) == 0, F.array(F.lit(index[FALLBACK_FEATURE]))).otherwise(h))
+    return let(hits, lambda h: F.when(F.size(h) == 0, F.array(F.lit(index[FALLBACK_FEATURE]))).otherwise(h))
+
+
+def feature_counts(text: Column | str) -> Column:
+    """Counts of the vocabulary features in a text; a text without any counts one ``object``."""
     return let(
-        hits,
+        _feature_hits(text),
         lambda h: F.transform(F.sequence(F.lit(0), F.lit(len(FEATURES) - 1)), lambda i: F.size(F.filter(h, lambda x: x == i)).cast("double")),
     )
 
 
 def text_embedding(text: Column | str, dim: int = DEFAULT_DIM) -> Column:
-    return normalized(_project(feature_counts(text), projection(len(FEATURES), dim, unit_rows=True)))
+    """Only features that a text has are projected; the others would add zeros."""
+    matrix = _matrix(projection(len(FEATURES), dim, unit_rows=True))
+
+    def counted(h: Column) -> Column:
+        return F.transform(F.array_sort(F.array_distinct(h)), lambda i: F.struct(i.alias("i"), F.size(F.filter(h, lambda x: x == i)).cast("double").alias("n")))
+
+    def project(found: Column) -> Column:
+        return F.transform(matrix, lambda w: F.aggregate(found, F.lit(0.0), lambda s, x: s + x["n"] * F.get(w, x["i"])))
+
+    return normalized(let(let(_feature_hits(text), counted), project))
 
 
 def image_statistics(pixels: Column | str) -> Column:

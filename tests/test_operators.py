@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -396,3 +398,17 @@ def test_first_rows_by_path(spark, ranges, sorted_at_once):
     assert first_rows(df, None).count() == 405 and first_rows(df, 7).count() == 7 and first_rows(df.limit(0), 7).count() == 0
     plan = first_rows(df, 7)._jdf.queryExecution().executedPlan().toString()
     assert "Sort" not in plan.replace("Sorted", "") and "Scan ExistingRDD" in plan
+
+
+def test_embedding_projects_only_what_a_text_has(spark):
+    """Words between any white space or underscores, as a dense projection of all counts gives; no other word is made."""
+    texts = ["red_potion icon", "Red RED\xa0red\tstone gray\n", "redder stones", "", "_grass__grass_", "water\x1cice fire", "no known word"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    matrix = embed.projection(len(embed.FEATURES), 64, unit_rows=True)
+    for r in df.select("text", embed.feature_counts("text").alias("c"), embed.text_embedding("text").alias("e")).collect():
+        words = re.split(r"[\t-\r \x85\xa0]+", r["text"].lower().replace("_", " "))
+        hits = [f for w in words for f in embed.WORD_FEATURES.get(w, (w,) if w in embed.FEATURES else ())] or [embed.FALLBACK_FEATURE]
+        assert r["c"] == [hits.count(f) for f in embed.FEATURES]
+        dense = np.array(r["c"]) @ matrix
+        assert np.allclose(r["e"], dense / np.linalg.norm(dense), atol=1e-12)
+    assert "split(" not in df.select(embed.text_embedding("text"))._jdf.queryExecution().toString()
