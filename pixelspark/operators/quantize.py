@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import pixels as px
 
@@ -15,52 +18,59 @@ def check_max_colors(max_colors: int) -> None:
         raise ValueError(f"the number of colours lies between {MIN_COLORS} and {MAX_COLORS}")
 
 
-def box_palettes(df: DataFrame, key: str, max_colors: int) -> DataFrame:
-    """(key, palette) by splitting boxes of the distinct visible colours, one fixed round after the other.
+def _split(colors: np.ndarray, budget: int, max_colors: int) -> np.ndarray:
+    """Means of the boxes of one image's distinct opaque colours, ascending; colours within the budget stay as they are."""
+    if len(colors) <= budget:
+        return np.sort(colors)
+    channels = np.stack([colors >> 16 & 255, colors >> 8 & 255, colors & 255])
+    box, boxes = np.zeros(len(colors), np.int64), 1
+    while boxes < max_colors:
+        names, of, n = np.unique(box, return_inverse=True, return_counts=True)
+        by_box, starts = np.argsort(of, kind="stable"), np.cumsum(n) - n
+        spread = np.maximum.reduceat(channels[:, by_box], starts, axis=1) - np.minimum.reduceat(channels[:, by_box], starts, axis=1)
+        along = channels[spread.argmax(axis=0)[of], np.arange(len(of))]
+        half = np.empty(len(of), bool)
+        half[np.lexsort((colors, along, of))] = np.arange(len(of)) - np.repeat(starts, n) >= np.repeat((n + 1) // 2, n)
+        allowed = np.zeros(len(names), bool)
+        allowed[np.lexsort((names, -n))[: max(0, budget - boxes)]] = True
+        box = box * 2 + (half & allowed[of])
+        boxes *= 2
+    _, of, n = np.unique(box, return_inverse=True, return_counts=True)
+    r, g, b = ((2 * np.bincount(of, c).astype(np.int64) + n) // (2 * n) for c in channels)
+    return np.unique(255 << 24 | r << 16 | g << 8 | b)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _split_batch(colors: pd.Series, budget: pd.Series, max_colors: pd.Series) -> pd.Series:
+    return pd.Series([None if c is None else _split(np.asarray(c, np.int64), int(k), int(m)) for c, k, m in zip(colors, budget, max_colors)], dtype=object)
+
+
+def box_palette(pixels: Column | str, max_colors: int) -> Column:
+    """Palette by splitting boxes of the distinct visible colours, one fixed round after the other.
 
     Every round cuts a box in two equal halves along its widest channel; the last round cuts only as many of the
-    fullest boxes as the budget allows. A transparent entry is reserved when any pixel is transparent. All
-    rounds are windows over data that is partitioned by image once, so the whole split is one shuffle.
+    fullest boxes as the budget allows. A transparent entry is reserved when any pixel is transparent. The split stays in the row: it moves
+    no colour and takes the memory of one Arrow batch.
     """
     check_max_colors(max_colors)
-    clear = F.exists("pixels", lambda p: p < px.OPAQUE)
+    clear = F.exists(pixels, lambda p: p < px.OPAQUE)
     opaque = F.array_distinct(
-        F.transform(F.filter("pixels", lambda p: p >= px.OPAQUE), lambda p: p.bitwiseAND(px.OPAQUE - 1) + 255 * px.OPAQUE)
+        F.transform(F.filter(pixels, lambda p: p >= px.OPAQUE), lambda p: p.bitwiseAND(px.OPAQUE - 1) + 255 * px.OPAQUE)
     )
-    colors = df.select(key, clear.alias("clear"), opaque.alias("colors"))
-    colors = colors.withColumn("budget", F.lit(max_colors) - F.col("clear").cast("int"))
-    small = colors.where(F.size("colors") <= F.col("budget")).select(key, "clear", F.sort_array("colors").alias("shown"))
-    cells = colors.where(F.size("colors") > F.col("budget")).select(key, "clear", "budget", F.explode("colors").alias("c"))
-    cells = cells.select("*", px.red(F.col("c")).alias("r"), px.green(F.col("c")).alias("g"), px.blue(F.col("c")).alias("b"))
-    cells = cells.repartition(key).withColumn("box", F.lit(0))
-    image = Window.partitionBy(key)
-    boxes = 1
-    while boxes < max_colors:
-        box = Window.partitionBy(key, "box")
-        spread = {ch: F.max(ch).over(box) - F.min(ch).over(box) for ch in "rgb"}
-        cells = cells.select("*", F.count(F.lit(1)).over(box).alias("n"), *[s.alias(f"s{ch}") for ch, s in spread.items()])
-        widest = F.greatest("sr", "sg", "sb")
-        along = F.when(F.col("sr") == widest, F.col("r")).when(F.col("sg") == widest, F.col("g")).otherwise(F.col("b"))
-        fullest = F.dense_rank().over(image.orderBy(F.desc("n"), "box"))
-        allowed = F.col("budget") - F.lit(boxes)
-        cells = cells.withColumn("along", along).withColumn("place", fullest)
-        half = F.ntile(2).over(box.orderBy("along", "c")) - 1
-        cells = cells.withColumn("half", half)
-        cells = cells.withColumn("box", F.col("box") * 2 + F.when(F.col("place") <= allowed, F.col("half")).otherwise(0))
-        cells = cells.drop("n", "sr", "sg", "sb", "along", "place", "half")
-        boxes *= 2
-    mean = px.pack(*[F.round(F.avg(ch)).cast("bigint") for ch in "rgb"], F.lit(255))
-    boxed = cells.groupBy(key, "clear", "box").agg(mean.alias("c"))
-    large = boxed.groupBy(key, "clear").agg(F.sort_array(F.collect_set("c")).alias("shown"))
-    shown = small.unionByName(large)
+    shown = _split_batch(opaque, F.lit(max_colors) - clear.cast("int"), F.lit(max_colors))
     zero = F.array(F.lit(0).cast("bigint"))
-    return shown.select(key, F.when(F.col("clear"), F.concat(zero, F.col("shown"))).otherwise(F.col("shown")).alias("palette"))
+    return F.when(clear, F.concat(zero, shown)).otherwise(shown)
+
+
+def box_palettes(df: DataFrame, key: str, max_colors: int) -> DataFrame:
+    """(key, palette) of every image, see ``box_palette``."""
+    return df.select(key, box_palette("pixels", max_colors).alias("palette"))
 
 
 def encode_images(df: DataFrame, key: str, max_colors: int = 64) -> DataFrame:
     """Add ``indices``, ``palette``, ``unique_color_count``, ``palette_size`` and ``lossy`` to images.
 
-    Images within the budget keep their exact colours and need no shuffle; only the others visit the box split.
+    Images within the budget keep their exact colours; only the others visit the box split. Nothing is shuffled.
     ``df`` is read once for each of the two ways, so it should be stored if decoding it is expensive.
     """
     check_max_colors(max_colors)
@@ -68,6 +78,6 @@ def encode_images(df: DataFrame, key: str, max_colors: int = 64) -> DataFrame:
     exact = counted.where(F.col("unique_color_count") <= max_colors).withColumn("palette", px.palette("pixels"))
     exact = exact.withColumn("indices", px.index_map("pixels", "palette")).withColumn("lossy", F.lit(False))
     rest = counted.where(F.col("unique_color_count") > max_colors)
-    lossy = rest.join(box_palettes(rest, key, max_colors), key)
+    lossy = rest.withColumn("palette", box_palette("pixels", max_colors))
     lossy = lossy.withColumn("indices", px.nearest_indices("pixels", "palette")).withColumn("lossy", F.lit(True))
     return exact.unionByName(lossy).withColumn("palette_size", F.size("palette"))

@@ -412,3 +412,37 @@ def test_embedding_projects_only_what_a_text_has(spark):
         dense = np.array(r["c"]) @ matrix
         assert np.allclose(r["e"], dense / np.linalg.norm(dense), atol=1e-12)
     assert "split(" not in df.select(embed.text_embedding("text"))._jdf.queryExecution().toString()
+
+
+def boxes_of(colors, budget, most):
+    """One list of colours per box, round after round."""
+    boxes = {0: sorted(colors)}
+    count = 1
+    while count < most:
+        fullest = sorted(boxes, key=lambda b: (-len(boxes[b]), b))[: max(0, budget - count)]
+        out = {}
+        for b, cs in boxes.items():
+            spread = [max(c >> s & 255 for c in cs) - min(c >> s & 255 for c in cs) for s in (16, 8, 0)]
+            shift = (16, 8, 0)[spread.index(max(spread))]
+            cs = sorted(cs, key=lambda c: (c >> shift & 255, c))
+            cut = (len(cs) + 1) // 2 if b in fullest else len(cs)
+            out |= {2 * b + i: part for i, part in enumerate((cs[:cut], cs[cut:])) if part}
+        boxes, count = out, 2 * count
+    mean = lambda cs, s: (2 * sum(c >> s & 255 for c in cs) + len(cs)) // (2 * len(cs))
+    return sorted({255 << 24 | mean(cs, 16) << 16 | mean(cs, 8) << 8 | mean(cs, 0) for cs in boxes.values()})
+
+
+@pytest.mark.parametrize("budget", [8, 13, 16, 64])
+def test_box_palettes_stay_in_the_row(spark, budget):
+    rng = np.random.default_rng(budget)
+    rows = [(i, [int(255 << 24 | c) for c in rng.integers(0, 1 << (24 if i % 2 else 9), n)] + [0] * (i % 3)) for i, n in enumerate([1, 8, 14, 40, 200, 700])]
+    df = spark.createDataFrame(rows, "i int, pixels array<bigint>")
+    got = quantize.box_palettes(df, "i", budget)
+    assert not re.search("Exchange|Window|Sort", got._jdf.queryExecution().toString())
+    assert not re.search("Exchange|Window|Join", quantize.encode_images(df, "i", budget)._jdf.queryExecution().toString())
+    for r in got.collect():
+        pixels = rows[r["i"]][1]
+        clear = 0 in pixels
+        colors = {p for p in pixels if p}
+        want = sorted(colors) if len(colors) <= budget - clear else boxes_of(colors, budget - clear, budget)
+        assert r["palette"] == [0] * clear + want
