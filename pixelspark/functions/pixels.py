@@ -301,21 +301,19 @@ def composite_over(below: Column, above: Column) -> Column:
 def composite_layers(layers: Column, width: int, height: int) -> Column:
     """Draw ``layers`` (array of struct<x,y,w,h,pixels> in order) on a transparent canvas.
 
-    Each layer only blends the cells it covers; the rest of the canvas is passed on in whole slices.
+    The canvas is kept as rows: a layer copies the rows it covers and passes the others on as they are.
     """
 
     def draw(canvas: Column, layer: Column) -> Column:
         x, y = layer["x"], layer["y"]
         w, h = F.least(layer["w"], F.lit(width) - x), F.least(layer["h"], F.lit(height) - y)
 
-        def row(r: Column) -> Column:
-            at = (y + r) * width + 1
-            covered = F.zip_with(F.slice(canvas, at + x, w), F.slice(layer["pixels"], r * layer["w"] + 1, w), composite_over)
-            return F.concat(F.slice(canvas, at, x), covered, F.slice(canvas, at + x + w, F.lit(width) - x - w))
+        def row(cells: Column, r: Column) -> Column:
+            covered = F.zip_with(F.slice(cells, x + 1, w), F.slice(layer["pixels"], r * layer["w"] + 1, w), composite_over)
+            return F.concat(F.slice(cells, F.lit(1), x), covered, F.slice(cells, x + w + 1, F.lit(width) - x - w))
 
-        band = F.flatten(F.transform(F.sequence(F.lit(0), h - 1), row))
-        below = F.slice(canvas, (y + h) * width + 1, (F.lit(height) - y - h) * width)
-        return F.concat(F.slice(canvas, F.lit(1), y * width), band, below)
+        band = F.transform(F.slice(canvas, y + 1, h), row)
+        return F.concat(F.slice(canvas, F.lit(1), y), band, F.slice(canvas, y + h + 1, F.lit(height) - y - h))
 
-    empty = F.array_repeat(F.lit(0).cast("bigint"), width * height)
-    return F.aggregate(layers, empty, draw)
+    empty = F.array_repeat(F.array_repeat(F.lit(0).cast("bigint"), width), height)
+    return F.flatten(F.aggregate(layers, empty, draw))

@@ -446,3 +446,11 @@ def test_box_palettes_stay_in_the_row(spark, budget):
         colors = {p for p in pixels if p}
         want = sorted(colors) if len(colors) <= budget - clear else boxes_of(colors, budget - clear, budget)
         assert r["palette"] == [0] * clear + want
+
+
+def test_scene_checksums_take_no_interpreted_pass(spark):
+    """Cells are summed by compiled code, a row each."""
+    from pixelspark.checks import QUERIES
+
+    plan = QUERIES["j12_scene_composition"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "posexplode(" in plan.lower()
