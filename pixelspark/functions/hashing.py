@@ -17,7 +17,7 @@ from .base import col, let
 LUMA_R, LUMA_G, LUMA_B = 19595, 38470, 7471
 FIXED_POINT_BITS = 22
 HASH_SIDE = 8
-PIXELS_AT_ONCE = 1 << 20  # of images of one size that are resampled together
+PIXELS_AT_ONCE = 1 << 17  # of images of one size that are resampled together
 
 
 def content_digest(content: Column | str) -> Column:

@@ -118,3 +118,23 @@ def test_taps_sum_to_one():
     for n in range(1, 129):
         for lo, ks in _axis_taps(n):
             assert lo >= 0 and lo + len(ks) <= n and abs(sum(ks) - (1 << 22)) <= len(ks)
+
+
+def test_decoded_images_are_handed_over_in_parts(monkeypatch):
+    """The parts of a batch are bounded by pixels, and joined they are the batch."""
+    import pandas as pd
+
+    from pixelspark.checks.views import _write_png
+    from pixelspark.functions import hashing
+    from pixelspark.sources import png
+
+    files = [_write_png(8, 8, np.arange(64) + (255 << 24), bool(i % 2), f"sprite {i}") for i in range(40)]
+    files[7], files[20] = None, files[20][:50]
+    whole = list(png._decode_png.func(iter([pd.Series(files[:25]), pd.Series(files[25:])])))
+    monkeypatch.setattr(png, "PIXELS_AT_ONCE", 500)
+    parts = list(png._decode_png.func(iter([pd.Series(files[:25]), pd.Series(files[25:])])))
+    assert len(whole) == 2 and max(map(len, parts)) <= 8
+    a, b = pd.concat(whole, ignore_index=True), pd.concat(parts, ignore_index=True)
+    assert len(a) == len(b) == 40 and a["width"].equals(b["width"]) and a["png_text"].equals(b["png_text"])
+    assert all((x is None and y is None) or (x == y).all() for x, y in zip(a["pixels"], b["pixels"]))
+    assert hashing.PIXELS_AT_ONCE <= 1 << 17
