@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.shuffles import lookup_join
-from ..session import cut_lineage, scratch_path
+from ..session import cut_lineage, scratch_path, stored
 from .arrays import mix, shingle_sets
 from .base import first_row, keep_rows, map_batches, row_key
 from .simhash import components, majority, near_links
@@ -240,7 +240,8 @@ def list_links(lists: DataFrame, ranked: DataFrame, links: DataFrame, above: int
     roots = components(found)
     placed = full.join(roots.withColumnRenamed("h", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
     apart = placed.groupBy("t").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
-    open_lists = cut_lineage(lookup_join(placed.drop("members", "centre"), apart.select("t", "size"), ["t"], "size", ["u"]).where("size is not null"))
+    apart = stored(apart.select("t", "size"), "apart")
+    open_lists = cut_lineage(lookup_join(placed.drop("members", "centre"), apart, ["t"], "size", ["u"]).where("size is not null"))
     parts = F.expr(f"cast(size div {PART} as int) + 1")
     cut = open_lists.withColumn("part", F.pmod(F.xxhash64("u"), parts).cast("int"))
     every = open_lists.where("index").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -282,16 +283,19 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     _ranked(elements, percent).write.parquet(numbered)
     ranked = spark.read.parquet(numbered)
     above = boundary(ranked, percent) if most is None else most
-    links = subset_links(ranked, above, percent)
+    links = stored(subset_links(ranked, above, percent), "links")
     if bits is not None:
-        links = links.union(fingerprint_links(elements, ranked, percent, bits))
+        links = links.union(stored(fingerprint_links(elements, ranked, percent, bits), "near"))
     linked = components(list_links(inverted_lists(ranked, above, percent), ranked, links, above, percent))
 
+    # each step is stored, as the next ones name it several times: one plan of all of them would hold 20 joins, which the driver plans
+    # again after each stage
     members = linked.union(linked.select("root", "root").distinct()).withColumnRenamed("h", "u")
-    members = members.join(ranked.select("u", "a", "b"), "u").join(sets.select("a", "b", "first"), ["a", "b"])
-    firsts = members.groupBy("root").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("size"))
+    members = stored(members.join(ranked.select("u", "a", "b"), "u").join(sets.select("a", "b", "first"), ["a", "b"]), "members")
+    firsts = stored(members.groupBy("root").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("size")), "firsts")
     named = lookup_join(members.select("a", "b", "root"), firsts, ["root"], "size", ["a"]).select("a", "b", F.col("first").alias("reached"))
     classes = sets.where("n > 0").select("a", "b", "first", "copies").join(named, ["a", "b"], "left").select("a", "b", "copies", F.coalesce("reached", "first").alias("c"))
+    classes = stored(classes, "classes")
     out = lookup_join(rows.select("doc_id", "row_id", "row_hash", "a", "b", "n"), classes, ["a", "b"], "copies", ["row_hash"])
     out = out.withColumn("c", F.coalesce("c", first_row()))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("c.doc_id").alias("component_id"), "row_id", "row_hash", F.struct("c.row_id", "c.row_hash").alias("component_row"))

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from pixelspark.llm.arrays import shingle_sets
 from pixelspark.llm.jaccard import drop_similar, needed, partner_sizes, similar_groups
@@ -167,6 +168,24 @@ def test_a_crowd_makes_few_pairs(spark, monkeypatch):
     assert sum(asked) < 3 * 2000
 
 
+@pytest.mark.parametrize("bits", [None, 4])
+def test_no_plan_repeats_the_steps_before_it(kinds, monkeypatch, bits):
+    """The driver plans a query again after each of its stages: every query that is run has few joins, the last one two."""
+    df, _ = kinds
+    joins = []
+
+    def noted(df):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return df
+
+    write, checkpoint = DataFrameWriter.parquet, type(df).checkpoint
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: noted(self._df) and write(self, *a, **b))
+    monkeypatch.setattr(type(df), "checkpoint", lambda self, *a, **b: checkpoint(noted(self), *a, **b))
+    last = noted(similar_groups(df, bits=bits))
+    assert len(joins) > 8 and joins[-1] == 2 and max(joins) <= 8
+    assert last.count() == df.count()
+
+
 def reference_of_crowd(rows):
     texts = list(dict.fromkeys(rows))
     sets = reference_sets([t for _, t in texts])
