@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import pixels as px
 from ..functions.base import seeded_int
 from ..session import cut_lineage
-from .shuffles import seeded_rank
+from .shuffles import seeded_rank, shuffled
 
 # Canvas side, layers per scene and the metadata of a composed scene.
 CANVAS = 128
@@ -62,7 +62,7 @@ def compose_scenes(
     pool = placed.count()
     if pool < 2:
         placed, pool = placed.limit(0), 2
-    wanted = layer_draws(scenes, pool, seed, scene, layers).join(placed, "position")
+    wanted = layer_draws(scenes, pool, seed, scene, layers).join(shuffled(placed), "position")
     joined = assets.select(key, "width", "height", "pixels", "license").join(wanted, key)
 
     def offset(axis: int, side: str) -> Column:

@@ -28,7 +28,7 @@ from ..functions.hashing import hamming
 from ..session import cut_lineage, stored
 from .graph import components
 from .metric import WideNeighbours
-from .shuffles import lookup_join
+from .shuffles import lookup_join, shuffled
 
 CROWD = 256  # hashes under one block key before its members are matched in the next way
 FINER_BLOCKS = 3  # blocks added when crowded hashes are keyed again
@@ -42,7 +42,7 @@ def with_duplicate_of(df: DataFrame, digest: str, order: str, path: str, out: st
         F.min(F.struct(F.col(order).alias("o"), F.col(path).alias("p"))).alias("_first"), F.count(F.lit(1)).alias("_copies")
     )
     firsts = firsts.where(F.col("_copies") > 1)
-    joined = lookup_join(df, firsts, [digest], "_copies", [path])
+    joined = lookup_join(df, firsts, [digest], "_copies", [path], grows=True)
     is_first = (F.col("_first.o") == F.col(order)) & (F.col("_first.p") == F.col(path))
     return joined.select(*df.columns, F.when(~is_first, F.col("_first.p")).alias(out))
 
@@ -111,7 +111,7 @@ class HashNeighbours:
         keys = _block_keys(codes, block_masks(self.k, blocks))
         sizes = keys.groupBy("band", "v").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
         most = Observation()
-        placed = lookup_join(keys, sizes, ["band", "v"], "members", ["h"]).where("members is not null")
+        placed = lookup_join(keys, sizes, ["band", "v"], "members", ["h"], grows=True).where("members is not null")
         placed = stored(placed.observe(most, F.max("members").alias("most")), "keys")
         self._sparse.append(placed.where(F.col("members") <= crowd).select("h", "ord", "band", "v"))
         if (most.get["most"] or 0) <= crowd:
@@ -125,7 +125,7 @@ class HashNeighbours:
         found = None
         for members in self._sparse:
             earlier = members.select("band", "v", F.col("h").alias("other"), F.col("ord").alias("other_ord"))
-            pairs = members.join(earlier, ["band", "v"]).where(F.col("other_ord") < F.col("ord"))
+            pairs = members.join(shuffled(earlier), ["band", "v"]).where(F.col("other_ord") < F.col("ord"))
             pairs = pairs.where(hamming("h", "other") <= self.k).select("h", "ord", "other", "other_ord")
             found = pairs if found is None else found.unionByName(pairs)
         self._pairs = stored(found, "pairs")
@@ -149,13 +149,13 @@ class HashNeighbours:
             for d in range(1, self.k + 1):
                 # the smallest d with an earlier hash is its distance, as nothing earlier lies nearer
                 marks = _ball(sources, d // 2).groupBy("v").agg(F.min(F.struct("ord", "h")).alias("s"))
-                hits = _ball(targets, d - d // 2).join(marks, "v").where(F.col("s.ord") < F.col("ord"))
+                hits = _ball(targets, d - d // 2).join(shuffled(marks), "v").where(F.col("s.ord") < F.col("ord"))
                 level = hits.groupBy("h").agg(F.min("s").alias("s"))
                 level = level.select("h", F.struct(F.lit(d).alias("d"), F.col("s.ord").alias("o"), F.col("s.h").alias("m")).alias("best"))
                 best = best.unionByName(level)
             best = best.groupBy("h").agg(F.min("best").alias("best"))
         found = best.select("h", F.col("best.d").alias("distance"), F.col("best.m").alias("other"))
-        return found.join(keys, "other").select("h", "distance", "match")
+        return found.join(shuffled(keys), "other").select("h", "distance", "match")
 
     def cliques(self) -> DataFrame:
         """(clique, h, ord): sets of mutually near hashes that together cover every near pair."""
@@ -178,7 +178,7 @@ class HashNeighbours:
             return pairs
         members = self._crowd_cliques()
         least = members.groupBy("clique").agg(F.min("h").alias("b"), F.count(F.lit(1)).alias("members")).where("members > 1")
-        return pairs.unionByName(lookup_join(members, least, ["clique"], "members", ["h"]).where("b < h").select(F.col("h").alias("a"), "b"))
+        return pairs.unionByName(lookup_join(members, least, ["clique"], "members", ["h"], grows=True).where("b < h").select(F.col("h").alias("a"), "b"))
 
     def first_come_by_rounds(self, among: DataFrame) -> DataFrame:
         """What a first-come pass keeps of ``among`` (h), a union of whole components.
@@ -187,15 +187,15 @@ class HashNeighbours:
         the pass would do. Only hashes with an open neighbour stay in the loop.
         """
         members = cut_lineage(self.cliques().join(among, "h", "left_semi"))
-        kept = among.join(members.select("h").distinct(), "h", "left_anti")
+        kept = among.join(shuffled(members.select("h").distinct()), "h", "left_anti")
         while not members.isEmpty():  # every round closes the clique of the earliest hash, so this ends
             first = members.groupBy("clique").agg(F.min(F.struct("ord", "h")).alias("f"))
-            leads = members.join(first, "clique").groupBy("h").agg(F.min((F.col("f.h") == F.col("h")).cast("int")).alias("lead"))
+            leads = members.join(shuffled(first), "clique").groupBy("h").agg(F.min((F.col("f.h") == F.col("h")).cast("int")).alias("lead"))
             winners = cut_lineage(leads.where("lead = 1").select("h"))
             kept = kept.unionByName(winners)
             closed = first.join(winners, F.col("f.h") == winners["h"], "left_semi").select("clique")
-            out = members.join(closed, "clique", "left_semi").select("h").distinct()
-            members = cut_lineage(members.join(out, "h", "left_anti"))
+            out = members.join(shuffled(closed), "clique", "left_semi").select("h").distinct()
+            members = cut_lineage(members.join(shuffled(out), "h", "left_anti"))
         return kept
 
     def _odd_cliques(self, codes: DataFrame) -> DataFrame:

@@ -17,12 +17,22 @@ SORTED_AT_ONCE = 1_000_000  # keys of a range that are sorted to find a cut
 RANGE_DIGITS = 3  # hexadecimal digits: 4,096 ranges of a hash
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], weight: str, spread_by: Sequence[str]) -> DataFrame:
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast, for tables that grow with the data.
+
+    Spark guesses sizes from compressed files and without the rows that an explode adds, so it takes paths, keys of blocks and the like
+    for small and brings them whole to the driver. Stored hashes and results of joins it does not underrate so, they need no mark.
+    """
+    return df.hint("merge")
+
+
+def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], weight: str, spread_by: Sequence[str], grows: bool = False) -> DataFrame:
     """Left join to a table with one row per key, safe for hot keys.
 
     The ``HEAVY_KEYS`` heaviest keys (by ``weight``, the number of left rows) are looked up in a broadcast of at
     most that many rows. Their left rows then carry a salt that cannot match and so scatter over the shuffle
-    that serves all other keys, each of which holds less than 1/512 of the rows.
+    that serves all other keys, each of which holds less than 1/512 of the rows. With ``grows``, for a ``right`` that grows with the
+    data, the other keys are never broadcast.
     """
     on = list(on)
     values = [c for c in right.columns if c not in on]
@@ -36,7 +46,7 @@ def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], weight: st
     marked = marked.withColumn("_salt", F.when(F.col("_heavy").isNotNull(), salt).otherwise(F.lit(0)))
     zero = F.pmod(F.xxhash64(*on), F.lit(1)).cast("int")  # a plain 0 would be folded out of the keys of the shuffle
     light = right.select(*on, F.struct(*values).alias("_light"), zero.alias("_salt"))
-    joined = marked.join(light, [*on, "_salt"], "left")
+    joined = marked.join(shuffled(light) if grows else light, [*on, "_salt"], "left")
     found = F.coalesce("_heavy", "_light")
     keep = [c for c in left.columns if c not in values]
     return joined.select(*keep, *[found[v].alias(v) for v in values])

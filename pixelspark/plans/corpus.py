@@ -11,6 +11,7 @@ from ..functions.hashing import content_digest, crop_digest
 from ..operators import reports
 from ..operators.compose import CANVAS, TOO_FEW, compose_scenes, missing_scenes
 from ..operators.curate import balanced_sample, group_key, is_eligible, sample_cap
+from ..operators.shuffles import shuffled
 from ..session import cut_lineage
 from ..sources import embedded
 from ..sources.catalogue import gate_report, gate_sources, open_sources, read_catalogue
@@ -103,7 +104,7 @@ def land_sources(
     keys = ["source_name", "rel_path"]
     accepted, rejected = stored.where(F.col("reason").isNull()), stored.where(F.col("reason").isNotNull())
     latest = rejected.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stored.columns if c not in keys]), "run").alias("r"))
-    latest = latest.select(*keys, "r.*").join(accepted.select(*keys), keys, "left_anti")
+    latest = latest.select(*keys, "r.*").join(shuffled(accepted.select(*keys)), keys, "left_anti")
     return accepted.unionByName(latest.select(*stored.columns)).drop("run")
 
 

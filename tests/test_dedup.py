@@ -135,6 +135,21 @@ def test_components_are_passed_through_in_order(spark):
     assert same[0] == same[1] == same[2]
 
 
+def test_keys_and_paths_are_not_broadcast(spark, monkeypatch):
+    """Block keys, balls and paths meet by shuffles, however small Spark guesses them."""
+    from pixelspark.operators import dedup
+
+    plans = []
+    keep = dedup.stored
+    monkeypatch.setattr(dedup, "stored", lambda df, name: plans.append(df) or keep(df, name))
+    df = spark.createDataFrame(clustered_rows(3), "ord int, key string, h bigint, digest string")
+    for crowd in (256, 1):
+        plans.append(dedup.HashNeighbours(dedup.distinct_hashes(df, "h", "ord", "key"), 4, crowd).earliest_match())
+    plans.append(with_duplicate_of(df, "digest", "ord", "key"))
+    lines = [x for p in plans for x in p._jdf.queryExecution().sparkPlan().toString().splitlines() if "HashJoin" in x]
+    assert lines and all("_h_" in x for x in lines)  # the heaviest keys only
+
+
 def test_connected_components(spark):
     from pixelspark.operators.graph import components
 

@@ -166,6 +166,13 @@ def test_composition_matches_brute_force(spark):
     assert got == want.reshape(-1).tolist()
 
 
+def test_drawn_layers_are_not_broadcast(spark):
+    assets = image_frame(spark, {i: solid(4, 4, (1, 1, i, 0)) for i in range(9)})
+    assets = assets.withColumn("rel_path", F.col("i").cast("string")).withColumn("license", F.lit("cc0"))
+    plan = compose.compose_scenes(assets, spark.range(12).withColumnRenamed("id", "scene_id"))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [position" in plan and "BroadcastHashJoin [position" not in plan
+
+
 def test_too_few_transparent_assets_give_no_scene(spark):
     assets = image_frame(spark, {0: solid(4, 4, (1, 1, 1, 0)), 1: solid(4, 4, (1, 1, 1, 255))})
     assets = assets.withColumn("rel_path", F.col("i").cast("string")).withColumn("license", F.lit("cc0"))

@@ -175,6 +175,12 @@ def test_corpus_end_to_end_and_resume(spark, tmp_path):
     assert stored.count() == stored.select("source_name", "rel_path").distinct().count() == 16
 
 
+def test_landed_keys_are_not_broadcast(spark, tmp_path):
+    run = prepare_corpus(spark, corpus_config(tmp_path), str(tmp_path / "corpus"), target_count=50, min_count=1)
+    plan = run["sources"]._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [source_name" in plan and "BroadcastHashJoin [source_name" not in plan
+
+
 def test_corpus_without_any_permitted_source(spark, tmp_path):
     config = tmp_path / "c.json"
     config.write_text(json.dumps({"sources": [{"name": "Bad", "path": str(tmp_path), "license": "CC-BY-NC"}]}))
